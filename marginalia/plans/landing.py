@@ -1,0 +1,202 @@
+"""Sources and sinks: what Spark derives from the tables is landed, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marginalia import schemas as S
+from marginalia.operators import conversations as K, evaluation as E
+from marginalia.operators.chunking import chunk_documents
+from marginalia.plans import fixtures as V
+from marginalia.plans.evaluating import _cited, _merged, _scored
+from marginalia.plans.registry import query
+from marginalia.session import scratch_path
+from marginalia.sources import readers as R, writers as W
+from marginalia.streaming import ingest
+
+
+@query("a3_id_file", "select cast(p_partkey as varchar) as id from part")
+def _(spark, sf):
+    path = scratch_path(spark, "ids")
+    lines = V.table(spark, sf, "part").select(F.explode(F.array(
+        F.concat(F.lit("  "), F.col("p_partkey").cast("string"), F.lit(" ")), F.lit(" "))).alias("line"))
+    W.write_ids(lines, "line", path)
+    return R.read_ids(spark, path)
+
+
+def _search_pages(spark, sf):
+    """Result pages of 100 ids each; the first id of a page also ends the page before."""
+    path = scratch_path(spark, "search")
+    key = F.col("p_partkey")
+    ids = V.table(spark, sf, "part").select(key, F.explode(F.array_distinct(F.array(
+        F.expr("p_partkey div 100"), F.expr("greatest(p_partkey - 1, 0) div 100")))).alias("page"))
+    total = V.table(spark, sf, "part").agg(F.count(F.lit(1)).alias("n")).scalar()
+    pages = ids.groupBy("page").agg(F.array_sort(F.collect_list("p_partkey")).alias("keys"))
+    pages.select(F.struct(
+        total.cast("string").alias("count"), (F.col("page") * 100).cast("string").alias("retstart"),
+        F.col("keys").cast("array<string>").alias("idlist")).alias("esearchresult")).write.json(path)
+    return path
+
+
+@query("a4_search_pages", "select cast(p_partkey as varchar) as pmc_id from part")
+def _(spark, sf):
+    return R.read_search_pages(spark, _search_pages(spark, sf))
+
+
+@query("a4_search_count", "select count(*) as total from part")
+def _(spark, sf):
+    return R.search_count(spark, _search_pages(spark, sf))
+
+
+@query("a7_id_conversion", """select cast(p_partkey as varchar) as pmc_id, case when p_partkey % 5 <> 0 then cast(p_partkey + 7 as varchar) end as pmid,
+  '10.1/' || p_partkey as doi from part""")
+def _(spark, sf):
+    path = scratch_path(spark, "conversion")
+    key = F.col("p_partkey")
+    record = F.struct(F.concat(F.lit("PMC"), key).alias("pmcid"), F.when(key % 5 != 0, (key + 7).cast("string")).alias("pmid"),
+                      F.concat(F.lit("10.1/"), key).alias("doi"))
+    V.table(spark, sf, "part").select(F.array(record).alias("records")).write.json(path)
+    return R.read_id_conversion(spark, path, multi_line=False)
+
+
+def _qa_file(spark, sf):
+    """Question records keyed by pmid, one object per line."""
+    path = scratch_path(spark, "qa")
+    i = F.col("item_id")
+    record = F.struct(
+        F.col("text").alias("QUESTION"), F.transform(F.sequence(F.lit(0), i % 4), lambda j: j.cast("string")).alias("CONTEXTS"),
+        F.array(F.lit("m1"), F.concat(F.lit("m"), i)).alias("MESHES"), F.when(i % 3 != 0, F.lit("2020")).alias("YEAR"),
+        F.concat(F.lit("long, \"quoted\"\n"), F.col("text")).alias("LONG_ANSWER"), V.pick(("yes", "no", "maybe"), i % 3).alias("final_decision"))
+    lines = V.table(spark, sf, "benchmark").select(F.to_json(F.create_map((1000000 + i).cast("string"), record)).alias("line"))
+    W.write_text(lines, "line", path)
+    return path
+
+
+@query("a8_qa_dataset", """select cast(1000000 + item_id as varchar) as pmid, text as question, item_id % 4 + 1 as contexts from benchmark""")
+def _(spark, sf):
+    rows = R.read_qa_dataset(spark, _qa_file(spark, sf), whole_file=False)
+    return rows.select("pmid", F.col("r.QUESTION").alias("question"), F.size("r.CONTEXTS").cast("long").alias("contexts"))
+
+
+@query("i15_c8_a9_golden_dataset", """select 'pubmedqa_' || pmid as question_id, pmc_id, text as question, case item_id % 3 when 0 then 'yes' when 1 then 'no' else 'maybe' end
+  as expected_answer, md5('long, "quoted"' || chr(10) || text) as long_answer, case when item_id % 3 <> 0 then '2020' end as "year",
+  'm1|m' || item_id as meshes, item_id % 4 + 1 as num_contexts from benchmark b join papers on pmid = 1000000 + item_id""")
+def _(spark, sf):
+    """Built from the question file and the paper ids, written as CSV and read back."""
+    path = scratch_path(spark, "golden")
+    mapping = V.papers(spark, sf).where("pmid > 0").select(F.col("pmid").cast("string").alias("pmid"), "pmc_id")
+    W.write_csv(E.golden_dataset(R.read_qa_dataset(spark, _qa_file(spark, sf), whole_file=False), mapping), path)
+    return R.read_golden(spark, path).select(
+        "question_id", "pmc_id", "question", "expected_answer", F.md5("long_answer").alias("long_answer"), "year", "meshes",
+        F.col("num_contexts").cast("long").alias("num_contexts"))
+
+
+@query("a10_a12_result_files", """select question_id, correct_article_retrieved, conclusion_match from merged""")
+def _(spark, sf):
+    auto, judge = scratch_path(spark, "auto"), scratch_path(spark, "judge")
+    scored = _scored(spark, sf)
+    W.write_results(scored.select("question_id", "pmc_id", "raw_llm_response", "retrieved_chunk_ids", "correct_article_retrieved",
+                                  "citation_validity_rate", "response_time_ms", "error"), auto)
+    # the position within the judge's list travels as a number, since files have no order among themselves
+    W.write_results(V.judgements(spark, sf).withColumn("notes", F.col("pos").cast("string")).drop("pos"), judge, "evaluations")
+    rows = R.read_judge_results(spark, judge).withColumn("pos", F.col("notes").cast("long")).drop("notes")
+    return E.merge_judgements(R.read_auto_results(spark, auto), rows).select(
+        "question_id", "correct_article_retrieved", "conclusion_match")
+
+
+@query("a12_metrics_csv", """select count(*) as n, count(*) filter (where correct_article_retrieved) as hits, count(conclusion_match) as judged from merged""")
+def _(spark, sf):
+    path = scratch_path(spark, "metrics-csv")
+    rows = E.metrics_rows(_merged(spark, sf))
+    W.write_csv(rows, path)
+    back = spark.read.schema(rows.schema).csv(path, header=True)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.count_if("correct_article_retrieved").alias("hits"),
+                    F.count("conclusion_match").alias("judged"))
+
+
+@query("a12_judge_prompt_text", "select count(*) as blocks from evaluations")
+def _(spark, sf):
+    path = scratch_path(spark, "prompt")
+    results = V.evaluations(spark, sf).withColumns({"long_answer": F.col("question"), "rag_answer": F.col("raw_llm_response")})
+    rich = E.enrich_citations(_cited(spark, sf), V.vec_chunks(spark, sf), V.slim_docs(spark, sf), V.papers(spark, sf))
+    W.write_text(E.judge_blocks(results, rich), "block", path)
+    return spark.read.text(path).agg(F.count_if(F.col("value").startswith("## Question ")).alias("blocks"))
+
+
+@query("a11_metrics_snapshot", """select "year"::bigint as "year", count(*) as n, sum(citation_count)::bigint as citations, count(nih_percentile) as ranked
+from metrics group by all""")
+def _(spark, sf):
+    """The snapshot file is read with its fixed schema and stored sorted by pmid."""
+    csv, table = scratch_path(spark, "snapshot"), scratch_path(spark, "metrics")
+    m = V.metrics(spark, sf)
+    W.write_csv(m.select(*[F.col(f.name) if f.name in m.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in S.METRICS.fields]), csv)
+    W.write_table(R.read_metrics_snapshot(spark, csv).repartitionByRange("pmid"), table, sort_by=["pmid"])
+    return spark.read.parquet(table).groupBy(F.col("year").cast("long").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("citation_count").alias("citations"), F.count("nih_percentile").alias("ranked"))
+
+
+@query("a13_a16_stream_log", """select conv_id || '-' || turn as conversation_id, 500 as time_to_first_token, len(toks) - 1 as total_tokens,
+  gap * len(toks) + stall as total_stream_time from answer_tokens where outcome = 'complete' and len(toks) > 1""")
+def _(spark, sf):
+    """Metrics appended to the log in two runs, then read back as a table."""
+    path = scratch_path(spark, "stream-log")
+    m = K.stream_metrics(V.token_events(spark, sf)).withColumn("conversation_id", F.concat_ws("-", "conv_id", "turn"))
+    for half in (0, 1):
+        W.append_log(m.where(F.col("conv_id") % 2 == half).select(W.metrics_line()), path)
+    return R.read_stream_log(spark, path).select(
+        "conversation_id", "time_to_first_token", "total_tokens", "total_stream_time")
+
+
+@query("a14_chunk_and_flip", """select d.document_id, case when ingestion_status = 'fetched' then 'chunked' else ingestion_status end as ingestion_status,
+  count(c.document_id) as chunks from docs d left join (select * from chunks where document_id in
+  (select document_id from docs where ingestion_status = 'fetched')) c using (document_id) group by all""")
+def _(spark, sf):
+    """Chunks of the fetched documents are stored first; documents that gave some then change status."""
+    from marginalia.operators.keyed import set_where_listed
+
+    path = scratch_path(spark, "chunks")
+    docs = V.docs(spark, sf)
+    W.write_table(chunk_documents(docs.where("ingestion_status = 'fetched'"), V.SIZE, V.OVERLAP), path)
+    stored = spark.read.parquet(path)
+    flipped = set_where_listed(docs.select("document_id", "ingestion_status"), stored, "document_id", {"ingestion_status": "chunked"})
+    n = stored.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return flipped.join(n, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+
+
+@query("a12_id_map_json", "select pmid, pmc_id from papers where pmid > 0")
+def _(spark, sf):
+    path = scratch_path(spark, "id-map")
+    V.papers(spark, sf).where("pmid > 0").select("pmid", "pmc_id").write.json(path)
+    return spark.read.schema("pmid bigint, pmc_id string").json(path)
+
+
+@query("g12_missing_conversions", """select cast(p_partkey as varchar) as pmid from part where 1000000 + p_partkey not in
+(select pmid from papers where pmid is not null)""")
+def _(spark, sf):
+    from marginalia.operators.keyed import missing
+
+    asked = V.table(spark, sf, "part").select((F.col("p_partkey") + 1000000).alias("pmid"))
+    out = missing(asked, V.papers(spark, sf).where("pmid is not null"), "pmid")
+    return out.select((F.col("pmid") - 1000000).cast("string").alias("pmid"))
+
+
+@query("l6_incremental_ingest", """select document_id, count(*) as chunks, sum(token_count)::bigint as tokens from chunks group by all""")
+def _(spark, sf):
+    """Articles land twice, first with a provisional text; the stream keeps the newest version of each."""
+    landing, out = scratch_path(spark, "landed"), scratch_path(spark, "ingested")
+    docs = V.docs(spark, sf).select(F.col("document_id").cast("string").alias("source_id"), "title", "abstract", "full_text",
+                                    "section_offsets")
+    draft = docs.withColumn("full_text", F.upper("full_text")).withColumn("landed_at", F.timestamp_seconds(F.lit(1)))
+    draft.write.parquet(landing)
+    ckpt = scratch_path(spark, "ingest-state")
+
+    def run():
+        stream = spark.readStream.schema(ingest.LANDED).parquet(landing)
+        ingest.start_ingest(stream, out, ckpt, V.SIZE, V.OVERLAP).awaitTermination()
+
+    run()
+    docs.withColumn("landed_at", F.timestamp_seconds(F.lit(2))).write.mode("append").parquet(landing)
+    run()
+    return ingest.current_chunks(spark, out).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
