@@ -86,7 +86,7 @@ def token_windows(
     """Overlapping windows of one text, with character offsets in the document."""
     step = size - overlap
 
-    def build(toks: Column) -> Column:
+    def cut(toks: Column) -> Column:
         raw = F.transform(window_starts(F.size(toks), size, overlap), lambda s: F.struct(
             F.array_join(F.slice(toks, s + 1, F.lit(size)), "").alias("content"),
             F.length(F.array_join(F.slice(toks, s + 1, F.lit(step)), "")).alias("step_chars"),
@@ -99,7 +99,15 @@ def token_windows(
                     (at + F.length(w["content"])).alias("char_end"), w["token_count"].alias("token_count")))))
         return let(raw, place)
 
-    return let(tokens(text), build).cast(WINDOW_TYPE)
+    def build(toks: Column) -> Column:
+        # most sections fit one window and need no prefix sums
+        single = let(F.array_join(toks, ""), lambda body: F.array(F.struct(
+            section.alias("section"), body.alias("content"), section_char_start.alias("char_start"),
+            (section_char_start + F.length(body)).alias("char_end"), F.size(toks).alias("token_count"))))
+        return F.when(F.size(toks) == 0, F.array().cast(WINDOW_TYPE)) \
+            .when(F.size(toks) <= size, single.cast(WINDOW_TYPE)).otherwise(cut(toks).cast(WINDOW_TYPE))
+
+    return let(tokens(text), build)
 
 
 def document_windows(

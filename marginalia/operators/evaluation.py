@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions.text import safe_ratio, single_bracket_sources, terms
-from marginalia.operators.ordinals import even_tiles
+from marginalia.operators.ordinals import even_tiles, exact_percentiles
 
 
 def retrieved_sources(results: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -115,12 +115,11 @@ def accuracy_by_answer(merged: DataFrame) -> DataFrame:
 def accuracy_by_time(merged: DataFrame, tiles: int = 4) -> DataFrame:
     """Accuracy per response-time quartile. Equal times are ordered by md5 of the question id.
 
-    Times are cut into milliseconds and ties into md5 groups, so neither a total sort nor a window over all
-    questions runs.
+    Times are cut into milliseconds, of which an answer below its time limit has few, and each millisecond into a
+    million md5 groups, so neither a total sort nor a window over all questions runs.
     """
     rows = merged.where(F.col("conclusion_match").isNotNull()).withColumn("h", F.md5("question_id"))
-    levels = [F.floor(F.col("response_time_ms") / 1000), F.floor("response_time_ms"),
-              F.substring("h", 1, 3), F.substring("h", 1, 6)]
+    levels = [F.floor("response_time_ms"), F.substring("h", 1, 5)]
     tiled = even_tiles(rows, tiles, levels, [F.col("response_time_ms"), F.col("h"), F.col("question_id")], "quartile")
     return tiled.groupBy("quartile").agg(
         F.count(F.lit(1)).alias("n"), F.avg(_correct().cast("double")).alias("accuracy"),
@@ -129,8 +128,9 @@ def accuracy_by_time(merged: DataFrame, tiles: int = 4) -> DataFrame:
 
 def latency_percentiles(scored: DataFrame, exact: bool = True) -> DataFrame:
     """Median and 95th percentile; the approximate form keeps a bounded sketch for very large runs."""
-    fn = F.percentile if exact else F.percentile_approx
-    p = fn("response_time_ms", F.array(F.lit(0.5), F.lit(0.95)))
+    if exact:
+        return exact_percentiles(scored, "response_time_ms", (0.5, 0.95)).toDF("p50", "p95")
+    p = F.percentile_approx("response_time_ms", F.array(F.lit(0.5), F.lit(0.95)))
     return scored.agg(p.alias("p")).select(F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"))
 
 
@@ -207,36 +207,39 @@ def judge_blocks(results: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def prompt_messages(queries: DataFrame, passages: DataFrame, history: DataFrame | None, system: str) -> DataFrame:
-    """Chat messages per query: system text, earlier turns (role and content only), passages and question.
+    """Chat messages per query as rows (query_id, part, turn, role, content), in order of part and turn.
 
-    ``passages``: query_id, rank, line. ``history``: query_id, turn, role, content. Both lists are bounded by
-    the size of a prompt.
+    Part 0 is the system text, part 1 the earlier turns (role and content only), part 2 the passages and the
+    question. ``passages``: query_id, rank, line, a top-n list per query. ``history``: query_id, turn, role,
+    content; it stays in rows, so a long conversation is never gathered.
     """
     lines = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("ls"))
-    out = queries.select("query_id", "qtext").join(lines, "query_id", "left")
+    asked = queries.select("query_id", "qtext")
     n = F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls"))
-    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
     body = F.concat(
         F.lit("<Literature>\nBelow are the top "), n.cast("string"),
         F.lit(" most relevant literature passages to the user's query. Each passage starts with a unique "
               "[source_id].\n"),
         F.coalesce(F.array_join("ls.line", ""), F.lit("")), F.lit("</Literature>\nUser Query: "), F.col("qtext"))
-    earlier = F.array().cast("array<struct<role:string,content:string>>")
+
+    def row(part: int, turn: Column, role: Column, content: Column) -> list[Column]:
+        return [F.col("query_id"), F.lit(part).alias("part"), turn.cast("long").alias("turn"), role.alias("role"),
+                content.alias("content")]
+
+    out = asked.select(*row(0, F.lit(0), F.lit("system"), F.lit(system))).unionByName(
+        asked.join(lines, "query_id", "left").select(*row(2, F.lit(0), F.lit("user"), body)))
     if history is not None:
-        turns = history.groupBy("query_id").agg(
-            F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("hs"))
-        out = out.join(turns, "query_id", "left")
-        earlier = F.coalesce(F.transform("hs", lambda h: message(h["role"], h["content"])), earlier)
-    return out.select("query_id", F.concat(
-        F.array(message(F.lit("system"), F.lit(system))), earlier,
-        F.array(message(F.lit("user"), body))).alias("messages"))
-
-
-def split_system(messages: Column) -> tuple[Column, Column]:
-    """The last system text ('' without one) and the other messages."""
-    system = F.filter(messages, lambda m: m["role"] == "system")
-    return (F.coalesce(F.try_element_at(system, F.lit(-1))["content"], F.lit("")),
-            F.filter(messages, lambda m: m["role"] != "system"))
+        earlier = history.join(asked.select("query_id"), "query_id", "left_semi")
+        out = out.unionByName(earlier.select(*row(1, F.col("turn"), F.col("role"), F.col("content"))))
+    return out
+
+
+def split_system(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last system text per query ('' without one), and the other messages."""
+    is_system = F.col("role") == "system"
+    last = F.max_by(F.when(is_system, F.col("content")), F.when(is_system, F.struct("part", "turn")))
+    return (messages.groupBy("query_id").agg(F.coalesce(last, F.lit("")).alias("system")),
+            messages.where(~is_system))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -14,20 +14,17 @@ def citation_edges(metrics: DataFrame) -> DataFrame:
         .distinct()
 
 
-def cocited_with(seeds: DataFrame, edges: DataFrame, salts: int = 16) -> DataFrame:
+def cocited_with(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Papers cited together with the seeds, and in how many citing papers: (seed, other, n).
 
-    Two hops from the seeds, never all pairs of a reference list. References of one citing paper are spread over
-    ``salts`` groups and the few seed hits are copied to each, so a citing paper with a third of all edges is
-    joined by many tasks; counts combine before the shuffle.
+    Two hops from the seeds, never all pairs of a reference list. The join by citing paper is left to adaptive
+    execution: a broadcast where the seed hits turn out small, else a sort-merge join whose hot partitions are
+    split. Counts combine before the shuffle.
     """
     hits = edges.join(seeds.select(F.col("seed").alias("referenced")).distinct(), "referenced", "left_semi") \
         .select("citing", F.col("referenced").alias("seed"))
-    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = edges.select("citing", F.col("referenced").alias("other"),
-                          F.pmod(F.xxhash64("referenced"), F.lit(salts)).cast("int").alias("salt"))
-    return spread.join(hits, ["citing", "salt"]).where(F.col("other") != F.col("seed")) \
-        .groupBy("seed", "other").agg(F.count(F.lit(1)).alias("n"))
+    return edges.select("citing", F.col("referenced").alias("other")).join(hits, "citing") \
+        .where(F.col("other") != F.col("seed")).groupBy("seed", "other").agg(F.count(F.lit(1)).alias("n"))
 
 
 def key_authors(metrics: DataFrame, top: int = 20) -> DataFrame:

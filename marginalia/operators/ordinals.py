@@ -18,8 +18,8 @@ def radix_levels(key: Column, bits: Sequence[int] = (40, 20)) -> list[Column]:
     return [F.shiftright(key.cast("long"), b) for b in bits]
 
 
-def hash_levels(key: Column, digits: Sequence[int] = (3, 6)) -> list[Column]:
-    """Levels for a unique string ordered by its md5: 4,096 then 16.7 million even groups."""
+def hash_levels(key: Column, digits: Sequence[int] = (5,)) -> list[Column]:
+    """Levels for a unique string ordered by its md5: about a million even groups."""
     return [F.substring(F.md5(key), 1, d) for d in digits]
 
 
@@ -89,6 +89,25 @@ def fixed_batches(df: DataFrame, id_col: str, size: int, name: str = "batch_id")
     return numbered.withColumn(name, F.expr(f"__n div {int(size)}")).drop("__n")
 
 
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """Interpolated percentiles (one column p0, p1, ... per share) from a distributed histogram.
+
+    Equal values are counted before the shuffle; ranks come from running totals by whole and thousandth, so no
+    task holds all distinct values.
+    """
+    v = F.col(value)
+    histogram = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_total(histogram, [], [F.floor(v), F.floor(v * 1000)], [v], F.col("__c"), "__before")
+    total = df.where(v.isNotNull()).agg(F.count(F.lit(1)).alias("n")).scalar()
+    at = lambda rank: F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c")), v))
+    columns = []
+    for i, share in enumerate(shares):
+        target = F.lit(float(share)) * (total - 1)
+        low = at(F.floor(target))
+        columns.append((low + (target - F.floor(target)) * (at(F.ceil(target)) - low)).alias(f"p{i}"))
+    return ranked.agg(*columns)
+
+
 def even_tiles(df: DataFrame, tiles: int, levels: Sequence[Column], order: Sequence[Column],
                name: str = "tile") -> DataFrame:
     """``ntile`` over the whole table; the first ``rows mod tiles`` tiles hold one row more."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions.text import section_priority, terms
-from marginalia.operators.vectors import BROADCAST_QUERIES, vector_topk
+from marginalia.operators.vectors import counted_topk
 from marginalia.session import settle
 
 # A result set of at most this many rows (ids and scores, ~64 bytes each) is broadcast to the big tables.
@@ -17,9 +17,13 @@ RESULT_COLUMNS = ["query_id", "rank", "document_chunk_id", "section", "content",
                   "source_id", "title", "authors", "publication_date", "journal", "doi"]
 
 
-def small(hits: DataFrame, bound: int) -> DataFrame:
-    """Broadcast hint for a set whose size is known to be at most ``bound`` rows; none beyond the limit."""
-    return F.broadcast(hits) if bound <= BROADCAST_HITS else hits
+def small(hits: DataFrame, bound: int | None) -> DataFrame:
+    """Broadcast hint for a set known to have at most ``bound`` rows; none beyond the limit or without a bound."""
+    return F.broadcast(hits) if bound is not None and bound <= BROADCAST_HITS else hits
+
+
+def _times(queries: int | None, per_query: int) -> int | None:
+    return None if queries is None else queries * per_query
 
 
 def live_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -37,12 +41,12 @@ def document_fields(metadata: str = "metadata") -> dict[str, Column]:
     }
 
 
-def with_documents(hits: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
+def with_documents(hits: DataFrame, docs: DataFrame, bound: int | None = None) -> DataFrame:
     slim = docs.select("document_id", "source_id", "title", "metadata")
     return slim.join(small(hits, bound), "document_id").withColumns(document_fields()).drop("metadata")
 
 
-def with_chunks(hits: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
+def with_chunks(hits: DataFrame, chunks: DataFrame, bound: int | None = None) -> DataFrame:
     """Section and content, read only for the hits."""
     texts = chunks.select("document_chunk_id", "section", "content")
     return texts.join(small(hits, bound), "document_chunk_id")
@@ -50,8 +54,12 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, bound: int) -> DataFrame:
 
 def nearest_chunks(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int = 10) -> DataFrame:
     """Ids, scores and ranks of the top_k searchable chunks per query."""
+    return _nearest(queries, chunks, docs, top_k)[0]
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int) -> tuple[DataFrame, int | None]:
     vectors = live_chunks(chunks.select("document_chunk_id", "document_id", "embedding"), docs)
-    return vector_topk(queries, vectors, top_k)
+    return counted_topk(queries, vectors, top_k)
 
 
 def lexical_score(query: Column, content: Column) -> Column:
@@ -79,12 +87,13 @@ def expand_documents(
     exclude: DataFrame | None = None,
     chunks_per_document: int = 5,
     max_excluded: int = 0,
-    bound: int = BROADCAST_HITS + 1,
+    bound: int | None = None,
 ) -> DataFrame:
     """Additional chunks of documents, taken round-robin over sections, answer-rich sections first.
 
     ``wanted``: (query_id, document_id). ``exclude``: (query_id, document_chunk_id), at most
-    ``max_excluded`` per query. Returns (query_id, document_id, document_chunk_id, overall_rank).
+    ``max_excluded`` per query. ``bound``: proven limit of the rows of both. Returns (query_id, document_id,
+    document_chunk_id, overall_rank).
 
     A document asked for by many queries is ranked once, before it meets the queries: of each section only
     its first n + max_excluded chunks can be chosen, and only from the first n + max_excluded sections.
@@ -124,22 +133,21 @@ def semantic_search(
     use_reranker: bool = False,
     additional_chunks_per_doc: int = 0,
     scorer: Callable[[Column, Column], Column] = lexical_score,
-    query_bound: int = BROADCAST_QUERIES,
 ) -> DataFrame:
     """Search results per query: nearest chunks, optionally expanded within their documents and reranked.
 
-    ``query_bound`` is an upper bound of the number of queries; it decides whether hit lists are broadcast.
+    Hit lists are broadcast to the chunk and document tables where the counted queries bound them.
     """
-    hits = nearest_chunks(queries, chunks, docs, top_k)
+    hits, n = _nearest(queries, chunks, docs, top_k)
     if use_reranker and additional_chunks_per_doc > 0:
         # used four times below: keep the ids, so that the vectors are scanned once
         hits = settle(hits)
     if not use_reranker:
         kept = hits.where(F.col("rank") <= top_n)
-        out = with_documents(with_chunks(kept, chunks, query_bound * top_n), docs, query_bound * top_n)
+        out = with_documents(with_chunks(kept, chunks, _times(n, top_n)), docs, _times(n, top_n))
         return out.select(*RESULT_COLUMNS)
 
-    bound = query_bound * top_k
+    bound = _times(n, top_k)
     candidates = hits.select("query_id", "document_id", "document_chunk_id", "similarity_score",
                              F.lit(0).alias("stage"), F.col("rank").alias("position"))
     if additional_chunks_per_doc > 0:
@@ -147,16 +155,16 @@ def semantic_search(
         candidates = candidates.unionByName(more.select(
             "query_id", "document_id", "document_chunk_id", F.lit(None).cast("double").alias("similarity_score"),
             F.lit(1).alias("stage"), (F.col("document_id") * 1000 + F.col("overall_rank")).alias("position")))
-        bound = query_bound * top_k * (1 + additional_chunks_per_doc)
+        bound = _times(n, top_k * (1 + additional_chunks_per_doc))
     texts = with_chunks(candidates, chunks, bound)
     asked = queries.select("query_id", "qtext")
-    pairs = texts.join(small(asked, query_bound), "query_id")
+    pairs = texts.join(small(asked, n), "query_id")
     best = rerank(pairs, top_n, scorer, "qtext", ("stage", "position"))
-    out = with_documents(best.drop("qtext", "stage", "position"), docs, query_bound * top_n)
+    out = with_documents(best.drop("qtext", "stage", "position"), docs, _times(n, top_n))
     return out.select(*RESULT_COLUMNS, "rerank_score")
 
 
-def fetch_chunks(ids: DataFrame, chunks: DataFrame, docs: DataFrame, bound: int = BROADCAST_HITS + 1) -> DataFrame:
+def fetch_chunks(ids: DataFrame, chunks: DataFrame, docs: DataFrame, bound: int | None = None) -> DataFrame:
     """Chunks by id with document fields; the similarity is NULL. Unknown ids give no row."""
     hits = ids.select("document_chunk_id").distinct()
     found = chunks.select("document_chunk_id", "document_id", "section", "content").join(
@@ -193,10 +201,8 @@ def hybrid_retrieval(
     """Fresh results followed by chunks cited earlier in the conversation."""
     fresh = semantic_search(queries, chunks, docs, top_k, top_n, **options).drop("rerank_score")
     old = historical_chunks(fresh, history, max_historical_chunks)
-    bound = options.get("query_bound", BROADCAST_QUERIES) * max_historical_chunks
-    found = chunks.select("document_chunk_id", "document_id", "section", "content") \
-        .join(small(old, bound), "document_chunk_id")
-    found = with_documents(found, docs, bound).select(
+    found = chunks.select("document_chunk_id", "document_id", "section", "content").join(old, "document_chunk_id")
+    found = with_documents(found, docs).select(
         "query_id", "document_chunk_id", "section", "content", F.lit(None).cast("double").alias("similarity_score"),
         "document_id", "source_id", "title", "authors", "publication_date", "journal", "doi", "position")
     return fresh.withColumn("origin", F.lit("fresh")).unionByName(

@@ -12,12 +12,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from marginalia.functions.text import rstrip, word_runs
 from marginalia.operators.ordinals import fixed_batches
+from marginalia.session import scratch_path
 
 # Rows of the broadcast query matrix: 4,096 x 768 doubles are 25 MB.
 BROADCAST_QUERIES = 4096
@@ -97,35 +98,45 @@ def _usable(vectors: DataFrame, column: str, dims: int) -> DataFrame:
     return vectors.where(F.col(column).isNotNull() & (F.size(column) == dims))
 
 
-def _query_dims(queries: DataFrame) -> int:
-    first = queries.select(F.size("qvec").alias("n")).where("n > 0").limit(1).collect()
-    return first[0]["n"] if first else 0
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, **limits) -> DataFrame:
+    """Top-k hits; see ``counted_topk``."""
+    return counted_topk(queries, chunks, k, **limits)[0]
 
 
-def vector_topk(
+def counted_topk(
     queries: DataFrame,
     chunks: DataFrame,
     k: int,
     broadcast_queries: int = BROADCAST_QUERIES,
     grid_chunks: int = GRID_CHUNKS,
-) -> DataFrame:
+) -> tuple[DataFrame, int | None]:
     """The k nearest chunks per query by cosine: (query_id, document_chunk_id, document_id, similarity_score, rank).
 
     ``queries``: query_id long, qvec array. ``chunks``: document_chunk_id, document_id, embedding. NULL,
     zero and wrongly sized vectors take no part. Ties go to the smaller chunk id.
+
+    Also returns the number of queries when it is at most ``broadcast_queries``, else None: callers may broadcast
+    hit lists only where this bounds them.
     """
     spark = queries.sparkSession
-    dims = _query_dims(queries)
-    if not dims:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    usable_q = _usable(queries.select("query_id", "qvec"), "qvec", dims)
+    asked = queries.select("query_id", "qvec").where("size(qvec) > 0")
+    block = asked.limit(broadcast_queries + 1).collect()
+    if not block:
+        return spark.createDataFrame([], HIT_SCHEMA + ", rank int"), 0
+    dims = len(block[0]["qvec"])
+    usable_q = _usable(asked, "qvec", dims)
     corpus = _usable(chunks.select("document_chunk_id", "document_id", "embedding"), "embedding", dims)
-    block = usable_q.limit(broadcast_queries + 1).collect()
     if len(block) <= broadcast_queries:
-        hits = _scan_topk(spark, block, corpus, k)
-    else:
-        hits = _grid_topk(usable_q, corpus, k, broadcast_queries, grid_chunks)
-    return best_per_query(hits, k)
+        block = [r for r in block if len(r["qvec"]) == dims]
+        return best_per_query(_scan_topk(spark, block, corpus, k), k), len(block)
+    cells = math.ceil(corpus.count() * 2 / grid_chunks)
+    hits = _grid_topk(usable_q, corpus, k, _blocks(usable_q, broadcast_queries), F.lit(max(1, cells)), [])
+    return best_per_query(hits, k), None
+
+
+def _blocks(queries: DataFrame, rows: int) -> int:
+    # half-full on average, so that uneven hashing stays below the limit
+    return max(1, math.ceil(queries.count() * 2 / rows))
 
 
 def best_per_query(hits: DataFrame, k: int) -> DataFrame:
@@ -151,26 +162,28 @@ def _scan_topk(spark, rows, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.mapInArrow(scan, HIT_SCHEMA)
 
 
-def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, q_rows: int, c_rows: int) -> DataFrame:
-    """Query blocks x chunk blocks. Blocks come from hashes of unique ids, so they are even whatever the data."""
-    n_q = max(1, math.ceil(queries.count() * 2 / q_rows))
-    n_c = max(1, math.ceil(corpus.count() * 2 / c_rows))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", block("query_id", n_q)).withColumn("cb", every(n_c))
-    right = corpus.withColumn("cb", block("document_chunk_id", n_c)).withColumn("qb", every(n_q))
+def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, n_q: int, n_c: Column, keys: list[str]) -> DataFrame:
+    """Query blocks x chunk blocks, within ``keys`` when given.
+
+    Blocks come from hashes of unique ids, so they are even whatever the data; ``n_c`` is the number of chunk
+    blocks and may depend on a key, so a hot key is cut into more blocks.
+    """
+    block = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = queries.withColumn("qb", block("query_id", F.lit(n_q))).withColumn("cb", every(n_c))
+    right = corpus.withColumn("cb", block("document_chunk_id", n_c)).withColumn("qb", every(F.lit(n_q)))
 
     def cell(qs: pa.Table, cs: pa.Table) -> pa.Table:
         if not qs.num_rows or not cs.num_rows:
             return _ARROW_HITS.empty_table()
-        qs = qs.combine_chunks()
         ids = qs.column("query_id").to_numpy()
         best, matrix = _Best(ids, k), _unit_rows(_matrix(qs.column("qvec").combine_chunks()))
         for batch in cs.combine_chunks().to_batches(max_chunksize=8192):
             _score_batch(best, matrix, batch)
         return pa.Table.from_batches([best.batch()])
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, HIT_SCHEMA)
+    on = [*keys, "qb", "cb"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, HIT_SCHEMA)
 
 
 # ---- coarse partitions: approximate search that reads only the probed lists ----
@@ -192,39 +205,54 @@ def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Adds ``list_id``; write the result partitioned by it so that a search prunes whole lists."""
     shared = chunks.sparkSession.sparkContext.broadcast(centroids)
 
-    @F.pandas_udf(T.IntegerType())
-    def nearest(vectors: pd.Series) -> pd.Series:
-        matrix = np.array(vectors.tolist(), dtype=np.float64)
-        return pd.Series(np.argmax(matrix @ shared.value.T, axis=1).astype(np.int32))
+    @F.arrow_udf(T.IntegerType())
+    def nearest(vectors: pa.Array) -> pa.Array:
+        return pa.array(np.argmax(_matrix(vectors) @ shared.value.T, axis=1).astype(np.int32))
 
     dims = centroids.shape[1]
     return _usable(chunks, "embedding", dims).withColumn("list_id", nearest("embedding"))
 
 
 def probe_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k: int, probes: int,
-               broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+               broadcast_queries: int = BROADCAST_QUERIES, grid_chunks: int = GRID_CHUNKS) -> DataFrame:
     """Top-k among the chunks of each query's ``probes`` nearest lists; may miss neighbours in other lists.
 
-    More queries than the cap run block by block, each block a scan of the lists it probes.
+    Query sets above the cap go through the block grid within each list; a large list is cut into more blocks.
     """
     spark = queries.sparkSession
-    usable = _usable(queries.select("query_id", "qvec"), "qvec", centroids.shape[1])
-    blocks = max(1, math.ceil(usable.count() * 2 / broadcast_queries))
-    parts = None
-    for b in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        hits = _probe_block(spark, rows, listed, centroids, k, probes)
-        parts = hits if parts is None else parts.unionAll(hits)
-    if parts is None:
+    asked = _usable(queries.select("query_id", "qvec"), "qvec", centroids.shape[1])
+    block = asked.limit(broadcast_queries + 1).collect()
+    if not block:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    return best_per_query(parts, k)
+    if len(block) <= broadcast_queries:
+        return best_per_query(_probe_block(spark, block, listed, centroids, k, probes), k)
+    # one row per list, so bounded by the number of lists
+    sizes = F.broadcast(listed.groupBy("list_id").agg(
+        F.ceil(F.count(F.lit(1)) * 2 / grid_chunks).cast("int").alias("cells")))
+    aimed = _nearest_lists(asked, centroids, probes).join(sizes, "list_id")
+    corpus = listed.select("document_chunk_id", "document_id", "embedding", "list_id").join(sizes, "list_id")
+    hits = _grid_topk(aimed, corpus, k, _blocks(asked, broadcast_queries), F.col("cells"), ["list_id"])
+    return best_per_query(hits, k)
+
+
+def _nearest_lists(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    shared = queries.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    def lists(vectors: pa.Array) -> pa.Array:
+        order = _probe_order(_unit_rows(_matrix(vectors)), shared.value, probes).astype(np.int32)
+        return pa.ListArray.from_arrays(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1], order.ravel())
+
+    return queries.withColumn("list_id", F.explode(lists("qvec")))
+
+
+def _probe_order(unit: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    return np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :probes]
 
 
 def _probe_block(spark, rows, listed: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
     ids, matrix = _query_block(rows)
-    order = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes]
+    order = _probe_order(matrix, centroids, probes)
     wanted = np.zeros((len(ids), centroids.shape[0]), dtype=bool)
     np.put_along_axis(wanted, order, True, axis=1)
     shared = spark.sparkContext.broadcast((ids, matrix, wanted))
@@ -260,15 +288,15 @@ def hashed_buckets(text: Column, dims: int) -> Column:
 
 def hashing_embedder(dims: int = 64) -> Callable[[Column], Column]:
     """Offline stand-in for an embedding model: unit-length hashed term counts; NULL for a blank text."""
-    @F.pandas_udf(T.ArrayType(T.FloatType(), False))
-    def counts(buckets: pd.Series) -> pd.Series:
-        sizes = np.array([0 if b is None else len(b) for b in buckets])
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        cols = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)]) \
-            if sizes.sum() else np.empty(0, dtype=np.int64)
-        matrix = np.bincount(rows * dims + cols, minlength=len(sizes) * dims).reshape(len(sizes), dims)
+    @F.arrow_udf(T.ArrayType(T.FloatType(), False))
+    def counts(buckets: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = np.repeat(np.arange(len(sizes)) * dims, sizes) + buckets.flatten().to_numpy(zero_copy_only=False)
+        matrix = np.bincount(cells, minlength=len(sizes) * dims).reshape(len(sizes), dims)
         unit = _unit_rows(matrix.astype(np.float64)).astype(np.float32)
-        return pd.Series([u if n else None for u, n in zip(unit, sizes)])
+        # a text without words has no vector
+        offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dims, mask=np.append(sizes == 0, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
 
     return lambda text: counts(hashed_buckets(text, dims))
 
@@ -285,17 +313,22 @@ def embed_documents(
     text: Callable[[Column, Column, Column], Column],
     batch_size: int = 50,
     commit_scope: str = "batch",
+    staging: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Embeds all chunks of documents in status ``chunked``.
 
     A failed vector keeps back its whole batch of documents (``commit_scope="batch"``) or only its document
     (``"document"``). Returns (chunk rows with their vectors, one report row per document: document_id,
-    batch_id, n_chunks, n_failed, new_status).
+    batch_id, n_chunks, n_failed, new_status). Vectors are written once to ``staging`` in the shared folder,
+    because the commit rule and the result both need them and a model must not run twice.
     """
+    staging = staging or scratch_path(chunks.sparkSession, "vectors")
     work = docs.where(F.col("ingestion_status") == "chunked").select("document_id", "title")
     batches = fixed_batches(work, "document_id", batch_size)
     vectors = chunks.drop("embedding").join(batches, "document_id").withColumn(
         "embedding", embedder(text(F.col("title"), F.col("section"), F.col("content"))))
+    vectors.write.parquet(staging)
+    vectors = chunks.sparkSession.read.parquet(staging)
     per_doc = vectors.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("embedding").isNull()).alias("n_failed"))
     report = batches.join(per_doc, "document_id", "left").select(

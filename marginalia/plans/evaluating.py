@@ -186,28 +186,40 @@ def _(spark, sf):
 _SYSTEM = "Answer from the literature only and cite it."
 
 
-@query("i12_i13_prompt_messages", r"""select query_id, 'Answer from the literature only and cite it.' as system, n as messages, md5(
-  '<Literature>' || chr(10) || 'Below are the top ' || k || ' most relevant literature passages to the user''s query. Each passage starts with a unique [source_id].'
-  || chr(10) || coalesce(lines, '') || '</Literature>' || chr(10) || 'User Query: ' || qtext) as prompt
-from (select query_id, qtext, (select count(*) + 1 from messages m where m.conv_id = query_id) as n,
-  (select count(*) from top10 t where t.query_id = q.query_id and rank <= 5) as k,
-  (select string_agg('[PMC' || source_id || '] Title: ' || title || ' | ' || regexp_replace(content, '\[[\d,\s\-]+\]', '', 'g')
-    || ' | Journal: ' || case when has_meta then journal else '' end || chr(10), '' order by rank)
-    from top10 t join docs using (document_id) where t.query_id = q.query_id and rank <= 5) as lines from questions q)""")
-def _(spark, sf):
+_PROMPTS = r"""prompts as (select query_id, 0 as part, 0 as turn, 'system' as role, 'Answer from the literature only and cite it.' as content
+    from questions
+  union all select conv_id, 1, turn, role, content from messages where conv_id in (select query_id from questions)
+  union all select query_id, 2, 0, 'user', '<Literature>' || chr(10) || 'Below are the top ' || k
+    || ' most relevant literature passages to the user''s query. Each passage starts with a unique [source_id].' || chr(10)
+    || coalesce(lines, '') || '</Literature>' || chr(10) || 'User Query: ' || qtext
+  from (select query_id, qtext, (select count(*) from top10 t where t.query_id = q.query_id and rank <= 5) as k,
+    (select string_agg('[PMC' || source_id || '] Title: ' || title || ' | ' || regexp_replace(content, '\[[\d,\s\-]+\]', '', 'g')
+      || ' | Journal: ' || case when has_meta then journal else '' end || chr(10), '' order by rank)
+      from top10 t join docs using (document_id) where t.query_id = q.query_id and rank <= 5) as lines from questions q))"""
+
+
+def _prompts(spark, sf):
     from marginalia.operators.retrieval import semantic_search
 
     q = V.questions(spark, sf)
     hits = semantic_search(q, V.vec_chunks(spark, sf), V.slim_docs(spark, sf))
     lines = hits.select("query_id", "rank", X.passage_line(
         F.col("source_id"), F.col("title"), F.col("content"), F.col("journal")).alias("line"))
-    history = V.messages(spark, sf).select(F.col("conv_id").alias("query_id"), "turn", "role", "content") \
-        .where("role <> 'system'").unionByName(V.messages(spark, sf).where("role = 'system'").select(
-            F.col("conv_id").alias("query_id"), "turn", F.lit("user").alias("role"), "content"))
-    prompts = E.prompt_messages(q, lines, history, _SYSTEM)
-    system, rest = E.split_system(F.col("messages"))
-    return prompts.select("query_id", system.alias("system"), F.size(rest).cast("long").alias("messages"),
-                          F.md5(F.element_at(rest, -1)["content"]).alias("prompt"))
+    history = V.messages(spark, sf).select(F.col("conv_id").alias("query_id"), "turn", "role", "content")
+    return E.prompt_messages(q, lines, history, _SYSTEM)
+
+
+@query("i12_prompt_messages", f"with {_PROMPTS} select query_id, part::bigint as part, turn::bigint as turn, role, md5(content) as content "
+       "from prompts")
+def _(spark, sf):
+    return _prompts(spark, sf).withColumns({"part": F.col("part").cast("long"), "content": F.md5("content")})
+
+
+@query("i13_system_message", f"""with {_PROMPTS} select query_id, arg_max(content, part * 1000000 + turn) filter (where role = 'system') as system,
+  count(*) filter (where role <> 'system') as others from prompts group by all""")
+def _(spark, sf):
+    system, rest = E.split_system(_prompts(spark, sf))
+    return system.join(rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("others")), "query_id")
 
 
 @query("j7_retrieval_evaluation", """select round(avg(hit::int), 6) as retrieval_rate, count(*) as questions from (

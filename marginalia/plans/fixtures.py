@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia.functions.text import word_runs
 from marginalia.operators.chunking import chunk_documents, compose_article, unique_section_names
+from marginalia.session import spread
 
 # Chunk window used on the fixtures, so that short texts give several windows.
 SIZE, OVERLAP = 64, 8
@@ -72,7 +73,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Title, abstract and named sections of each document: its non-blank lines."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    base = table(spark, sf, "documents").select("doc_id", "lang", "source", "text", lines.alias("lines"))
+    base = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text")) \
+        .withColumn("lines", lines)
     body = F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))
     raw = F.transform(body, lambda x, i: pick(BODY_NAMES, i % 5))
     return base.select(
@@ -97,7 +99,7 @@ def slim_docs(spark: SparkSession, sf: str) -> DataFrame:
     """The document columns retrieval needs, without texts."""
     base = table(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"), "lang", "source",
-        F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0)).alias("title"))
+        F.regexp_extract("text", r"([^\n]*[^ \n][^\n]*)", 1).alias("title"))
     return _with_state(base, spark, sf, F.col("document_id")) \
         .select("document_id", "source", "source_id", "title", "metadata", "priority", "ingestion_status")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.plans.views import with_views
+from marginalia.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +20,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(tune(spark), sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -167,7 +167,7 @@ def _(spark, sf):
 from top10 join docs using (document_id) left join (select * from papers where pmid > 0) p on p.pmc_id = source_id
 left join metrics m on m.pmid = p.pmid""")
 def _(spark, sf):
-    hits = R.with_documents(_near(spark, sf), V.slim_docs(spark, sf), R.BROADCAST_QUERIES * 10)
+    hits = R.with_documents(_near(spark, sf), V.slim_docs(spark, sf))
     out = graph.enrich_results(hits, V.papers(spark, sf), V.metrics(spark, sf))
     return _long(out, "rank", "citation_count").select(
         "query_id", "rank", "source_id", "pmid", "citation_count", "nih_percentile")
@@ -190,7 +190,7 @@ from (select *, sim + case when regexp_matches(lower(section),
   'abstract|conclusion|discussion|result|introduction|background|limitation') then 0.1 else 0 end as w from top10)""")
 def _(spark, sf):
     v = V.bare_vec_chunks(spark, sf).select("document_chunk_id", "section")
-    hits = v.join(R.small(_near(spark, sf), R.BROADCAST_QUERIES * 10), "document_chunk_id")
+    hits = v.join(_near(spark, sf), "document_chunk_id")
     return _long(_score(R.weight_sections(hits), "weighted_score"), "weighted_rank").select(
         "query_id", "document_chunk_id", "weighted_score", "weighted_rank")
 
@@ -198,7 +198,7 @@ def _(spark, sf):
 @query("n5_diversified")
 def _(spark, sf):
     v = V.bare_vec_chunks(spark, sf).select("document_chunk_id", "embedding")
-    hits = v.join(R.small(_near(spark, sf), R.BROADCAST_QUERIES * 10), "document_chunk_id")
+    hits = v.join(_near(spark, sf), "document_chunk_id")
     return R.diversify(hits, 5)
 
 

@@ -123,14 +123,15 @@ def _(spark, sf):
                                               o["char_end"].cast("string"))), ";").alias("offsets"))
 
 
-@query("e6_unique_section_names", """select conv_id, string_agg(name, ',' order by turn) as names from (
-  select conv_id, turn, role || case when row_number() over (partition by conv_id, role order by turn) = 1 then ''
-    else '_' || (row_number() over (partition by conv_id, role order by turn) - 1) end as name from conversations) group by conv_id""")
+@query("e6_unique_section_names", r"""select doc_id, string_agg(name, ',' order by pos) as names from (
+  select doc_id, pos, word || case when n = 1 then '' else '_' || (n - 1) end as name from (
+    select *, row_number() over (partition by doc_id, word order by pos) as n from (
+      select doc_id, pos, lower(regexp_extract(text, '^ *(\p{L}*)', 1)) as word from docparts0))) group by doc_id""")
 def _(spark, sf):
-    # a document per conversation, its headings are the roles
-    c = V.table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("rs"))
-    return c.select("conv_id", F.array_join(K.unique_section_names(F.col("rs.role")), ",").alias("names"))
+    """The first word of each line stands for its heading."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    words = F.transform(lines, lambda x: F.lower(F.regexp_extract(x, r"^ *(\p{L}*)", 1)))
+    return V.table(spark, sf, "documents").select("doc_id", F.array_join(K.unique_section_names(words), ",").alias("names"))
 
 
 @query("i7_token_windows", r"""select doc_id, s // 462 as n, md5(array_to_string(toks[s + 1 : s + 512], '')) as content,

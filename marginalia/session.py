@@ -51,6 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Gives heavy per-row work all cores when a scan has few splits (a small file is one split).
+
+    A table of many files or row groups has enough splits and is left alone. Meant for plain scans.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoints a small, dearly computed result that a plan uses several times."""
     spark = df.sparkSession
