@@ -226,11 +226,11 @@ def probe_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
     if len(block) <= broadcast_queries:
         return best_per_query(_probe_block(spark, block, listed, centroids, k, probes), k)
-    # one row per list, so bounded by the number of lists
-    sizes = F.broadcast(listed.groupBy("list_id").agg(
-        F.ceil(F.count(F.lit(1)) * 2 / grid_chunks).cast("int").alias("cells")))
-    aimed = _nearest_lists(asked, centroids, probes).join(sizes, "list_id")
-    corpus = listed.select("document_chunk_id", "document_id", "embedding", "list_id").join(sizes, "list_id")
+    # one row per list, so bounded by the number of centroids
+    cells = [(r["list_id"], math.ceil(r["count"] * 2 / grid_chunks)) for r in listed.groupBy("list_id").count().collect()]
+    sizes = lambda: F.broadcast(spark.createDataFrame(cells, "list_id int, cells int"))
+    aimed = _nearest_lists(asked, centroids, probes).join(sizes(), "list_id")
+    corpus = listed.select("document_chunk_id", "document_id", "embedding", "list_id").join(sizes(), "list_id")
     hits = _grid_topk(aimed, corpus, k, _blocks(asked, broadcast_queries), F.col("cells"), ["list_id"])
     return best_per_query(hits, k)
 
