@@ -34,6 +34,11 @@ def duplicate_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id", "chunk_index").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+def offender_sample(offenders: DataFrame, key: str = "document_id", size: int = 10) -> DataFrame:
+    """The first offenders by key, for a report."""
+    return offenders.orderBy(key).limit(size)
+
+
 def dimension_counts(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("dimension")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,9 @@ from marginalia.session import settle
 # A result set of at most this many rows (ids and scores, ~64 bytes each) is broadcast to the big tables.
 BROADCAST_HITS = 1_000_000
 
+# Up to this many document ids (~50 bytes each in a hash table) are broadcast: 100 MB.
+BROADCAST_IDS = 2_000_000
+
 RESULT_COLUMNS = ["query_id", "rank", "document_chunk_id", "section", "content", "similarity_score", "document_id",
                   "source_id", "title", "authors", "publication_date", "journal", "doi"]
 
@@ -26,9 +29,14 @@ def _times(queries: int | None, per_query: int) -> int | None:
     return None if queries is None else queries * per_query
 
 
-def live_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks of documents that are not excluded from search. The filter meets the documents before the join."""
-    return chunks.join(docs.where(F.col("priority") > 0).select("document_id"), "document_id", "left_semi")
+def live_chunks(chunks: DataFrame, docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Chunks of documents that are not excluded from search.
+
+    The searchable ids are counted first: up to the limit they are broadcast and the vectors stay where they
+    are read; beyond it the tables join by document id, without a shuffle when both are bucketed by it.
+    """
+    live = docs.where(F.col("priority") > 0).select("document_id")
+    return chunks.join(F.broadcast(live) if live.count() <= broadcast_ids else live, "document_id", "left_semi")
 
 
 def document_fields(metadata: str = "metadata") -> dict[str, Column]:

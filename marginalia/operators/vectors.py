@@ -16,7 +16,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from marginalia.functions.text import rstrip, word_runs
 from marginalia.operators.ordinals import fixed_batches
 from marginalia.session import scratch_path
 
@@ -50,12 +49,16 @@ class _Best:
         self.query_ids, self.k = query_ids, k
         none = (np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
         self.rows = [none] * len(query_ids)
+        self.floor = np.full(len(query_ids), -np.inf)  # k-th best score so far
 
     def add(self, sims: np.ndarray, chunk_ids: np.ndarray, doc_ids: np.ndarray,
             allowed: np.ndarray | None = None) -> None:
-        for q in range(len(self.query_ids)):
+        fits = sims >= self.floor[:, None]
+        if allowed is not None:
+            fits &= allowed
+        for q in np.flatnonzero(fits.any(axis=1)):
             old_s, old_c, old_d = self.rows[q]
-            cand = np.arange(len(chunk_ids)) if allowed is None else np.flatnonzero(allowed[q])
+            cand = np.flatnonzero(fits[q])
             s = sims[q, cand]
             if len(s) > self.k:
                 # keep ties of the k-th score, the id decides among them below
@@ -67,6 +70,8 @@ class _Best:
             d = np.concatenate([old_d, doc_ids[cand]])
             top = np.lexsort((c, -s))[:self.k]
             self.rows[q] = (s[top], c[top], d[top])
+            if len(top) == self.k:
+                self.floor[q] = s[top[-1]]
 
     def batch(self) -> pa.RecordBatch:
         counts = [len(r[0]) for r in self.rows]
@@ -129,14 +134,15 @@ def counted_topk(
     if len(block) <= broadcast_queries:
         block = [r for r in block if len(r["qvec"]) == dims]
         return best_per_query(_scan_topk(spark, block, corpus, k), k), len(block)
-    cells = math.ceil(corpus.count() * 2 / grid_chunks)
-    hits = _grid_topk(usable_q, corpus, k, _blocks(usable_q, broadcast_queries), F.lit(max(1, cells)), [])
+    # counted by id, so that no vector is read for it
+    cells = math.ceil(chunks.select("document_chunk_id").count() * 2 / grid_chunks)
+    hits = _grid_topk(usable_q, corpus, k, _blocks(queries, broadcast_queries), F.lit(max(1, cells)), [])
     return best_per_query(hits, k), None
 
 
 def _blocks(queries: DataFrame, rows: int) -> int:
     # half-full on average, so that uneven hashing stays below the limit
-    return max(1, math.ceil(queries.count() * 2 / rows))
+    return max(1, math.ceil(queries.select("query_id").count() * 2 / rows))
 
 
 def best_per_query(hits: DataFrame, k: int) -> DataFrame:
@@ -231,7 +237,7 @@ def probe_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k:
     sizes = lambda: F.broadcast(spark.createDataFrame(cells, "list_id int, cells int"))
     aimed = _nearest_lists(asked, centroids, probes).join(sizes(), "list_id")
     corpus = listed.select("document_chunk_id", "document_id", "embedding", "list_id").join(sizes(), "list_id")
-    hits = _grid_topk(aimed, corpus, k, _blocks(asked, broadcast_queries), F.col("cells"), ["list_id"])
+    hits = _grid_topk(aimed, corpus, k, _blocks(queries, broadcast_queries), F.col("cells"), ["list_id"])
     return best_per_query(hits, k)
 
 
@@ -282,7 +288,7 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
 
 def hashed_buckets(text: Column, dims: int) -> Column:
     """Feature hashing: each lower-cased word falls into one of ``dims`` buckets by its md5."""
-    words = F.transform(word_runs(F.lower(text)), rstrip)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\S+)"), F.lit(1))
     return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims).cast("int"))
 
 

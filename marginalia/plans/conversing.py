@@ -243,3 +243,12 @@ def _(spark, sf):
     e = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf) \
         .withColumn("ts", F.col("ts").cast("timestamp"))
     return _drain(spark, activity.activity_sessions(e), "sessions")
+
+
+@query("l5_idle_expiry_stream", """select conv_id, max(ts) * 1000 as last_accessed_ms from messages group by conv_id
+having max(ts) + 3630 < (select max(ts) from messages) - 60""")
+def _(spark, sf):
+    landing = scratch_path(spark, "messages")
+    V.messages(spark, sf).select("conv_id", "ts").write.parquet(landing)
+    stream = spark.readStream.schema("conv_id bigint, ts timestamp").parquet(landing)
+    return _drain(spark, activity.expire_idle(stream, 3630), "expired")

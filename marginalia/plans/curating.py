@@ -414,6 +414,13 @@ def _(spark, sf):
     return Q.embedded_without_vectors(V.slim_docs(spark, sf), _broken(spark, sf)).select("document_id", "title")
 
 
+@query("f8_offender_sample", f"""with {_BROKEN} select document_id, title from docs d where ingestion_status = 'embedded'
+and not exists (select 1 from broken b where b.document_id = d.document_id and embedding is not null) order by document_id limit 10""")
+def _(spark, sf):
+    bad = Q.embedded_without_vectors(V.slim_docs(spark, sf), _broken(spark, sf)).select("document_id", "title")
+    return Q.offender_sample(bad)
+
+
 @query("m3_d5_duplicate_chunks", f"""with {_BROKEN} select document_id, chunk_index::bigint as chunk_index, count(*) as copies
 from broken group by all having count(*) > 1""")
 def _(spark, sf):

@@ -1,6 +1,6 @@
 """Row types of the tables and records."""
 
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession, types as T
 
 SECTION_OFFSET = T.StructType([
     T.StructField("section", T.StringType()),
@@ -171,3 +171,11 @@ TOKEN_EVENT = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
+
+TABLES = {"papers": PAPERS, "docs": DOCS, "chunks": CHUNKS, "metrics": METRICS}
+
+
+def create_tables(spark: SparkSession, root: str) -> None:
+    """Empty tables below ``root``; those that exist are left alone."""
+    for name, schema in TABLES.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}")

@@ -16,6 +16,11 @@ LANDED = ("source_id string, title string, abstract string, full_text string, "
           "section_offsets array<struct<section:string,char_start:int,char_end:int>>, landed_at timestamp")
 
 
+def first_arrivals(landed_ids: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Each landed id once, however often it comes within the delay."""
+    return landed_ids.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["source_id"])
+
+
 def write_version(landed: DataFrame, out_dir: str, version: int, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> None:
     """Stores one batch of documents and their chunks; the newest copy of a repeated document counts."""
     rows = landed.groupBy("source_id").agg(F.max_by(F.struct(*[c for c in landed.columns if c != "source_id"]),

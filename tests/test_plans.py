@@ -48,3 +48,11 @@ def test_large_hit_sets_are_not_broadcast(spark):
     assert "hint" not in R.small(df, R.BROADCAST_HITS + 1)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in R.small(df, None)._jdf.queryExecution().logical().toString().lower()
     assert "hint" in R.small(df, 10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_vectors_are_not_shuffled_for_the_document_filter(spark, sf):
+    text = plan(R.live_chunks(V.bare_vec_chunks(spark, sf), V.slim_docs(spark, sf)))
+    above = text[:text.index("BroadcastHashJoin")]
+    scan = next(line for line in text.splitlines() if "embedding" in line and "FileScan" in line)
+    assert "Exchange" not in above and scan
+    assert text[text.index("BroadcastHashJoin"):text.index("FileScan")].count("Exchange") == 0

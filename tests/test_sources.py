@@ -57,8 +57,16 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = live_chunks(spark.table("m_test.chunks_b"), spark.table("m_test.docs_b"))
+        out = live_chunks(spark.table("m_test.chunks_b"), spark.table("m_test.docs_b"), broadcast_ids=10)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and out.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_create_tables(spark, tmp_path):
+    S.create_tables(spark, str(tmp_path))
+    spark.createDataFrame([("7",)], "pmc_id string").write.mode("append").parquet(str(tmp_path / "papers"))
+    S.create_tables(spark, str(tmp_path))
+    assert spark.read.schema(S.PAPERS).parquet(str(tmp_path / "papers")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "chunks")).schema["embedding"].dataType.elementType.typeName() == "float"

@@ -119,3 +119,10 @@ def test_ingest_keeps_the_newest_version(spark):
     again = spark.createDataFrame([row(1, "new", 3)], schema).withColumn("landed_at", F.timestamp_seconds("landed_at"))
     ingest.write_version(again, out, 1, 4, 1)
     assert {(r["document_id"], r["content"]) for r in ingest.current_chunks(spark, out).collect()} == chunks
+
+
+def test_first_arrivals(spark):
+    rows = [("1", 10), ("2", 20), ("1", 30)]
+    df = spark.createDataFrame(rows, "source_id string, at int").select("source_id", F.timestamp_seconds("at").alias("landed_at"))
+    stream = land(spark, [df.where("source_id = '1'"), df], df.schema)
+    assert sorted(r["source_id"] for r in drain(spark, ingest.first_arrivals(stream)).collect()) == ["1", "2"]
