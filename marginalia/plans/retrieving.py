@@ -155,6 +155,15 @@ def _(spark, sf):
     return E.probe_topk(V.questions(spark, sf), E.assign_lists(v, centroids), centroids, 10, 2)
 
 
+@query("j2_all_lists", """select query_id, rank, document_chunk_id, round(sim, 6) as similarity_score from top10""")
+def _(spark, sf):
+    """Probing every list gives the exact result."""
+    v = R.live_chunks(V.bare_vec_chunks(spark, sf), V.slim_docs(spark, sf))
+    centroids = E.fit_centroids(v, 8)
+    hits = E.probe_topk(V.questions(spark, sf), E.assign_lists(v, centroids), centroids, 10, 8)
+    return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")
+
+
 @query("j2_recall")
 def _(spark, sf):
     v = R.live_chunks(V.bare_vec_chunks(spark, sf), V.slim_docs(spark, sf))
@@ -195,11 +204,24 @@ def _(spark, sf):
         "query_id", "document_chunk_id", "weighted_score", "weighted_rank")
 
 
-@query("n5_diversified")
+def _mmr_sql(k: int) -> str:
+    """One selection step after the other: relevance less likeness to what is chosen."""
+    steps = ["pool as (select t.query_id, t.document_chunk_id, t.sim, c.embedding from top10 t join vec_chunks c using (document_chunk_id))"]
+    for i in range(1, k + 1):
+        chosen = " union all ".join(f"select * from m{j}" for j in range(1, i)) or "select * from pool where false"
+        steps.append(f"""m{i} as materialized (select query_id, document_chunk_id, sim, embedding from (select p.*, 0.7::double * sim - 0.3::double
+          * coalesce((select max(list_cosine_similarity(p.embedding, c.embedding)) from ({chosen}) c where c.query_id = p.query_id), 0) as gain
+          from pool p where not exists (select 1 from ({chosen}) c where c.query_id = p.query_id and c.document_chunk_id = p.document_chunk_id))
+          qualify row_number() over (partition by query_id order by gain desc, document_chunk_id) = 1)""")
+    picks = " union all ".join(f"select query_id, document_chunk_id, {i}::bigint as mmr_rank from m{i}" for i in range(1, k + 1))
+    return f"with {', '.join(steps)} {picks}"
+
+
+@query("n5_diversified", _mmr_sql(5))
 def _(spark, sf):
     v = V.bare_vec_chunks(spark, sf).select("document_chunk_id", "embedding")
     hits = v.join(_near(spark, sf), "document_chunk_id")
-    return R.diversify(hits, 5)
+    return _long(R.diversify(hits, 5), "mmr_rank")
 
 
 # ---- embedding ----

@@ -8,6 +8,7 @@ from marginalia.functions import text as X
 from marginalia.operators import articles as A, chunking as K, evaluation as E
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
+from marginalia.session import spread
 
 _REF = r"(?is)(?:^|\n)\s*(?:##\s*References|References\s*:|\*\*References\*\*)\s*:?\s*.*$"
 
@@ -142,7 +143,7 @@ from (select doc_id, toks, unnest(range(0, greatest(len(toks) - 51, 0) + 1, 462)
 def _(spark, sf):
     """Default window, 512 tokens with 50 overlapping, over whole texts."""
     w = K.token_windows(F.col("text"), F.lit("body"), F.lit(0))
-    return V.table(spark, sf, "documents").select("doc_id", F.posexplode(w).alias("n", "w")).select(
+    return spread(V.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(w).alias("n", "w")).select(
         "doc_id", F.col("n").cast("long").alias("n"), F.md5("w.content").alias("content"),
         *[F.col(f"w.{c}").cast("long").alias(c) for c in ("char_start", "char_end", "token_count")])
 

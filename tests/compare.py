@@ -46,6 +46,9 @@ def normal(columns, rows):
 
 def run_pair(spark, con, name, queries, oracles, sf):
     df = queries[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return -1, "a join pairs all rows"
     got = normal(df.columns, [tuple(r) for r in df.collect()])
     if name not in oracles:
         return len(got[1]), "rows only"
