@@ -65,19 +65,23 @@ def store_citations(messages: DataFrame, cited: DataFrame, citations: DataFrame)
 def display_messages(messages: DataFrame, citations: DataFrame) -> DataFrame:
     """Messages as shown: headings and references cut, sources renumbered, leaked numbers dropped.
 
-    Only the numbers an answer asks for travel to it, never the conversation's whole map; numbers are
-    dense, so the conversation's count alone decides whether a bare number is valid.
+    Only the numbers an answer asks for travel to it, never the conversation's whole map. Numbers are dense, so
+    the conversation's count alone decides whether a bare number is valid, and it goes only to answers that have
+    one. Texts are shuffled once.
     """
+    keys = ["conv_id", "turn"]
     answers = messages.where(F.col("role") == "assistant").withColumn(
         "body", X.strip_references_section(X.strip_answer_heading(F.col("content"))))
-    asked = answers.select("conv_id", "turn", F.explode(X.renumberable_sources(F.col("body"))).alias("source_id"))
+    asked = answers.select(*keys, F.explode(X.renumberable_sources(F.col("body"))).alias("source_id"))
     numbers = asked.join(citations.select("conv_id", "source_id", "number"), ["conv_id", "source_id"]) \
-        .groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "number"))).alias("map"))
-    counts = citations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("highest"))
-    # counts meet the turns that have bare numbers, not all messages
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("source_id", "number"))).alias("map"))
+    counts = citations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("count"))
+    bare = answers.where(F.col("body").rlike(X.NUMBER_BRACKET)).select(*keys).join(counts, "conv_id")
+    facts = numbers.join(bare, keys, "full_outer")
     empty = F.map_from_entries(F.array().cast("array<struct<source_id:string,number:bigint>>"))
-    shown = answers.join(numbers, ["conv_id", "turn"], "left").join(counts, "conv_id", "left").withColumn(
-        "display", X.drop_leaked_numbers(X.renumber(F.col("body"), F.coalesce("map", empty)),
-                                         X.is_number_up_to(F.coalesce("highest", F.lit(0)))))
+    own = F.coalesce("map", empty)
+    highest = F.greatest(F.coalesce("count", F.lit(0)), F.coalesce(F.array_max(F.map_values(own)), F.lit(0)))
+    shown = answers.join(facts, keys, "left").withColumn("display", X.drop_leaked_numbers(
+        X.renumber(F.col("body"), own), X.is_number_up_to(highest)))
     return shown.select("conv_id", "turn", "role", "display").unionByName(
         messages.where(F.col("role") != "assistant").select("conv_id", "turn", "role", F.col("content").alias("display")))
