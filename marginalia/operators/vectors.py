@@ -88,9 +88,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _score_batch(best: _Best, queries: np.ndarray, batch: pa.RecordBatch, allowed=None) -> None:
+    names = batch.schema.names
+    fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(names.index("embedding"))), queries.shape[1]), False)
+    if not pc.all(fits, min_count=0).as_py():
+        if allowed is not None:
+            allowed = allowed[:, fits.to_numpy(zero_copy_only=False)]
+        batch = batch.filter(fits)
     if batch.num_rows == 0:
         return
-    names = batch.schema.names
     vectors = _matrix(batch.column(names.index("embedding")))
     live = np.linalg.norm(vectors, axis=1) > 0
     ids = batch.column(names.index("document_chunk_id")).to_numpy(zero_copy_only=False)
@@ -124,16 +129,23 @@ def counted_topk(
     hit lists only where this bounds them.
     """
     spark = queries.sparkSession
-    asked = queries.select("query_id", "qvec").where("size(qvec) > 0")
-    block = asked.limit(broadcast_queries + 1).collect()
-    if not block:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank int"), 0
-    dims = len(block[0]["qvec"])
-    usable_q = _usable(asked, "qvec", dims)
-    corpus = _usable(chunks.select("document_chunk_id", "document_id", "embedding"), "embedding", dims)
-    if len(block) <= broadcast_queries:
+    asked = queries.select("query_id", "qvec")
+    rows = asked.limit(broadcast_queries + 1).collect()
+    block = [r for r in rows if r["qvec"]]
+    dims = len(block[0]["qvec"]) if block else 0
+    corpus = chunks.select("document_chunk_id", "document_id", "embedding")
+    if len(rows) <= broadcast_queries:
         block = [r for r in block if len(r["qvec"]) == dims]
+        if not block:
+            return spark.createDataFrame([], HIT_SCHEMA + ", rank int"), 0
+        # the kernel leaves out unusable vectors; a filter here would run an embedding function twice
         return best_per_query(_scan_topk(spark, block, corpus, k), k), len(block)
+    if not dims:
+        later = asked.where("size(qvec) > 0").select(F.size("qvec").alias("n")).limit(1).collect()
+        if not later:
+            return spark.createDataFrame([], HIT_SCHEMA + ", rank int"), None
+        dims = later[0]["n"]
+    usable_q, corpus = _usable(asked, "qvec", dims), _usable(corpus, "embedding", dims)
     # counted by id, so that no vector is read for it
     cells = math.ceil(chunks.select("document_chunk_id").count() * 2 / grid_chunks)
     hits = _grid_topk(usable_q, corpus, k, _blocks(queries, broadcast_queries), F.lit(max(1, cells)), [])
@@ -226,12 +238,13 @@ def probe_topk(queries: DataFrame, listed: DataFrame, centroids: np.ndarray, k:
     Query sets above the cap go through the block grid within each list; a large list is cut into more blocks.
     """
     spark = queries.sparkSession
-    asked = _usable(queries.select("query_id", "qvec"), "qvec", centroids.shape[1])
-    block = asked.limit(broadcast_queries + 1).collect()
-    if not block:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    if len(block) <= broadcast_queries:
+    rows = queries.select("query_id", "qvec").limit(broadcast_queries + 1).collect()
+    if len(rows) <= broadcast_queries:
+        block = [r for r in rows if r["qvec"] and len(r["qvec"]) == centroids.shape[1]]
+        if not block:
+            return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
         return best_per_query(_probe_block(spark, block, listed, centroids, k, probes), k)
+    asked = _usable(queries.select("query_id", "qvec"), "qvec", centroids.shape[1])
     # one row per list, so bounded by the number of centroids
     cells = [(r["list_id"], math.ceil(r["count"] * 2 / grid_chunks)) for r in listed.groupBy("list_id").count().collect()]
     sizes = lambda: F.broadcast(spark.createDataFrame(cells, "list_id int, cells int"))

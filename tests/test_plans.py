@@ -1,6 +1,8 @@
 """Plan shapes that must hold at any size. That no query pairs all rows is checked beside its oracle."""
 
-from marginalia.operators import curation, retrieval as R
+from pyspark.sql import functions as F
+
+from marginalia.operators import curation, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 
 def plan(df):
@@ -41,3 +43,11 @@ def test_vectors_are_not_shuffled_for_the_document_filter(spark, sf):
     scan = next(line for line in text.splitlines() if "embedding" in line and "FileScan" in line)
     assert "Exchange" not in above and scan
     assert text[text.index("BroadcastHashJoin"):text.index("FileScan")].count("Exchange") == 0
+
+
+def test_an_embedding_function_runs_once_per_text(spark, sf):
+    embed = E.hashing_embedder(64)
+    q = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), embed(F.col("text")).alias("qvec"))
+    c = R.live_chunks(V.chunks(spark, sf), V.slim_docs(spark, sf)).select(
+        "document_chunk_id", "document_id", embed(F.col("content")).alias("embedding"))
+    assert plan(E.vector_topk(q, c, 5)).count("ArrowEvalPython") == 1
