@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import curation, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
