@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import mixing
+from marginalia.llm import html_blocks, mixing, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,55 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document by a mix of 150% of all words, sources weighted 5, 2, 1."""
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix(docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("size")))
+
+
+@_query("op1_line_blocks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
+REPETITION_SQL = r"""
+with toks as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+word as (
+  select doc_id, unnest(ws) as w, unnest(generate_series(1, len(ws))) as i from toks),
+sizes as (
+  select doc_id, sum(length(w))::bigint as word_chars from word group by 1),
+gram as (
+  select doc_id, n, i, list_aggregate(list_slice(ws, i, i + n - 1), 'string_agg', ' ') as g
+  from toks, (values (5), (6), (7), (8), (9), (10)) k(n), unnest(generate_series(1, len(ws) - n + 1)) u(i)),
+twin as (
+  select doc_id, n, i from (select *, count(*) over (partition by doc_id, n, g) as found from gram) where found > 1),
+inside as (
+  select distinct t.doc_id, t.n, t.i + k.j as i from twin t, (select unnest(range(0, 10)) as j) k where k.j < t.n),
+cover as (
+  select c.doc_id, c.n, count(*) as words, sum(length(w.w)) as chars from inside c join word w using (doc_id, i) group by 1, 2),
+line as (
+  select doc_id, l, count(*) - 1 as again from (select doc_id, unnest(string_split(text, chr(10))) as l from toks)
+  where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1, 2),
+lines as (
+  select doc_id, sum(again)::bigint as n_dup_lines,
+    sum(again * length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) as chars from line group by 1),
+told as (
+  select t.doc_id, len(t.ws)::bigint as n_words, coalesce(s.word_chars, 0)::bigint as word_chars,
+    length(regexp_replace(t.text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(l.n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce((select words from cover c where c.doc_id = t.doc_id and n = 8), 0)::bigint as n_repeat_words,
+    coalesce(l.chars::double / s.word_chars, 0) as dup_line_share,
+    coalesce((select chars from cover c where c.doc_id = t.doc_id and n = 5)::double / s.word_chars, 0) as dup_5gram_share,
+    coalesce((select chars from cover c where c.doc_id = t.doc_id and n = 6)::double / s.word_chars, 0) as dup_6gram_share,
+    coalesce((select chars from cover c where c.doc_id = t.doc_id and n = 7)::double / s.word_chars, 0) as dup_7gram_share,
+    coalesce((select chars from cover c where c.doc_id = t.doc_id and n = 8)::double / s.word_chars, 0) as dup_8gram_share,
+    coalesce((select chars from cover c where c.doc_id = t.doc_id and n = 9)::double / s.word_chars, 0) as dup_9gram_share,
+    coalesce((select chars from cover c where c.doc_id = t.doc_id and n = 10)::double / s.word_chars, 0) as dup_10gram_share
+  from toks t left join sizes s on s.doc_id = t.doc_id left join lines l on l.doc_id = t.doc_id),
+base as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from told)
+select *, not base_failed and dup_line_share <= 0.20 and dup_5gram_share <= 0.15 and dup_6gram_share <= 0.14
+  and dup_7gram_share <= 0.13 and dup_8gram_share <= 0.12 and dup_9gram_share <= 0.11 and dup_10gram_share <= 0.10 as kept from base
+"""
+
+
+@_query("op6_repetition_coverage", REPETITION_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every document."""
+    return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
