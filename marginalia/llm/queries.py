@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import html_blocks, mixing, repetition
+from marginalia.llm import html_blocks, mixing, repetition, warc
+from marginalia.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +118,21 @@ select *, not base_failed and dup_line_share <= 0.20 and dup_5gram_share <= 0.15
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+with paid as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages),
+told as (
+  select page_id, strlen(payload)::bigint as payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, 5 * (i // 4)::int + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1, 1)), '') as payload_digest,
+    max(page_id) over (partition by payload) as largest from paid)
+select page_id, payload_bytes, payload_digest, case when page_id = largest then 'response' else 'revisit' end as record_type,
+  case when page_id <> largest then largest end as refers_to from told
+"""
+
+
+@_query("op2_warc_normaliser", WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written, normalised to a member per record and read back by offset."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
