@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import html_blocks, mixing, repetition, warc
+from marginalia.llm import html_blocks, mixing, packing, repetition, warc
 from marginalia.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ select page_id, payload_bytes, payload_digest, case when page_id = largest then
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written, normalised to a member per record and read back by offset."""
     return warc.round_trip(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+@_query("op5_shortest_pack_first")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
