@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import html_blocks, language, mixing, packing, repetition, toxicity, warc
+from marginalia.llm import ann, html_blocks, language, mixing, packing, repetition, toxicity, warc
 from marginalia.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     return language.identify(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_dimension_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
