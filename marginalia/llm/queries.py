@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import ann, html_blocks, language, mixing, packing, repetition, toxicity, warc
+from marginalia.llm import ann, html_blocks, language, licenses, mixing, packing, repetition, toxicity, warc
 from marginalia.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,45 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors found for every hundredth vector."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def _license_sql() -> str:
+    """Word sets of all lines against all templates, one by one; the fixed lists are those of the operator."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{label}', {quoted(licenses._set_of(text))})" for label, text in licenses.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {quoted(phrase.split())})" for phrase, label in licenses.PHRASES.items())
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    take = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+with docs as (
+  select doc_id, {fold.format("coalesce(text, '')")} as text, {take.format(fold.format("coalesce(text, '')"))} as ws from documents),
+templates(label, words) as (values {templates}),
+phrases(label, words) as (values {phrases}),
+places as (
+  select d.doc_id, p.label, i - 1 as spot
+  from docs d, phrases p, unnest(generate_series(1, len(d.ws))) u(i)
+  where d.ws[i] = p.words[1] and list_slice(d.ws, i, i + len(p.words) - 1) = p.words),
+base as (
+  select doc_id, count(*) as n_base, min(spot) as first_word, max(spot) as last_word, list(distinct label) as labels
+  from places group by 1),
+lines as (
+  select doc_id, list_distinct({take.format("line")}) as held
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from docs)),
+met as (
+  select l.doc_id, t.label, len(list_intersect(l.held, t.words)) as overlap, len(t.words) as size from lines l, templates t
+  where len(l.held) > 0),
+best as (
+  select doc_id, list(distinct label) as labels, max(overlap::double / size) as share from met
+  where 100 * overlap >= {licenses.THRESHOLD} * size group by 1)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base, b.first_word::bigint as first_word,
+  b.last_word::bigint as last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,
+  case when b.n_base > 0 then 1.0::double else coalesce(m.share, 0.0)::double end as score
+from docs d left join base b using (doc_id) left join best m using (doc_id)
+"""
+
+
+@_query("op10_license_join", _license_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
