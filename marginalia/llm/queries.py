@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import ann, html_blocks, language, licenses, mixing, packing, repetition, toxicity, warc
+from marginalia.llm import ann, html_blocks, language, licenses, mixing, ngram_join, packing, repetition, toxicity, warc
 from marginalia.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,30 @@ from docs d left join base b using (doc_id) left join best m using (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+JOIN_SQL = r"""
+with recursive toks as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws from documents),
+shingle as (
+  select distinct doc_id, list_aggregate(list_slice(ws, i, i + 2), 'string_agg', ' ') as g
+  from toks, unnest(generate_series(1, case when len(ws) = 0 then 0 else greatest(len(ws) - 2, 1) end)) u(i)),
+sizes as (select doc_id, count(*) as n from shingle group by 1),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as both from shingle a join shingle b on a.g = b.g and a.doc_id <> b.doc_id
+  group by 1, 2),
+links as (
+  select p.a, p.b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b
+  where 100 * p.both >= 90 * (x.n + y.n - p.both)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select r.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(r.other) as component_id
+from reach r left join sizes s on s.doc_id = r.doc_id group by 1
+"""
+
+
+@_query("op4_jaccard_join", JOIN_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 3-word shingles are alike to 0.9."""
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
