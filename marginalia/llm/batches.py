@@ -34,6 +34,14 @@ def over_rows(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], made: s
     return out.select(*[out[f"k{i}"].alias(c) for i, c in enumerate(keep)], *[f.name for f in arrow])
 
 
+def keep_rows(df: DataFrame, inputs: Sequence[str], work: Callable[[], Callable[..., tuple[bool]]]) -> DataFrame:
+    """The rows of ``df``, with all columns, for which a function of the ``inputs`` is true."""
+    verdict = "keep"
+    while verdict in df.columns:
+        verdict += "_"
+    return over_rows(df, df.columns, inputs, f"{verdict} boolean", work).where(verdict).drop(verdict)
+
+
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
           "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
           "array<string>": pa.list_(pa.string())}

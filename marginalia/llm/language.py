@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.batches import over_rows
+from marginalia.llm.batches import keep_rows, over_rows
 from marginalia.llm.letters import codes, gram_buckets
 
 
@@ -127,6 +127,22 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Model:
     return learn([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def reliable(lang: str, share: float, least: float = 0.45) -> bool:
+    """Whether a text has a known language that makes up enough of it."""
+    return lang != UNKNOWN and share >= least
+
+
+def keep_reliable(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known and prevails in them."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
+
+    def work():
+        known = model.value
+        return lambda text: (reliable(*infer(known, text)[:2]),)
+
+    return keep_rows(docs, ["text"], work)
+
+
 def identify(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, langs, shares) for every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample))

@@ -128,3 +128,20 @@ def mix(docs: DataFrame, budget: tuple[int, int] = (3, 2), repeats: int = 2, wei
     told = told.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     times = F.floor((F.col("times") + F.col("copies") - 1 - F.col("k")) / F.col("copies"))
     return told.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, budget: tuple[int, int] = (3, 2), repeats: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The rows of (doc_id, source, text, ...) that a mix takes, all columns, each as often as it is taken.
+
+    Rows of one id, source and text are one document with several copies.
+    """
+    name = "mix_key"
+    while name in docs.columns:
+        name += "_"
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"), F.md5("source"))
+    keyed = docs.withColumn(name, key)
+    sizes = keyed.select(F.col(name).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    taken = mix(sizes, budget, repeats, weights).where("taken > 0")
+    times = taken.groupBy("doc_id").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    once = keyed.dropDuplicates([name]).join(times.withColumnRenamed("doc_id", "_key"), F.col(name) == F.col("_key"))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_pass")).select(*docs.columns)

@@ -195,3 +195,10 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return told.join(smallest, "component", "left") \
         .select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
                 .alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, that have the smallest id of their class; equal rows of one id and text count once."""
+    first = classes(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])

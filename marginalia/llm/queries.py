@@ -229,3 +229,11 @@ from reach r left join sizes s on s.doc_id = r.doc_id group by 1
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 3-word shingles are alike to 0.9."""
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed sequences of all documents that the stages of the pipeline keep."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.batches import over_rows
+from marginalia.llm.batches import keep_rows, over_rows
 from marginalia.llm.letters import codes, gram_buckets
 
 
@@ -173,3 +173,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> D
 
     scored = over_rows(docs, ["doc_id"], ["text"], "score double, predicted int", work)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+
+    def work():
+        known = model.value
+        return lambda text: (score(known, text) < 0.5,)
+
+    return keep_rows(docs, ["text"], work)
