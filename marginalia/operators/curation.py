@@ -149,19 +149,22 @@ def conversion_requests(papers: DataFrame, batch_size: int = 200) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def populate_metrics(papers: DataFrame, metrics: DataFrame, max_update: int | None = 50000) -> DataFrame:
+def populate_metrics(papers: DataFrame, metrics: DataFrame, max_update: int | None = None) -> DataFrame:
     """Copies metrics to papers not yet queried: missing numbers become -1, booleans stay NULL.
 
-    Papers without a metrics row stay untouched. ``max_update`` is the run size, lowest pmid first.
+    Papers without a metrics row stay untouched. ``max_update`` limits a run to so many papers, lowest pmid first. Of
+    several metrics rows of one pmid, the one with the most citations counts.
     """
     todo = metric_work_list(papers).select("pmc_id", "pmid")
     if max_update is not None:
         todo = todo.orderBy("pmid").limit(max_update)
-    rows = todo.join(metrics, "pmid").groupBy("pmc_id").agg(F.first(F.struct(
+    rows = todo.join(metrics, "pmid").groupBy("pmc_id").agg(F.max_by(F.struct(
         fill_sentinel(F.col("nih_percentile")).alias("nih_percentile"), fill_sentinel(F.col("year")).alias("year"),
         fill_sentinel(F.col("citation_count")).alias("citation_count"),
         fill_sentinel(F.col("relative_citation_ratio")).alias("relative_citation_ratio"),
-        "is_clinical", "is_research_article")).alias("__m"))
+        "is_clinical", "is_research_article"),
+        F.struct(F.coalesce("citation_count", F.lit(-1)), F.coalesce("year", F.lit(-1)), F.xxhash64(*metrics.columns)))
+        .alias("__m"))
     source = {"publication_year": "year"}
     copied = ("nih_percentile", "publication_year", "citation_count", "relative_citation_ratio", "is_clinical",
               "is_research_article")
@@ -201,41 +204,35 @@ def mark_fetched(papers: DataFrame, outcomes: DataFrame) -> DataFrame:
         if c == "fetch_status" else F.col(c) for c in papers.columns])
 
 
-def pack_batches(
-    sizes: DataFrame,
-    max_chunks: int = 50_000,
-    max_tokens: int = 3_000_000,
-    shard_docs: int = 100_000,
-) -> DataFrame:
+def pack_batches(sizes: DataFrame, max_chunks: int = 50_000, max_tokens: int = 3_000_000) -> DataFrame:
     """Whole documents, by id, into batches within both limits.
 
-    ``sizes``: document_id, chunk_count, token_count. Packing is greedy in shards of ``shard_docs`` documents; a
-    shard starts a new batch, so shards run in parallel. A document above a limit alone makes its own batch;
-    none is left out.
+    ``sizes``: document_id, chunk_count, token_count. Running totals by id cut the documents at every multiple of a
+    limit: those that lie between the same multiples of both make a batch, named by its first id, and a document that
+    lies across one is a batch of its own. So no batch exceeds a limit but by a document that alone does, none is
+    left out, and the result does not depend on how the table is stored or how large it is.
     """
-    import pandas as pd
-
-    from marginalia.operators.ordinals import fixed_batches
-
-    sharded = fixed_batches(sizes.where("chunk_count > 0"), "document_id", shard_docs, "shard")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("document_id")
-        batch, chunks, tokens, first, out = 0, 0, 0, True, []
-        for c, t in zip(pdf["chunk_count"], pdf["token_count"]):
-            if not first and (chunks + c > max_chunks or tokens + t > max_tokens):
-                batch, chunks, tokens = batch + 1, 0, 0
-            chunks, tokens, first = chunks + c, tokens + t, False
-            out.append(batch)
-        return pd.DataFrame({"document_id": pdf["document_id"], "shard": pdf["shard"], "batch": out,
-                             "chunk_count": pdf["chunk_count"], "token_count": pdf["token_count"]})
-
-    return sharded.groupBy("shard").applyInPandas(
-        pack, "document_id long, shard long, batch long, chunk_count long, token_count long")
+    from marginalia.operators.ordinals import radix_levels, running_total
+
+    key, levels = F.col("document_id"), radix_levels(F.col("document_id"))
+    out = running_total(sizes.where("chunk_count > 0"), [], levels, [key], F.col("chunk_count"), "__c")
+    out = running_total(out, [], levels, [key], F.col("token_count"), "__t")
+    marks = []
+    for before, size, limit in (("__c", "chunk_count", max_chunks), ("__t", "token_count", max_tokens)):
+        marks += [F.expr(f"{before} div {int(limit)}"), F.expr(f"greatest({before} + {size} - 1, {before}) div {int(limit)}")]
+    first_c, last_c, first_t, last_t = marks
+    across = F.when((first_c != last_c) | (first_t != last_t), key)
+    out = out.withColumns({"__first_c": first_c, "__first_t": first_t, "__across": across})
+    keys = ["__first_c", "__first_t", "__across"]
+    names = out.groupBy(*keys).agg(F.min("document_id").alias("batch"))
+    same = (F.col("o.__first_c") == F.col("n.__first_c")) & (F.col("o.__first_t") == F.col("n.__first_t")) \
+        & F.col("o.__across").eqNullSafe(F.col("n.__across"))
+    return out.alias("o").join(names.alias("n"), same) \
+        .select("o.document_id", "n.batch", "o.chunk_count", "o.token_count")
 
 
 def batch_totals(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("shard", "batch").agg(
+    return packed.groupBy("batch").agg(
         F.count(F.lit(1)).alias("doc_count"), F.sum("chunk_count").alias("chunk_count"),
         F.sum("token_count").alias("token_count"))
 

@@ -31,6 +31,11 @@ def score_answers(results: DataFrame, chunks: DataFrame, docs: DataFrame) -> Dat
     }).drop("sources")
 
 
+def stored_citations() -> Column:
+    """Number of citations stored with an answer, which its text may name in any form; 0 without a list."""
+    return F.coalesce(F.size("citations"), F.lit(0))
+
+
 def summary(scored: DataFrame, include_errors: bool = False) -> DataFrame:
     """Totals and averages; error rows count in the denominators only with ``include_errors``."""
     used = F.lit(True) if include_errors else F.col("error").isNull()
@@ -40,7 +45,7 @@ def summary(scored: DataFrame, include_errors: bool = False) -> DataFrame:
         F.count_if(F.col("error").isNotNull()).alias("errors"),
         mean(F.col("correct_article_retrieved").cast("double")).alias("correct_article_retrieval_rate"),
         mean(F.col("citation_validity_rate")).alias("avg_citation_validity_rate"),
-        mean(F.size(single_bracket_sources(F.col("raw_llm_response"))).cast("double")).alias("avg_citations_per_question"),
+        mean(stored_citations().cast("double")).alias("avg_citations_per_question"),
         mean(F.col("response_time_ms")).alias("avg_response_time_ms"))
 
 
@@ -58,8 +63,8 @@ def merge_judgements(scored: DataFrame, judge: DataFrame) -> DataFrame:
 def metrics_rows(merged: DataFrame) -> DataFrame:
     """The metrics-only table of a run."""
     return merged.select(
-        "question_id", "pmc_id", "correct_article_retrieved", "citation_validity_rate", "response_time_ms",
-        F.size(single_bracket_sources(F.col("raw_llm_response"))).alias("num_citations"),
+        "question_id", "pmid", "pmc_id", "correct_article_retrieved", "citation_validity_rate", "response_time_ms",
+        stored_citations().alias("num_citations"),
         F.size("retrieved_chunk_ids").alias("num_chunks_retrieved"), "error", "conclusion_match", "reasoning_match",
         "faithfulness", "relevance", "precision", "recall")
 

@@ -14,6 +14,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marginalia.operators.ordinals import hash_levels, ordinal
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """One row per key: the last by ``order``, and among equals the greatest by all columns, so that reruns agree."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    ranked = F.struct(*([order] if order is not None else []), *others)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*others), ranked).alias("__row"))
+    return last.select(*keys, "__row.*").select(*df.columns)
+
+
 def insert_ignore(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds rows whose key is not there; existing rows stay as they are."""
     return table.unionByName(new_rows(table, new, keys), allowMissingColumns=True)
@@ -21,12 +31,12 @@ def insert_ignore(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
 
 def new_rows(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The change set of ``insert_ignore`` (what a dry run reports)."""
-    return new.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti")
+    return one_per_key(new, list(keys)).join(table.select(*keys), list(keys), "left_anti")
 
 
 def insert_or_set(table: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Adds new keys; on conflict replaces only ``columns``. One new row per key is required."""
-    keys, incoming = list(keys), new.dropDuplicates(list(keys))
+    """Adds new keys; on conflict replaces only ``columns``. Of new rows with one key, ``one_per_key`` keeps one."""
+    keys, incoming = list(keys), one_per_key(new, list(keys))
     fresh = incoming.select(*keys, F.struct(*[c for c in incoming.columns if c not in keys]).alias("__new"))
     old = table.withColumn("__old", F.lit(True))
     joined = old.join(fresh, keys, "full_outer")
@@ -44,13 +54,16 @@ def insert_or_set(table: DataFrame, new: DataFrame, keys: Sequence[str], columns
     return joined.select(*[value(c) for c in table.columns])
 
 
-def upsert_documents(docs: DataFrame, incoming: DataFrame, default_priority: int = 50) -> DataFrame:
+def upsert_documents(docs: DataFrame, incoming: DataFrame, default_priority: int = 50, order: str | None = None) -> DataFrame:
     """Documents by (source, source_id): content, metadata and status are replaced, id, priority and creation time kept.
 
+    Of incoming rows with one key the last by the column ``order`` counts.
+
     New documents get ids after the highest one, in md5 order of their key, without a global sort.
     """
     keys = ["source", "source_id"]
-    fresh = incoming.dropDuplicates(keys)
+    fresh = one_per_key(incoming, keys, F.col(order) if order else None)
+    fresh = fresh.drop(order) if order else fresh
     added = fresh.join(docs.select(*keys), keys, "left_anti")
     label = F.concat_ws("|", *keys)
     highest = docs.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("m")).scalar()

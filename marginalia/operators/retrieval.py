@@ -157,18 +157,18 @@ def semantic_search(
 
     bound = _times(n, top_k)
     candidates = hits.select("query_id", "document_id", "document_chunk_id", "similarity_score",
-                             F.lit(0).alias("stage"), F.col("rank").alias("position"))
+                             F.lit(0).alias("stage"), F.col("rank").cast("long").alias("position"), F.lit(0).alias("place"))
     if additional_chunks_per_doc > 0:
         more = expand_documents(hits, chunks, hits, additional_chunks_per_doc, top_k, bound)
         candidates = candidates.unionByName(more.select(
             "query_id", "document_id", "document_chunk_id", F.lit(None).cast("double").alias("similarity_score"),
-            F.lit(1).alias("stage"), (F.col("document_id") * 1000 + F.col("overall_rank")).alias("position")))
+            F.lit(1).alias("stage"), F.col("document_id").alias("position"), F.col("overall_rank").alias("place")))
         bound = _times(n, top_k * (1 + additional_chunks_per_doc))
     texts = with_chunks(candidates, chunks, bound)
     asked = queries.select("query_id", "qtext")
     pairs = texts.join(small(asked, n), "query_id")
-    best = rerank(pairs, top_n, scorer, "qtext", ("stage", "position"))
-    out = with_documents(best.drop("qtext", "stage", "position"), docs, _times(n, top_n))
+    best = rerank(pairs, top_n, scorer, "qtext", ("stage", "position", "place"))
+    out = with_documents(best.drop("qtext", "stage", "position", "place"), docs, _times(n, top_n))
     return out.select(*RESULT_COLUMNS, "rerank_score")
 
 
@@ -207,7 +207,8 @@ def hybrid_retrieval(
     **options,
 ) -> DataFrame:
     """Fresh results followed by chunks cited earlier in the conversation."""
-    fresh = semantic_search(queries, chunks, docs, top_k, top_n, **options).drop("rerank_score")
+    # used twice below: at most top_n rows per query, so that the vectors are scanned once
+    fresh = settle(semantic_search(queries, chunks, docs, top_k, top_n, **options).drop("rerank_score"))
     old = historical_chunks(fresh, history, max_historical_chunks)
     found = chunks.select("document_chunk_id", "document_id", "section", "content").join(old, "document_chunk_id")
     found = with_documents(found, docs).select(

@@ -73,12 +73,17 @@ def _(spark, sf):
     return d.withColumn("display", F.rtrim("display"))
 
 
-@query("k10_chat_turns", f"""with {_DISPLAY} select m.conv_id, m.turn, q.content as user_message, rtrim(s.display) as generated_response,
+@query("k10_chat_turns", f"""with {_DISPLAY}, before as (select m.conv_id, m.turn,
+    (select max(turn) from messages u where u.conv_id = m.conv_id and u.role = 'user' and u.turn < m.turn) as u,
+    (select max(turn) from messages b where b.conv_id = m.conv_id and b.role = 'assistant' and b.turn < m.turn) as b
+    from messages m where m.role = 'assistant'),
+  asked as (select conv_id, turn, case when u > coalesce(b, -1) then u end as asked from before)
+select m.conv_id, m.turn, q.content as user_message, rtrim(s.display) as generated_response,
   m.content as raw_response, (select string_agg(c.number, ',' order by t.pos) from turn_cites t join citations c
     on c.conv_id = t.conv_id and c.source_id = cast(t.src as varchar) where t.conv_id = m.conv_id and t.turn = m.turn) as numbers,
   (select string_agg(chunk_id, ',' order by rank) from turn_chunks r where r.conv_id = m.conv_id and r.turn = m.turn) as retrieved
-from messages m join shown s using (conv_id, turn) left join messages q on q.conv_id = m.conv_id and q.turn = m.turn - 1
-  and q.role = 'user' where m.role = 'assistant'""")
+from messages m join shown s using (conv_id, turn) left join asked k on k.conv_id = m.conv_id and k.turn = m.turn
+  left join messages q on q.conv_id = m.conv_id and q.turn = k.asked where m.role = 'assistant'""")
 def _(spark, sf):
     m, r = V.messages(spark, sf), V.turn_chunks(spark, sf)
     cited = C.valid_citations(m, r)
@@ -110,10 +115,19 @@ def _outcomes(spark, sf):
         "conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 9 != 0).alias("ok"))
 
 
-@query("k4_rollback_failed", """select conv_id, turn from messages m where not exists (select 1 from messages a where a.role = 'assistant'
-  and (a.conv_id + a.turn) % 9 = 0 and a.conv_id = m.conv_id and (a.turn = m.turn or (a.turn = m.turn + 1 and m.role = 'user')))""")
+@query("k4_rollback_failed", """with spaced as (select conv_id, turn * 2 as turn, role from messages
+    union all select conv_id, turn * 2 + 1, 'system' from messages where role = 'user' and conv_id % 3 <> 0),
+  failed as (select a.conv_id, a.turn, (select max(u.turn) from spaced u where u.conv_id = a.conv_id and u.role = 'user' and u.turn < a.turn) as u,
+    (select max(b.turn) from spaced b where b.conv_id = a.conv_id and b.role = 'assistant' and b.turn < a.turn) as b
+    from spaced a where a.role = 'assistant' and (a.conv_id + a.turn // 2) % 9 = 0)
+select conv_id, turn from spaced m where not exists (select 1 from failed f where f.conv_id = m.conv_id
+  and (f.turn = m.turn or (f.u = m.turn and f.u > coalesce(f.b, -1))))""")
 def _(spark, sf):
-    return K.rollback_failed(V.messages(spark, sf), _outcomes(spark, sf)).select("conv_id", "turn")
+    """Turns are spread out, with a system message after most questions."""
+    m = V.messages(spark, sf).select("conv_id", (F.col("turn") * 2).alias("turn"), "role")
+    notes = m.where("role = 'user' and conv_id % 3 <> 0").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("system").alias("role"))
+    outcomes = _outcomes(spark, sf).withColumn("turn", F.col("turn") * 2)
+    return K.rollback_failed(m.unionByName(notes), outcomes).select("conv_id", "turn")
 
 
 @query("k8_f6_summaries", """select user_id, conv_id, coalesce(arg_min(substr(content, 1, 100), turn) filter (where role = 'user'), '')
@@ -123,19 +137,21 @@ def _(spark, sf):
 
 
 @query("k9_idle_conversations", """select conv_id, max(ts) as last_accessed from messages group by conv_id
-having 1704067200 + 180000 - max(ts) > 3600 and (select count(distinct conv_id) from messages) > 50""")
+having 1704067200 + 180000 - max(ts) > 3600""")
 def _(spark, sf):
     now = F.timestamp_seconds(F.lit(1704067200 + 180000))
-    return K.idle_conversations(V.messages(spark, sf), now, 3600, 50).withColumn(
+    return K.idle_conversations(V.messages(spark, sf), now, 3600).withColumn(
         "last_accessed", F.unix_seconds("last_accessed"))
 
 
-@query("b10_validate_requests", r"""select request_id, trim(regexp_replace(user_message, '<[^>]+>', '', 'g'), E' \n') as clean_message,
+@query("b10_validate_requests", r"""select request_id, case when reason is null
+  then trim(regexp_replace(user_message, '<[^>]+>', '', 'g'), E' \n') end as clean_message, reason from (select *,
   case when length(user_message) > 10000 then 'message too long' when trim(user_message, E' \n') = '' then 'message empty'
-    when not regexp_matches(user_id, '^[a-zA-Z0-9_-]+$') then 'user_id characters'
+    when user_id is null then 'user_id missing' when not regexp_matches(user_id, '^[a-zA-Z0-9_-]+$') then 'user_id characters'
     when not regexp_matches(conversation_id, '^[a-zA-Z0-9_-]+$') then 'conversation_id characters'
     when additional_chunks_per_doc not between 0 and 50 then 'additional_chunks_per_doc range'
-    when top_k not between 1 and 200 then 'top_k range' when top_n not between 1 and 20 then 'top_n range' end as reason from requests""")
+    when top_k is null or top_k not between 1 and 200 then 'top_k range'
+    when top_n is null or top_n not between 1 and 20 then 'top_n range' end as reason from requests)""")
 def _(spark, sf):
     return K.validate_requests(V.requests(spark, sf)).select("request_id", "clean_message", "reason")
 
@@ -154,10 +170,18 @@ def _(spark, sf):
     return m.withColumns({c: F.round(c, 6) for c in ("avg_time_per_token", "tokens_per_second")})
 
 
-@query("e8_token_gaps", """select conv_id, turn, seq::bigint as seq, ms - lag(ms) over (partition by conv_id, turn order by seq) as gap_ms
-from token_events where type = 'token'""")
+def _holed(events):
+    """Token events some of which never arrived."""
+    return events.where(~((F.col("type") == "token") & (F.col("seq") % 5 == 4) & ((F.col("conv_id") + F.col("turn")) % 2 == 1)))
+
+
+_HOLED = "(select * from token_events where not (type = 'token' and seq % 5 = 4 and (conv_id + turn) % 2 = 1))"
+
+
+@query("e8_token_gaps", f"""select conv_id, turn, seq::bigint as seq, ms - lag(ms) over (partition by conv_id, turn order by seq) as gap_ms
+from {_HOLED} where type = 'token'""")
 def _(spark, sf):
-    return K.token_gaps(V.token_events(spark, sf)).withColumn("seq", F.col("seq").cast("long"))
+    return K.token_gaps(_holed(V.token_events(spark, sf))).withColumn("seq", F.col("seq").cast("long"))
 
 
 _FAILURES_SQL = """select conv_id, turn, case when stall_at <= least(late, err) then 'stall' when late <= err then 'timeout' else 'error' end as failure
@@ -168,9 +192,9 @@ from (select conv_id, turn, coalesce(min(case when ms - prev > 120000 then prev
 where least(stall_at, late, err) < 1e18"""
 
 
-@query("l3_l4_stream_failures", _FAILURES_SQL)
+@query("l3_l4_stream_failures", _FAILURES_SQL.replace("token_events", _HOLED))
 def _(spark, sf):
-    return K.stream_failures(V.token_events(spark, sf))
+    return K.stream_failures(_holed(V.token_events(spark, sf)))
 
 
 _FILTERED_SQL = """select conv_id, turn, content, kind from (

@@ -184,7 +184,7 @@ def _(spark, sf):
 from (select *, coalesce(pmid > 0 and nih_percentile is null and exists (select 1 from metrics where metrics.pmid = papers.pmid),
   false) as hit from papers) p left join metrics m using (pmid)""")
 def _(spark, sf):
-    return C.populate_metrics(V.papers(spark, sf), V.metrics(spark, sf), None).select(
+    return C.populate_metrics(V.papers(spark, sf), V.metrics(spark, sf)).select(
         "pmc_id", "nih_percentile", F.col("publication_year").cast("long").alias("publication_year"),
         F.col("citation_count").cast("long").alias("citation_count"), "is_clinical")
 
@@ -244,21 +244,16 @@ def _(spark, sf):
     return number_ids(work, "document_id", "n", 1)
 
 
-@query("e9_pack_batches", """with recursive sizes as (select document_id, count(*) as c, sum(token_count)::bigint as t,
-    row_number() over (order by document_id) as rn from chunks group by document_id),
-  packed as (
-    select rn, document_id, c, t, 0 as batch, c as bc, t as bt from sizes where rn = 1
-    union all
-    select s.rn, s.document_id, s.c, s.t, case when p.bc + s.c > 40 or p.bt + s.t > 2000 then p.batch + 1 else p.batch end,
-      case when p.bc + s.c > 40 or p.bt + s.t > 2000 then s.c else p.bc + s.c end,
-      case when p.bc + s.c > 40 or p.bt + s.t > 2000 then s.t else p.bt + s.t end
-    from packed p join sizes s on s.rn = p.rn + 1)
-select 0::bigint as shard, batch::bigint as batch, count(*) as doc_count, sum(c)::bigint as chunk_count,
-  sum(t)::bigint as token_count from packed group by batch""")
+@query("e9_pack_batches", """with sizes as (select document_id, count(*) as c, sum(token_count)::bigint as t from chunks group by 1),
+  placed as (select *, coalesce(sum(c) over w, 0)::bigint as cb, coalesce(sum(t) over w, 0)::bigint as tb from sizes
+    window w as (order by document_id rows between unbounded preceding and 1 preceding)),
+  cut as (select *, cb // 400 as c0, (cb + c - 1) // 400 as c1, tb // 20000 as t0, (tb + t - 1) // 20000 as t1 from placed)
+select min(document_id) as batch, count(*) as doc_count, sum(c)::bigint as chunk_count, sum(t)::bigint as token_count
+from cut group by c0, t0, case when c0 <> c1 or t0 <> t1 then document_id end""")
 def _(spark, sf):
     sizes = V.chunks(spark, sf).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.sum("token_count").alias("token_count"))
-    return C.batch_totals(C.pack_batches(sizes, 40, 2000))
+    return C.batch_totals(C.pack_batches(sizes, 400, 20000))
 
 
 _NEW_IDS = """(select distinct cast(l_partkey + 500 as varchar) as pmc_id from lineitem)"""
@@ -285,7 +280,7 @@ def _(spark, sf):
 
 
 @query("g3_upsert_documents", """with incoming as (select 'pmc' as source, cast(p_partkey * 2 as varchar) as source_id,
-    p_name as title from part),
+    case when p_partkey % 3 = 0 then 'again ' else '' end || p_name as title from part),
   fresh as (select i.*, row_number() over (order by md5(source || '|' || source_id)) as n from incoming i
     where source_id not in (select source_id from docs))
 select document_id, source_id, coalesce(i.title, d.title) as title, priority::bigint as priority,
@@ -296,8 +291,10 @@ select (select max(document_id) from docs) + n, source_id, title, 50, 'fetched'
 def _(spark, sf):
     incoming = V.table(spark, sf, "part").select(
         F.lit("pmc").alias("source"), (F.col("p_partkey") * 2).cast("string").alias("source_id"),
-        F.col("p_name").alias("title"))
-    return keyed.upsert_documents(V.slim_docs(spark, sf), incoming).select(
+        F.col("p_name").alias("title"), F.lit(1).alias("landed"))
+    again = incoming.where(F.col("source_id").cast("long") % 3 == 0).withColumns(
+        {"title": F.concat(F.lit("again "), "title"), "landed": F.lit(2)})
+    return keyed.upsert_documents(V.slim_docs(spark, sf), incoming.unionByName(again), order="landed").select(
         "document_id", "source_id", "title", F.col("priority").cast("long").alias("priority"), "ingestion_status")
 
 

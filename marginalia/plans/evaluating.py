@@ -66,7 +66,7 @@ def _(spark, sf):
         F.avg("citation_validity_rate").alias("citation_validity"), F.avg("response_time_ms").alias("avg_response_time_ms")))
 
 
-@query("c9_merged_metrics", """select question_id, correct_article_retrieved, round(citation_validity_rate, 6) as citation_validity_rate,
+@query("c9_merged_metrics", """select question_id, pmid, correct_article_retrieved, round(citation_validity_rate, 6) as citation_validity_rate,
   response_time_ms, n_cited as num_citations, num_chunks_retrieved, error, conclusion_match, reasoning_match, faithfulness, relevance,
   "precision", recall from merged""")
 def _(spark, sf):

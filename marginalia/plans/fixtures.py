@@ -205,9 +205,12 @@ def evaluations(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: ((i + j + shift) % 100) * 5).alias("retrieved_chunk_ids"),
         F.when(i % 9 == 0, F.lit("no evidence [1]"))
         .otherwise(F.concat(F.lit("see [PMC"), own, F.lit("] and [PMC"), other, F.lit("], again [PMC"), own,
-                            F.lit("]"))).alias("raw_llm_response"),
+                            F.lit(", PMC"), other, F.lit("]"))).alias("raw_llm_response"),
         (1000 + (i * 37) % 50000).cast("double").alias("response_time_ms"),
-        F.when(i % 13 == 0, F.lit("timeout")).alias("error"))
+        F.when(i % 13 == 0, F.lit("timeout")).alias("error"), (i + 1000000).alias("pmid"),
+        # stored apart from the text, which may name several ids in one bracket or none
+        F.transform(F.when(i % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("long"), i % 4)),
+                    lambda j: F.struct(((i + j) % 100).cast("string").alias("source_id"))).alias("citations"))
 
 
 def judgements(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +230,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         .when(conv % 13 == 5, F.lit("  ")).otherwise(F.col("text"))
     return table(spark, sf, "conversations").where("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), message.alias("user_message"),
-        F.concat(F.lit("anon"), F.when(conv % 10 == 9, "!").otherwise("_"), conv % 7).alias("user_id"),
+        F.when(conv % 23 != 7, F.concat(F.lit("anon"), F.when(conv % 10 == 9, "!").otherwise("_"), conv % 7)).alias("user_id"),
         F.concat(F.lit("c"), conv, F.when(conv % 17 == 3, " x").otherwise("")).alias("conversation_id"),
-        (turn * 60).cast("int").alias("top_k"), (turn + 1).cast("int").alias("top_n"),
+        F.when(conv % 19 != 4, turn * 60).cast("int").alias("top_k"), F.when(conv % 29 != 3, turn + 1).cast("int").alias("top_n"),
         (turn * 11).cast("int").alias("additional_chunks_per_doc"))

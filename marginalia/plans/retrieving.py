@@ -8,6 +8,7 @@ from marginalia.functions import text as X
 from marginalia.operators import graph, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
+from marginalia.session import settle
 
 
 def _long(df, *columns):
@@ -65,16 +66,16 @@ _EXPAND = """expanded as (select * from (
 
 @query("j4_e1_e2_expand_documents", f"with {_EXPAND} select query_id, document_id, document_chunk_id, overall_rank from expanded")
 def _(spark, sf):
-    hits = _near(spark, sf)
+    hits = settle(_near(spark, sf))  # used twice: the vectors are scanned once
     wanted = hits.select("query_id", "document_id")
     return _long(R.expand_documents(wanted, V.bare_vec_chunks(spark, sf), hits, 3, 10), "overall_rank")
 
 
 @query("j1_full_search", f"""with {_EXPAND}, pool as (
-  select query_id, document_chunk_id, qtext, content, 0 as stage, rank as position from top10
-  union all select query_id, document_chunk_id, qtext, content, 1, document_id * 1000 + overall_rank from expanded)
+  select query_id, document_chunk_id, qtext, content, 0 as stage, rank as position, 0 as place from top10
+  union all select query_id, document_chunk_id, qtext, content, 1, document_id, overall_rank from expanded)
 select query_id, rank, document_chunk_id, round(score, 6) as rerank_score from (
-  select *, row_number() over (partition by query_id order by score desc, stage, position) as rank
+  select *, row_number() over (partition by query_id order by score desc, stage, position, place) as rank
   from (select *, {_OVERLAP} as score from pool)) where rank <= 5""")
 def _(spark, sf):
     out = R.semantic_search(V.questions(spark, sf), V.vec_chunks(spark, sf), V.slim_docs(spark, sf), 10, 5, True, 3)
@@ -84,7 +85,7 @@ def _(spark, sf):
 @query("g10_candidate_pool", f"""with {_EXPAND} select query_id, document_chunk_id, 'initial' as stage from top10
 union all select query_id, document_chunk_id, 'expanded' from expanded""")
 def _(spark, sf):
-    hits = _near(spark, sf)
+    hits = settle(_near(spark, sf))  # used three times: the vectors are scanned once
     more = R.expand_documents(hits, V.bare_vec_chunks(spark, sf), hits, 3, 10)
     return hits.select("query_id", "document_chunk_id", F.lit("initial").alias("stage")).unionByName(
         more.select("query_id", "document_chunk_id", F.lit("expanded").alias("stage")))

@@ -10,7 +10,7 @@ from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
 from marginalia.session import spread
 
-_REF = r"(?is)(?:^|\n)\s*(?:##\s*References|References\s*:|\*\*References\*\*)\s*:?\s*.*$"
+_REF = f"(?is){X.REFERENCES_HEADING}.*$"
 
 
 def _answers(spark, sf):

@@ -138,9 +138,11 @@ select 'q_' || item_id as question_id, item_id, text as question,
   list_transform([0, 1, 2, 3, 4], lambda j: (item_id + j + case when item_id % 5 = 0 then 1 else 0 end) % 100 * 5)
     as retrieved_chunk_ids,
   case when item_id % 9 = 0 then 'no evidence [1]' else 'see [PMC' || (item_id % 100) || '] and [PMC'
-    || ((item_id + 1 + 6 * (item_id % 2)) % 100) || '], again [PMC' || (item_id % 100) || ']' end as raw_llm_response,
+    || ((item_id + 1 + 6 * (item_id % 2)) % 100) || '], again [PMC' || (item_id % 100) || ', PMC'
+    || ((item_id + 1 + 6 * (item_id % 2)) % 100) || ']' end as raw_llm_response,
   (1000 + (item_id * 37) % 50000)::double as response_time_ms,
-  case when item_id % 13 = 0 then 'timeout' end as error
+  case when item_id % 13 = 0 then 'timeout' end as error, item_id + 1000000 as pmid,
+  case when item_id % 9 = 0 then 0 else item_id % 4 + 1 end as n_stored
 from benchmark"""
 
 VIEWS["eval_sources"] = """
@@ -149,7 +151,7 @@ from (select question_id, unnest(retrieved_chunk_ids) as cid from evaluations) e
 join vec_chunks c on c.document_chunk_id = e.cid join docs d using (document_id)"""
 
 VIEWS["eval_scored"] = """
-select e.*, len(cited) as n_cited, coalesce((select count(*) from eval_sources s where s.question_id = e.question_id
+select e.*, n_stored as n_cited, coalesce((select count(*) from eval_sources s where s.question_id = e.question_id
     and list_contains(e.cited, s.source_id))::double / nullif(len(cited), 0), 0) as citation_validity_rate,
   exists (select 1 from eval_sources s where s.question_id = e.question_id and s.source_id = e.pmc_id)
     as correct_article_retrieved
@@ -167,7 +169,7 @@ VIEWS["judge_last"] = """
 select * from judgements qualify row_number() over (partition by question_id order by pos desc) = 1"""
 
 VIEWS["merged"] = """
-select e.question_id, e.expected_answer, e.correct_article_retrieved, e.citation_validity_rate, e.response_time_ms,
+select e.question_id, e.pmid, e.expected_answer, e.correct_article_retrieved, e.citation_validity_rate, e.response_time_ms,
   e.n_cited, len(e.retrieved_chunk_ids) as num_chunks_retrieved, e.error, j.conclusion_match, j.reasoning_match,
   j.faithfulness, j.relevance, j."precision", j.recall
 from eval_scored e left join judge_last j using (question_id)"""
@@ -175,9 +177,9 @@ from eval_scored e left join judge_last j using (question_id)"""
 VIEWS["requests"] = """
 select conv_id || '-' || turn as request_id,
   case when conv_id % 4 = 0 then '<b>' || text || '</b> ' when conv_id % 13 = 5 then '  ' else text end as user_message,
-  'anon' || case when conv_id % 10 = 9 then '!' else '_' end || (conv_id % 7) as user_id,
+  case when conv_id % 23 <> 7 then 'anon' || case when conv_id % 10 = 9 then '!' else '_' end || (conv_id % 7) end as user_id,
   'c' || conv_id || case when conv_id % 17 = 3 then ' x' else '' end as conversation_id,
-  turn * 60 as top_k, turn + 1 as top_n, turn * 11 as additional_chunks_per_doc
+  case when conv_id % 19 <> 4 then turn * 60 end as top_k, case when conv_id % 29 <> 3 then turn + 1 end as top_n, turn * 11 as additional_chunks_per_doc
 from conversations where role = 'user'"""
 
 _NAMES = re.compile(r"\b(" + "|".join(VIEWS) + r")\b")
