@@ -150,25 +150,24 @@ def entries(sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
+    """The rows of pairs (a, b, ...) whose sets are alike."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("found").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("found").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(_alike(overlap, F.col("n"), F.col("m"), s)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_alike(overlap, F.col("n"), F.col("m"), s)).select(*pairs.columns)
 
 
-def links(sets: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) that connect all components of alike sets."""
+def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) of the nodes that are linked with others."""
     lists = settle(entries(sets, s))
     hub = lists.where("level = 1").groupBy("token").agg(F.min(F.struct("node", "n", "bits")).alias("hub"))
     hub = hub.select("token", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.bits").alias("bits"))
     stars = lists.where("level = 1").alias("x").join(hub.alias("y"), "token") \
         .where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", s)) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    first = settle(_verified(stars, sets, s))
-    joined = components(first)
-    named = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = hub.select("token", "node").join(joined, "node", "left").select("token", F.coalesce("component", "node").alias("main"))
+    first = components(_verified(stars, sets, s))
+    named = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = hub.select("token", "node").join(first, "node", "left").select("token", F.coalesce("component", "node").alias("main"))
     named = settle(named.join(main, "token").withColumn("inside", F.col("component") == F.col("main")))
     # the larger of two sets asks for its number of matches; lists inside one component are not compared again
     probe = named.where(F.col("level") <= F.col("matches"))
@@ -177,10 +176,16 @@ def links(sets: DataFrame, s: Settings) -> DataFrame:
     met = None
     for x, y in ((probe.where("not inside"), named), (probe.where("inside"), named.where("not inside"))):
         part = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & fits) \
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.matches").alias("matches"))
+            .select(*[F.col(f"{side}.{c}").alias(name) for side, c, name in (
+                ("x", "node", "a"), ("y", "node", "b"), ("x", "component", "c"), ("y", "component", "d"), ("x", "matches", "matches"))])
         met = part if met is None else met.unionByName(part)
-    pairs = met.groupBy("a", "b", "matches").agg(F.count(F.lit(1)).alias("hits")).where("hits >= matches")
-    return first.unionByName(_verified(pairs, sets, s))
+    pairs = met.groupBy("a", "b", "c", "d", "matches").agg(F.count(F.lit(1)).alias("hits")).where("hits >= matches")
+    # the components found first are the nodes of the second search
+    second = components(_verified(pairs, sets, s).select(F.col("c").alias("a"), F.col("d").alias("b")))
+    renamed = second.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = first.join(renamed, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = second.join(first.select("component").distinct(), F.col("node") == first["component"], "left_anti")
+    return moved.unionByName(alone.select("node", "component"))
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -188,7 +193,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     told = settle(summaries(docs, settings))
     chosen = settle(with_partners(told, settings))
     sets = settle(sets_of(docs, chosen, settings))
-    joined = settle(components(links(sets, settings)))
+    joined = settle(joined_nodes(sets, settings))
     told = told.select("doc_id", "n_shingles", "node").join(joined, "node", "left")
     told = told.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     smallest = told.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
