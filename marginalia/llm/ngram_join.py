@@ -41,7 +41,7 @@ class Settings(NamedTuple):
     percent: int = 90  # least intersection of a link, in percent of the union
     most_matches: int = 3  # largest l
     verify_cost: float = 8.0  # of one candidate, in list entries
-    broadcast_texts: int = 2_000_000  # ids of texts that may have partners are broadcast up to this count
+    broadcast_texts: int = 500_000  # ids of texts that may have partners are broadcast up to this count
 
 
 BITMAP_WORDS = 8  # 64-bit words of a bitmap
@@ -85,7 +85,7 @@ def _may_link(x: str, y: str, s: Settings) -> Column:
 
 def summaries(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, n_shingles, node, sampled): sampled holds the shingles in the counted share of the hash range."""
-    share = min(1.0, 1.5 * (1 - s.percent / 100) + 0.05)
+    share = min(1.0, 1 - s.percent / 100 + 0.1)
     cut = np.uint64(int(share * 2 ** 64) - 1 if share < 1 else 2 ** 64 - 1)
 
     def work():

@@ -5,7 +5,7 @@ the word it hides. A passage is the mean of its words; the softmax scores passag
 worst passage, so a few words count as much in a long text as in a short one. Training follows this: each step takes the
 worst passage of each document under the present model and moves softmax and embeddings together.
 
-The fit sees a bounded sample of labelled rows (``Sample``) on the driver. The layer after the average being linear, the
+The fit sees a bounded sample of labelled rows (``Sample``) in one task. The layer after the average being linear, the
 model that tasks get is one number per n-gram bucket, of fixed size. Scoring is inside the row, over the whole text.
 
 Defined results: null, empty and letter-free texts have the score of an empty passage; ids repeated in the labels count as
@@ -15,9 +15,11 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,8 +157,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
         part = named.where(F.col("toxic") == value).orderBy(spot, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     known = docs.select("doc_id", "text").where(F.length("text") <= sample.longest).join(F.broadcast(chosen), "doc_id")
-    rows = known.orderBy(spot, "doc_id", "text").limit(2 * (sample.toxic + sample.clean)).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = known.orderBy(spot, "doc_id", "text").limit(2 * (sample.toxic + sample.clean)).select("text", "toxic")
+    told = rows.coalesce(1).mapInArrow(_fit_batches, "scores binary, bias double, prior double").first()
+    if told is None:  # no task at all, as no label is there
+        return fit([], [])
+    return Model(None if told["scores"] is None else np.frombuffer(told["scores"]), told["bias"], told["prior"])
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits on all batches of the one task that holds the sample."""
+    texts: list[str] = []
+    labels: list[int] = []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("toxic").to_pylist()
+    model = fit(texts, labels)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([None if model.scores is None else model.scores.tobytes()], pa.binary()), pa.array([model.bias]),
+         pa.array([model.prior])], names=["scores", "bias", "prior"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> DataFrame:
