@@ -157,8 +157,8 @@ def _(spark, sf):
 
     path = scratch_path(spark, "chunks")
     docs = V.docs(spark, sf)
-    W.write_table(chunk_documents(docs.where("ingestion_status = 'fetched'"), V.SIZE, V.OVERLAP), path)
-    stored = spark.read.parquet(path)
+    W.replace_table(chunk_documents(docs.where("ingestion_status = 'fetched'"), V.SIZE, V.OVERLAP), path)
+    stored = W.read_table(spark, path)
     flipped = set_where_listed(docs.select("document_id", "ingestion_status"), stored, "document_id", {"ingestion_status": "chunked"})
     n = stored.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
     return flipped.join(n, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
@@ -183,20 +183,28 @@ def _(spark, sf):
 
 @query("l6_incremental_ingest", """select document_id, count(*) as chunks, sum(token_count)::bigint as tokens from chunks group by all""")
 def _(spark, sf):
-    """Articles land twice, first with a provisional text; the stream keeps the newest version of each."""
+    """Articles land twice, first with a provisional text; the newest version of each counts.
+
+    A second stream then brings older copies late; all versions are compacted.
+    """
     landing, out = scratch_path(spark, "landed"), scratch_path(spark, "ingested")
     docs = V.docs(spark, sf).select(F.col("document_id").cast("string").alias("source_id"), "title", "abstract", "full_text",
                                     "section_offsets")
     draft = docs.withColumn("full_text", F.upper("full_text")).withColumn("landed_at", F.timestamp_seconds(F.lit(1)))
     draft.write.parquet(landing)
-    ckpt = scratch_path(spark, "ingest-state")
+    first, second = scratch_path(spark, "ingest-state"), scratch_path(spark, "ingest-state")
 
-    def run():
-        stream = spark.readStream.schema(ingest.LANDED).parquet(landing)
-        ingest.start_ingest(stream, out, ckpt, V.SIZE, V.OVERLAP).awaitTermination()
+    def run(folder, checkpoint):
+        stream = spark.readStream.schema(ingest.LANDED).parquet(folder)
+        ingest.start_ingest(stream, out, checkpoint, V.SIZE, V.OVERLAP).awaitTermination()
 
-    run()
+    run(landing, first)
     docs.withColumn("landed_at", F.timestamp_seconds(F.lit(2))).write.mode("append").parquet(landing)
-    run()
-    return ingest.current_chunks(spark, out).groupBy("document_id").agg(
+    run(landing, first)
+    late = scratch_path(spark, "landed-late")
+    draft.withColumn("landed_at", F.timestamp_seconds(F.lit(0))).write.parquet(late)
+    run(late, second)
+    small = scratch_path(spark, "compacted")
+    ingest.compact(spark, out, small)
+    return ingest.current_chunks(spark, small).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))

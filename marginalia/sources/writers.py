@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def write_ids(df: DataFrame, column: str, path: str) -> None:
@@ -49,21 +50,37 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     df.write.bucketBy(buckets, key).sortBy(key).format("parquet").mode("overwrite").saveAsTable(name)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str | None:
-    """Puts new content in the place of a table: written beside it, then swapped by two renames.
+_COMMITS = "number long, folder string"
 
-    Readers see the old or the new table. The replaced version stays beside the new one; its path is returned.
+
+def _last_commit(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    try:
+        commits = spark.read.schema(_COMMITS).json(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    last = commits.agg(F.max(F.struct("number", "folder")).alias("c")).first()["c"]
+    return (0, None) if last is None else (last["number"], last["folder"])
+
+
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Puts new content in the place of a table: a version folder, then a commit that points to it.
+
+    Readers (``read_table``) see the old content until the commit is there, and the new one afterwards; a write that
+    fails in between changes nothing. The new content may be computed from the table. Returns the version's folder.
     """
-    spark = df.sparkSession
-    mark = uuid.uuid4().hex
-    staged, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
-    df.write.partitionBy(*partition_by).parquet(staged)
-    jvm = spark._jvm
-    to = jvm.org.apache.hadoop.fs.Path
-    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(to(path))
-    if had and not fs.rename(to(path), to(old)):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(to(staged), to(path)):
-        raise OSError(f"cannot put the new version at {path}")
-    return old if had else None
+    number, _ = _last_commit(df.sparkSession, path)
+    folder = f"{number + 1:012d}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(f"{path}/versions/{folder}")
+    commit = df.sparkSession.range(1).select(F.lit(number + 1).cast("long").alias("number"), F.lit(folder).alias("folder"))
+    commit.write.mode("append").json(f"{path}/commits")
+    return f"{path}/versions/{folder}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The content that was committed last."""
+    _, folder = _last_commit(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"nothing has been committed at {path}")
+    return spark.read.parquet(f"{path}/versions/{folder}")

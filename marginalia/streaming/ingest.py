@@ -1,8 +1,9 @@
 """Incremental ingestion: landed articles to document and chunk versions.
 
-Each micro-batch writes only its own rows, as a new version folder; nothing already stored is rewritten.
-Readers take the newest version of each document and the chunks of that version. Compaction is a separate
-batch job. A repeated micro-batch overwrites its own folder, so results are exactly once.
+Each micro-batch writes only its own rows, as a version folder named by the stream's id and the epoch; nothing of another
+stream is rewritten, and a repeated micro-batch overwrites its own folder, so results are exactly once. Readers take the
+copy of each document that landed last (of equals, the last version by name) and the chunks of that version. ``compact``
+leaves one version of everything.
 """
 
 from __future__ import annotations
@@ -21,13 +22,21 @@ def first_arrivals(landed_ids: DataFrame, delay: str = "1 day") -> DataFrame:
     return landed_ids.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["source_id"])
 
 
-def write_version(landed: DataFrame, out_dir: str, version: int, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> None:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint; a new checkpoint is another stream."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def write_version(landed: DataFrame, out_dir: str, stream: str, epoch: int, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> None:
     """Stores one batch of documents and their chunks; the newest copy of a repeated document counts."""
     rows = landed.groupBy("source_id").agg(F.max_by(F.struct(*[c for c in landed.columns if c != "source_id"]),
-                                                    "landed_at").alias("r")).select("source_id", "r.*")
+                                                    F.struct("landed_at", "full_text")).alias("r")).select("source_id", "r.*")
     # source ids are numeric and unique, so they serve as document ids without a counter
     docs = rows.withColumn("document_id", F.col("source_id").cast("long"))
-    chunks = chunk_documents(docs, size, overlap)
+    _store(docs, chunk_documents(docs, size, overlap), out_dir, f"{stream}-{epoch:012d}")
+
+
+def _store(docs: DataFrame, chunks: DataFrame, out_dir: str, version: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{out_dir}/chunks/version={version}")
     # documents last: chunks of a version without its documents are not visible
     docs.write.mode("overwrite").parquet(f"{out_dir}/documents/version={version}")
@@ -36,19 +45,27 @@ def write_version(landed: DataFrame, out_dir: str, version: int, size: int = CHU
 def start_ingest(landed: DataFrame, out_dir: str, checkpoint: str, size: int = CHUNK_SIZE,
                  overlap: int = OVERLAP, available_now: bool = True) -> StreamingQuery:
     def batch(df: DataFrame, epoch: int) -> None:
-        write_version(df, out_dir, epoch, size, overlap)
+        write_version(df, out_dir, stream_id(df.sparkSession, checkpoint), epoch, size, overlap)
 
     writer = landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _newest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(document_id, version) of the copy of each document that landed last."""
+    return spark.read.parquet(f"{out_dir}/documents").groupBy("document_id").agg(
+        F.max_by("version", F.struct("landed_at", "version")).alias("version"))
+
+
 def current_documents(spark: SparkSession, out_dir: str) -> DataFrame:
     """Newest version of each document. Texts are fetched only for the winners."""
-    log = spark.read.parquet(f"{out_dir}/documents")
-    newest = log.groupBy("document_id").agg(F.max("version").alias("version"))
-    return log.join(newest, ["document_id", "version"])
+    return spark.read.parquet(f"{out_dir}/documents").join(_newest(spark, out_dir), ["document_id", "version"])
 
 
 def current_chunks(spark: SparkSession, out_dir: str) -> DataFrame:
-    newest = spark.read.parquet(f"{out_dir}/documents").groupBy("document_id").agg(F.max("version").alias("version"))
-    return spark.read.parquet(f"{out_dir}/chunks").join(newest, ["document_id", "version"])
+    return spark.read.parquet(f"{out_dir}/chunks").join(_newest(spark, out_dir), ["document_id", "version"])
+
+
+def compact(spark: SparkSession, out_dir: str, target: str) -> None:
+    """Writes what readers of ``out_dir`` see as the single version of ``target``, which streams may then go on with."""
+    _store(current_documents(spark, out_dir).drop("version"), current_chunks(spark, out_dir).drop("version"), target, "0-compacted")

@@ -116,27 +116,85 @@ def filter_answers(events: DataFrame) -> DataFrame:
 
 
 class _FilterProcessor(StatefulProcessor):
+    """Feeds events in order of their sequence numbers, which start at 0, whatever order they arrive in.
+
+    An event waits until all before it are there. Once the watermark passes an answer's last event by the time limit, what
+    waits is fed and the state goes. The state of a closed answer stays as long, so late events don't open it again.
+    """
+
     def init(self, handle) -> None:
-        self.state = handle.getValueState("answer", "saved string")
+        self.handle = handle
+        self.state = handle.getValueState("answer", "saved string, next int, closed boolean, last long")
+        self.waiting = handle.getMapState("waiting", "seq int", "type string, content string")
+        self.text = handle.getListState("text", "piece string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        saved = self.state.get() if self.state.exists() else None
-        answer = AnswerFilter(saved[0] if saved else None)
-        out, ended = _run(answer, int(key[0]), int(key[1]), pd.concat(list(rows)))
-        if ended:
-            self.state.clear()
-        else:
-            self.state.update((answer.save(),))
+        saved, at, closed, last = self.state.get() if self.state.exists() else (None, 0, False, 0)
+        events = pd.concat(list(rows))
+        last = max(last, int(events["ms"].max()))
+        out: list[tuple] = []
+        if not closed:
+            ready: dict[int, tuple] = {}
+            for seq, kind, content in events[["seq", "type", "content"]].itertuples(index=False):
+                if seq >= at:
+                    ready[int(seq)] = (kind, None if content is None or content != content else content)
+            out, saved, at, closed = self._feed(key, saved, at, ready)
+        self.state.update((saved, at, closed, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        self.handle.registerTimer(last + TIMEOUT_MS)
         yield pd.DataFrame(out, columns=_FILTERED_COLUMNS)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if self.state.exists():
+            saved, at, closed, _ = self.state.get()
+            if not closed:
+                out, *_ = self._feed(key, saved, at, {}, gaps=True)
+        self.state.clear()
+        self.waiting.clear()
+        self.text.clear()
+        yield pd.DataFrame(out, columns=_FILTERED_COLUMNS)
+
+    def _feed(self, key, saved, at: int, ready: dict[int, tuple], gaps: bool = False):
+        """Runs what is in order from ``at`` on, or all that waits; returns rows, filter state, next number, closed."""
+        answer = AnswerFilter(saved)
+        lined: list[tuple] = []
+        if gaps:
+            lined = [(seq[0], *event) for seq, event in sorted(self.waiting.iterator())]
+        else:
+            while True:
+                if at in ready:
+                    event = ready.pop(at)
+                elif self.waiting.containsKey((at,)):
+                    event = self.waiting.getValue((at,))
+                    self.waiting.removeKey((at,))
+                else:
+                    break
+                lined.append((at, *event))
+                at += 1
+            for seq, event in ready.items():
+                self.waiting.updateValue((seq,), event)
+        ends = any(kind == "complete" for _, kind, _ in lined)
+        if ends:
+            answer.full = "".join(piece for piece, in self.text.get()) if self.text.exists() else ""
+        out, closed = _run(answer, int(key[0]), int(key[1]), pd.DataFrame(lined, columns=["seq", "type", "content"]))
+        if closed:
+            self.waiting.clear()
+            self.text.clear()
+        elif answer.full:
+            self.text.appendValue((answer.full,))  # kept apart, so that a batch writes only its own text
+            answer.full = ""
+        return out, None if closed else answer.save(), at, closed
+
     def close(self) -> None:
         pass
 
 
-def filter_answer_stream(events: DataFrame) -> DataFrame:
-    """Streaming form; tokens of an answer arrive in order over micro-batches."""
-    return events.select("conv_id", "turn", "seq", "type", "content").groupBy("conv_id", "turn") \
-        .transformWithStateInPandas(_FilterProcessor(), FILTERED, "Append", "None")
+def filter_answer_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Streaming form; tokens of an answer may arrive in any order over micro-batches, as late as the delay."""
+    timed = events.withWatermark("ts", delay).selectExpr("conv_id", "turn", "seq", "type", "content", "unix_millis(ts) as ms", "ts")
+    return timed.groupBy("conv_id", "turn").transformWithStateInPandas(_FilterProcessor(), FILTERED, "Append", "EventTime")
 
 
 _MONITORED_COLUMNS = [f.split()[0] for f in MONITORED.split(", ")]

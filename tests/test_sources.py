@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -40,11 +41,17 @@ def test_golden_csv_round_trip(spark, tmp_path):
 
 def test_replace_table(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert W.replace_table(spark.range(3).toDF("x"), path) is None
+    with pytest.raises(FileNotFoundError):
+        W.read_table(spark, path)
+    old = W.replace_table(spark.range(3).toDF("x"), path)
     # the new content may come from the table itself
-    old = W.replace_table(spark.read.parquet(path).withColumn("x", F.col("x") + 10), path)
-    assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [10, 11, 12]
-    assert spark.read.parquet(old).count() == 3
+    W.replace_table(W.read_table(spark, path).withColumn("x", F.col("x") + 10), path)
+    seen = lambda: sorted(r["x"] for r in W.read_table(spark, path).collect())
+    assert seen() == [10, 11, 12] and spark.read.parquet(old).count() == 3
+    # a failed replacement leaves the table as it was
+    with pytest.raises(Exception):
+        W.replace_table(W.read_table(spark, path).withColumn("x", F.raise_error(F.lit("no"))), path)
+    assert seen() == [10, 11, 12]
 
 
 def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
