@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
+#: Rows that are Python objects at a time.
+SLICE = 256
+
+
 def over_rows(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], made: str,
               work: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Columns ``keep`` of ``df`` and the columns ``made`` (a schema string), which a function gives for each row.
@@ -22,13 +26,13 @@ def over_rows(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], made: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = work()
-        for batch in batches:
-            values = [batch.column(len(keep) + i).to_pylist() for i in range(len(inputs))]
-            rows = [fn(*row) for row in zip(*values)]
-            columns = list(zip(*rows)) if rows else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(keep))], *[pa.array(c, f.type) for c, f in zip(columns, arrow)]],
-                names=[f.name for f in schema.fields])
+        for whole in batches:
+            for batch in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                values = [batch.column(len(keep) + i).to_pylist() for i in range(len(inputs))]
+                columns = zip(*[fn(*row) for row in zip(*values)])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i) for i in range(len(keep))], *[pa.array(c, f.type) for c, f in zip(columns, arrow)]],
+                    names=[f.name for f in schema.fields])
 
     out = slim.mapInArrow(run, schema)
     return out.select(*[out[f"k{i}"].alias(c) for i, c in enumerate(keep)], *[f.name for f in arrow])
