@@ -23,6 +23,8 @@ from marginalia.session import scratch_path
 BROADCAST_QUERIES = 4096
 # Chunks of one grid cell: 65,536 x 768 floats are 200 MB.
 GRID_CHUNKS = 65536
+# Scores of one multiplication in a scan: 4M doubles are 32 MB.
+SCORES = 4_000_000
 
 HIT_SCHEMA = "query_id long, document_chunk_id long, document_id long, similarity_score double"
 _ARROW_HITS = pa.schema([("query_id", pa.int64()), ("document_chunk_id", pa.int64()),
@@ -123,7 +125,8 @@ def counted_topk(
     """The k nearest chunks per query by cosine: (query_id, document_chunk_id, document_id, similarity_score, rank).
 
     ``queries``: query_id long, qvec array. ``chunks``: document_chunk_id, document_id, embedding. NULL,
-    zero and wrongly sized vectors take no part. Ties go to the smaller chunk id.
+    and zero vectors take no part, and vectors are compared with those of their own width only. Ties go to the smaller
+    chunk id.
 
     Also returns the number of queries when it is at most ``broadcast_queries``, else None: callers may broadcast
     hit lists only where this bounds them.
@@ -131,24 +134,19 @@ def counted_topk(
     spark = queries.sparkSession
     asked = queries.select("query_id", "qvec")
     rows = asked.limit(broadcast_queries + 1).collect()
-    block = [r for r in rows if r["qvec"]]
-    dims = len(block[0]["qvec"]) if block else 0
     corpus = chunks.select("document_chunk_id", "document_id", "embedding")
     if len(rows) <= broadcast_queries:
-        block = [r for r in block if len(r["qvec"]) == dims]
+        block = [r for r in rows if r["qvec"]]
         if not block:
             return spark.createDataFrame([], HIT_SCHEMA + ", rank int"), 0
         # the kernel leaves out unusable vectors; a filter here would run an embedding function twice
         return best_per_query(_scan_topk(spark, block, corpus, k), k), len(block)
-    if not dims:
-        later = asked.where("size(qvec) > 0").select(F.size("qvec").alias("n")).limit(1).collect()
-        if not later:
-            return spark.createDataFrame([], HIT_SCHEMA + ", rank int"), None
-        dims = later[0]["n"]
-    usable_q, corpus = _usable(asked, "qvec", dims), _usable(corpus, "embedding", dims)
+    # vectors of one width meet each other
+    width = lambda df, c: df.where(F.size(c) > 0).withColumn("width", F.size(c))
     # counted by id, so that no vector is read for it
     cells = math.ceil(chunks.select("document_chunk_id").count() * 2 / grid_chunks)
-    hits = _grid_topk(usable_q, corpus, k, _blocks(queries, broadcast_queries), F.lit(max(1, cells)), [])
+    hits = _grid_topk(width(asked, "qvec"), width(corpus, "embedding"), k, _blocks(queries, broadcast_queries),
+                      F.lit(max(1, cells)), ["width"])
     return best_per_query(hits, k), None
 
 
@@ -168,14 +166,18 @@ def _query_block(rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan_topk(spark, rows, corpus: DataFrame, k: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(_query_block(rows))
+    widths = sorted({len(r["qvec"]) for r in rows})
+    shared = spark.sparkContext.broadcast([_query_block([r for r in rows if len(r["qvec"]) == w]) for w in widths])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        best = _Best(ids, k)
+        blocks = [(matrix, _Best(ids, k)) for ids, matrix in shared.value]
         for batch in batches:
-            _score_batch(best, matrix, batch)
-        yield best.batch()
+            for matrix, best in blocks:
+                # at most so many scores at a time, whatever the number of queries
+                for at in range(0, batch.num_rows, max(1, SCORES // len(matrix))):
+                    _score_batch(best, matrix, batch.slice(at, max(1, SCORES // len(matrix))))
+        for _, best in blocks:
+            yield best.batch()
 
     return corpus.mapInArrow(scan, HIT_SCHEMA)
 

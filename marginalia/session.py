@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,22 +33,40 @@ def build_session(master: str | None = None, app: str = "marginalia", **conf: st
         builder = builder.master(master)
     for key, value in {**RECOMMENDED, **conf}.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_code(builder.getOrCreate())
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Sends this package to the workers, which need it for Python kernels; once per session and not where it is installed."""
+    package = Path(__file__).resolve().parent
+    if package.parent.name == "site-packages" or spark.conf.get("marginalia.shipped", "") == str(package):
+        return spark
+    # the driver serves the file to executors as long as it lives
+    archive = Path(tempfile.mkdtemp(prefix="marginalia-")) / "marginalia-code.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.conf.set("marginalia.shipped", str(package))
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created, but for those that its configuration names."""
+    given = spark.sparkContext.getConf()
     for key, value in RECOMMENDED.items():
-        spark.conf.set(key, value)
+        if not given.contains(key):
+            spark.conf.set(key, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir``; a local one only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
     local = tempfile.mkdtemp(prefix="marginalia-")
     spark.conf.set("spark.checkpoint.dir", local)

@@ -33,6 +33,17 @@ def test_topk_cases(corpus):
     assert ids(R.nearest_chunks(q, c, d, 2)) == [(100, 1), (100, 3), (101, 2), (101, 8)]
 
 
+def test_widths_do_not_depend_on_row_order(spark, corpus):
+    """Queries and chunks of several widths: each meets its own width, in the scan and in the grid."""
+    _, c, d = corpus
+    for order in ([1.0, 0.0], [1.0, 0.0, 0.0]), ([1.0, 0.0, 0.0], [1.0, 0.0]):
+        q = spark.createDataFrame([(100 + len(v), "x", v) for v in order], "query_id long, qtext string, qvec array<float>")
+        want = [(102, 1), (102, 3), (102, 8), (102, 2), (103, 7)]
+        assert ids(R.nearest_chunks(q, c, d, 10)) == want
+        live = R.live_chunks(c, d)
+        assert ids(E.vector_topk(q, live, 10, broadcast_queries=1, grid_chunks=2)) == want
+
+
 def test_no_queries(corpus):
     q, c, d = corpus
     assert R.nearest_chunks(q.where("query_id < 0"), c, d).count() == 0
