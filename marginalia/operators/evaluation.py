@@ -211,6 +211,14 @@ def judge_blocks(results: DataFrame, enriched: DataFrame) -> DataFrame:
         na("rag_answer"), n, F.when(n > 0, text).otherwise(F.lit("No citations"))).alias("block"))
 
 
+# The text around the passages of a prompt.
+PROMPT_FRAME = (
+    "<Literature>\nBelow are the top ",
+    " most relevant literature passages to the user's query. Each passage starts with a unique [source_id].\n",
+    "</Literature>\nUser Query: ",
+)
+
+
 def prompt_messages(queries: DataFrame, passages: DataFrame, history: DataFrame | None, system: str) -> DataFrame:
     """Chat messages per query as rows (query_id, part, turn, role, content), in order of part and turn.
 
@@ -222,10 +230,8 @@ def prompt_messages(queries: DataFrame, passages: DataFrame, history: DataFrame
     asked = queries.select("query_id", "qtext")
     n = F.when(F.col("ls").isNull(), 0).otherwise(F.size("ls"))
     body = F.concat(
-        F.lit("<Literature>\nBelow are the top "), n.cast("string"),
-        F.lit(" most relevant literature passages to the user's query. Each passage starts with a unique "
-              "[source_id].\n"),
-        F.coalesce(F.array_join("ls.line", ""), F.lit("")), F.lit("</Literature>\nUser Query: "), F.col("qtext"))
+        F.lit(PROMPT_FRAME[0]), n.cast("string"), F.lit(PROMPT_FRAME[1]),
+        F.coalesce(F.array_join("ls.line", ""), F.lit("")), F.lit(PROMPT_FRAME[2]), F.col("qtext"))
 
     def row(part: int, turn: Column, role: Column, content: Column) -> list[Column]:
         return [F.col("query_id"), F.lit(part).alias("part"), turn.cast("long").alias("turn"), role.alias("role"),

@@ -221,6 +221,14 @@ def fit_centroids(chunks: DataFrame, lists: int, seed: int = 7, max_iter: int =
     return _unit_rows(np.array(model.clusterCenters(), dtype=np.float64))
 
 
+def given_centroids(heads: DataFrame) -> np.ndarray:
+    """Unit centroids of lists 0, 1, ... from rows (list_id, embedding), one per list."""
+    rows = heads.select("list_id", "embedding").orderBy("list_id").collect()
+    if [r["list_id"] for r in rows] != list(range(len(rows))):
+        raise ValueError("lists must be numbered from 0 without gaps")
+    return _unit_rows(np.array([r["embedding"] for r in rows], dtype=np.float64))
+
+
 def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Adds ``list_id``; write the result partitioned by it so that a search prunes whole lists."""
     shared = chunks.sparkSession.sparkContext.broadcast(centroids)

@@ -161,13 +161,7 @@ _BOUND_SQL = {
        "and p.pmid > 0) select * from (" + " union all ".join(
            f"select '{k}' as bounds, count(*) filter (where {v}) as n from j" for k, v in _BOUND_SQL.items()) + ")")
 def _(spark, sf):
-    p, m = V.papers(spark, sf), V.metrics(spark, sf)
-    parts = [C.filter_by_metrics(p, m, "pending", **b).agg(F.count(F.lit(1)).alias("n"))
-             .select(F.lit(k).alias("bounds"), "n") for k, b in _BOUNDS.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    return C.filter_counts(V.papers(spark, sf), V.metrics(spark, sf), "pending", _BOUNDS)
 
 
 @query("c11_propagate_priority", """select document_id, coalesce(p.priority, d.priority)::bigint as priority

@@ -8,7 +8,7 @@ from marginalia.functions import text as X
 from marginalia.operators import graph, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
-from marginalia.session import settle
+from marginalia.session import scratch_path, settle
 
 
 def _long(df, *columns):
@@ -148,12 +148,37 @@ def _(spark, sf):
     return e.join(heads, "label").select("vec_id", F.round(E.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query("j2_list_search")
+# Lists around the vectors of eight given ids, so that the oracle can state them.
+_LISTS, _STEP = 8, 7
+
+_LISTED = f"""heads as (select vec_id // {_STEP} as list_id, embedding::double[] as v from embeddings
+    where vec_id % {_STEP} = 0 and vec_id < {_LISTS * _STEP}),
+  listed as (select document_chunk_id, arg_max(list_id, list_cosine_similarity(embedding, v)) as list_id
+    from vec_chunks, heads where embedding is not null group by 1),
+  aimed as (select query_id, list_id, row_number() over (partition by query_id order by list_cosine_similarity(qvec, v) desc) as near
+    from questions, heads),
+  probed as (select s.*, row_number() over (partition by query_id order by sim desc, document_chunk_id) as rank
+    from scored s join listed using (document_chunk_id) join aimed a using (query_id, list_id) where near <= {{probes}}
+    qualify rank <= 10)"""
+
+
+def _stored_lists(spark, sf):
+    """The searchable chunks, written once in one folder per list, and the centroids."""
+    heads = V.table(spark, sf, "embeddings").where(f"vec_id % {_STEP} = 0 and vec_id < {_LISTS * _STEP}")
+    centroids = E.given_centroids(heads.select(F.expr(f"vec_id div {_STEP}").alias("list_id"), "embedding"))
+    path = scratch_path(spark, "lists")
+    live = R.live_chunks(V.bare_vec_chunks(spark, sf).select("document_chunk_id", "document_id", "embedding"), V.slim_docs(spark, sf))
+    E.assign_lists(live, centroids).write.partitionBy("list_id").parquet(path)
+    return spark.read.parquet(path), centroids
+
+
+@query("j2_list_search", f"""with {_LISTED.format(probes=2)}
+select query_id, rank, document_chunk_id, round(sim, 6) as similarity_score from probed""")
 def _(spark, sf):
-    """Approximate search over coarse partitions; a quarter of the lists is probed."""
-    v = R.live_chunks(V.bare_vec_chunks(spark, sf), V.slim_docs(spark, sf))
-    centroids = E.fit_centroids(v, 8)
-    return E.probe_topk(V.questions(spark, sf), E.assign_lists(v, centroids), centroids, 10, 2)
+    """Approximate search over stored lists; a quarter of them is probed, the others are not read."""
+    listed, centroids = _stored_lists(spark, sf)
+    hits = E.probe_topk(V.questions(spark, sf), listed, centroids, 10, 2)
+    return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")
 
 
 @query("j2_all_lists", """select query_id, rank, document_chunk_id, round(sim, 6) as similarity_score from top10""")
@@ -165,11 +190,12 @@ def _(spark, sf):
     return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")
 
 
-@query("j2_recall")
+@query("j2_recall", f"""with {_LISTED.format(probes=4)}
+select t.query_id, count(p.document_chunk_id) / count(*)::double as recall from top10 t
+left join probed p on p.query_id = t.query_id and p.document_chunk_id = t.document_chunk_id group by 1""")
 def _(spark, sf):
-    v = R.live_chunks(V.bare_vec_chunks(spark, sf), V.slim_docs(spark, sf))
-    centroids = E.fit_centroids(v, 8)
-    near = E.probe_topk(V.questions(spark, sf), E.assign_lists(v, centroids), centroids, 10, 4)
+    listed, centroids = _stored_lists(spark, sf)
+    near = E.probe_topk(V.questions(spark, sf), listed, centroids, 10, 4)
     return E.recall_at_k(near, _near(spark, sf))
 
 
