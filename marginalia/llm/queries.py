@@ -85,11 +85,14 @@ gram as (
   select doc_id, n, i, list_aggregate(list_slice(ws, i, i + n - 1), 'string_agg', ' ') as g
   from toks, (values (5), (6), (7), (8), (9), (10)) k(n), unnest(generate_series(1, len(ws) - n + 1)) u(i)),
 twin as (
-  select doc_id, n, i from (select *, count(*) over (partition by doc_id, n, g) as found from gram) where found > 1),
+  select doc_id, n, i, nth > 1 as later from (select *, count(*) over (partition by doc_id, n, g) as found,
+    row_number() over (partition by doc_id, n, g order by i) as nth from gram) where found > 1),
 inside as (
-  select distinct t.doc_id, t.n, t.i + k.j as i from twin t, (select unnest(range(0, 10)) as j) k where k.j < t.n),
+  select t.doc_id, t.n, t.i + k.j as i, bool_or(later) as later from twin t, (select unnest(range(0, 10)) as j) k
+  where k.j < t.n group by 1, 2, 3),
 cover as (
-  select c.doc_id, c.n, count(*) as words, sum(length(w.w)) as chars from inside c join word w using (doc_id, i) group by 1, 2),
+  select c.doc_id, c.n, count(*) as words, coalesce(sum(length(w.w)) filter (later), 0) as chars
+  from inside c join word w using (doc_id, i) group by 1, 2),
 line as (
   select doc_id, l, count(*) - 1 as again from (select doc_id, unnest(string_split(text, chr(10))) as l from toks)
   where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1, 2),

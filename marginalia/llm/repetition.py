@@ -1,8 +1,9 @@
 """Quality rules on repetition: rolling hashes of several n-gram lengths measure the characters inside duplicated n-grams.
 
 A text is hashed once per word; the hashes of (n-1)-word windows are rolled on to n words. Only windows that were
-duplicated at one length can be at the next, so after the shortest length few are left to compare. Coverage marks every
-word in a window found twice or more, the first finding included, and counts its characters once.
+duplicated at one length can be at the next, so after the shortest length few are left to compare. The shares of the verdict
+count the characters of words in windows, and in lines, that the text has had before, each once; so a passage said twice
+counts once. ``n_repeat_words`` counts the words of all windows found twice or more, the first finding included.
 
 Everything is computed inside the row, from the whole text: no shuffle; memory is a small multiple of the longest text.
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from marginalia.llm import words as W
 from marginalia.llm.batches import over_rows
 
-#: The largest share of word characters that may lie in duplicated n-grams, by n, and in duplicated lines.
+#: The largest share of word characters that may lie in repeats of earlier n-grams, by n, and of earlier lines.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
 SYMBOLS = "#*$%&|<>"
@@ -29,18 +30,17 @@ MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
             + ", ".join(f"dup_{n}gram_share double" for n in GRAM_LIMITS) + ", base_failed boolean, kept boolean")
 
 
-def repeated(grams: np.ndarray) -> np.ndarray:
-    """Marks the values that occur twice or more."""
+def repeated(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the values that occur twice or more, and of those the ones that have occurred before."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
-    twin = np.zeros(len(grams), bool)
+    twin, later = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
     if len(grams) > 1:
         same = ranked[1:] == ranked[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-    marks = np.zeros(len(grams), bool)
-    marks[order] = twin
-    return marks
+        later[order[1:]] = same
+        twin[order[1:]] = same
+        twin[order[:-1]] |= same
+    return twin, later
 
 
 def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -51,8 +51,8 @@ def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def gram_coverage(hashes: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
-    """For each n of ``lengths`` (rising), marks the words inside duplicated n-word windows."""
+def gram_coverage(hashes: np.ndarray, lengths: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each n of ``lengths`` (rising), marks the words inside duplicated n-word windows, and inside repeats of earlier ones."""
     total, marks = len(hashes), {}
     spots = np.arange(total)  # window starts that were duplicated at the last length; at first all
     grams, n = hashes, 1
@@ -62,9 +62,9 @@ def gram_coverage(hashes: np.ndarray, lengths: list[int]) -> dict[int, np.ndarra
             spots, grams = spots[keep], grams[keep]
             grams = grams * W.STEP + hashes[spots + n - 1]
         n = length
-        twin = repeated(W.mix(grams))
-        spots, grams = spots[twin], grams[twin]
-        marks[length] = covered(spots, length, total)
+        twin, later = repeated(W.mix(grams))
+        again, spots, grams = spots[later], spots[twin], grams[twin]
+        marks[length] = covered(spots, length, total), covered(again, length, total)
     return marks
 
 
@@ -87,8 +87,8 @@ def measure(text: str | None) -> tuple:
             else:
                 seen.add(line)
     marks = gram_coverage(W.word_hashes(raw, starts, ends), list(GRAM_LIMITS))
-    repeat_words = int(marks[WINDOW].sum())
-    shares = {k: float(size[m].sum() / chars) if chars else 0.0 for k, m in marks.items()}
+    repeat_words = int(marks[WINDOW][0].sum())
+    shares = {k: float(size[again].sum() / chars) if chars else 0.0 for k, (_, again) in marks.items()}
     line_share = dup_line_chars / chars if chars else 0.0
     failed = n < LEAST_WORDS or 100 * repeat_words > REPEAT_PERCENT * n
     kept = not failed and line_share <= LINE_LIMIT and all(shares[k] <= most for k, most in GRAM_LIMITS.items())

@@ -16,12 +16,16 @@ def brute(text):
             if lines[line]:
                 dup, dup_chars = dup + 1, dup_chars + sum(map(len, own))
             lines[line] += 1
-    chars, marks = sum(map(len, words)), {}
+    chars, marks, again = sum(map(len, words)), {}, {}
     for n in GRAM_LIMITS:
         grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
         found = Counter(grams)
         marks[n] = {i + j for i, g in enumerate(grams) if found[g] > 1 for j in range(n)}
-    shares = [sum(len(words[i]) for i in m) / chars if chars else 0.0 for m in marks.values()]
+        first = {}
+        for i, g in enumerate(grams):
+            first.setdefault(g, i)
+        again[n] = {i + j for i, g in enumerate(grams) if first[g] < i for j in range(n)}
+    shares = [sum(len(words[i]) for i in m) / chars if chars else 0.0 for m in again.values()]
     failed = len(words) < 20 or 100 * len(marks[8]) > 30 * len(words)
     kept = not failed and (dup_chars / chars if chars else 0) <= .2 and all(s <= m for s, m in zip(shares, GRAM_LIMITS.values()))
     return (len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), dup, len(marks[8]), dup_chars / chars if chars else 0.0,
