@@ -15,13 +15,31 @@ OVERLAP = 50
 WINDOW_TYPE = ("array<struct<section:string,content:string,char_start:int,char_end:int,token_count:int>>")
 
 
-def _running(lengths: Column) -> Column:
-    """Inclusive running sums of an int array."""
-    zero = F.array().cast("array<int>")
-    return F.aggregate(lengths, zero, lambda acc, x: F.concat(
+# Array elements that are summed by appending at a time.
+BLOCK = 128
+
+
+def _appended(lengths: Column) -> Column:
+    """Inclusive running sums of a short int array; every step copies what is there."""
+    return F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, x: F.concat(
         acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
 
 
+def _running(lengths: Column) -> Column:
+    """Inclusive running sums of an int array, by blocks, so that a long array is not copied at every step."""
+    def blocks(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / F.lit(BLOCK)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda b: _appended(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(parts, joined)
+
+    def joined(parts: Column) -> Column:
+        ends = _appended(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, b: let(
+            F.coalesce(F.get(e, b - 1), F.lit(0)), lambda before: F.transform(p, lambda x: x + before)))))
+
+    return F.when(F.size(lengths) <= BLOCK, _appended(lengths)).otherwise(let(lengths, blocks))
+
+
 def unique_section_names(names: Column) -> Column:
     """A repeated name gets ``_1``, ``_2`` ...; names already taken by a literal heading are skipped."""
     def numbered(xs: Column) -> Column:

@@ -83,3 +83,23 @@ def test_no_shuffle(spark, sf):
                                  "section_offsets array<struct<section:string,char_start:int,char_end:int>>")
     assert "Exchange" not in K.chunk_documents(docs)._jdf.queryExecution().executedPlan().toString()
     assert V.chunks(spark, sf).select(F.max(F.col("chunk_index"))).collect()[0][0] > 10
+
+
+def test_many_sections_in_one_document(spark):
+    """Offsets of 20,000 sections come inside seconds and equal plain running sums."""
+    import time
+
+    from marginalia.operators.chunking import compose_article
+
+    n = 20_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        F.concat(F.lit("s"), i.cast("string")).alias("section"), F.repeat(F.lit("x"), (i % 7).cast("int")).alias("text"))).alias("s"))
+    start = time.perf_counter()
+    row = df.select(compose_article(F.lit("T"), F.lit(""), F.col("s")).alias("c")).first()["c"]
+    assert time.perf_counter() - start < 30
+    offsets = row["section_offsets"]
+    assert len(offsets) == n + 1
+    at = 0
+    for o, (name, text) in zip(offsets, [("title", "T"), *((f"s{i}", "x" * (i % 7)) for i in range(n))]):
+        assert (o["section"], o["char_start"], o["char_end"]) == (name, at + len(name) + 1, at + len(name) + 1 + len(text))
+        at += len(name) + len(text) + 3

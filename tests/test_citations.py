@@ -68,8 +68,8 @@ def test_validation(spark):
     rows = [("<b></b>", "u_1", "c-1", 10, 5, 0), (" ", "u", "", 10, 5, 0), ("x" * 10001, "u", None, 10, 5, 0), ("m", "a b", "c", 10, 5, 0),
             ("m", "u", "c!", 10, 5, 0), ("m", "u", "c", 201, 5, 0), ("m", "u", "c", 10, 0, 0), ("m", "u", "c", 10, 5, 51), ("m", "u" * 101, "c", 10, 5, 0)]
     df = spark.createDataFrame(rows, "user_message string, user_id string, conversation_id string, top_k int, top_n int, additional_chunks_per_doc int")
-    got = [(r["clean_message"][:3], r["reason"]) for r in K.validate_requests(df).collect()]
-    assert got[0] == ("", None)
+    got = [(r["clean_message"], r["reason"]) for r in K.validate_requests(df).collect()]
+    assert got[0] == ("", None) and all(g[0] is None for g in got[1:])
     assert [g[1] for g in got[1:]] == ["message empty", "message too long", "user_id characters", "conversation_id characters",
                                        "top_k range", "top_n range", "additional_chunks_per_doc range", "user_id too long"]
 
@@ -92,7 +92,58 @@ def test_idempotent_changes(spark):
 
 def test_packing_leaves_no_document_out(spark):
     sizes = spark.createDataFrame([(i, [3, 9, 50, 0][i % 4], 10) for i in range(40)], "document_id long, chunk_count long, token_count long")
-    packed = curation.pack_batches(sizes, 20, 1000, 16)
-    assert packed.count() == 30
-    totals = curation.batch_totals(packed).collect()
-    assert all(t["chunk_count"] <= 20 or t["doc_count"] == 1 for t in totals)
+    packed = curation.pack_batches(sizes, 20, 1000)
+    assert sorted(r["document_id"] for r in packed.collect()) == [i for i in range(40) if i % 4 != 3]
+    for r in curation.batch_totals(packed).collect():
+        assert r["chunk_count"] <= 20 or r["doc_count"] == 1
+
+
+def test_questions_across_gaps(spark):
+    """The question of an answer is the last user message since the answer before, however far back."""
+    rows = [(1, 0, "user"), (1, 1, "system"), (1, 2, "assistant"), (1, 3, "assistant"), (1, 4, "user"), (1, 5, "user"),
+            (1, 9000, "system"), (1, 9001, "assistant"), (2, 0, "assistant"), (2, 7, "user")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string")
+    for block in (1, 4, 4096):
+        got = {(r["conv_id"], r["turn"]): r["asked"] for r in K.question_turns(m, block).collect()}
+        assert got == {(1, 2): 0, (1, 3): None, (1, 9001): 5, (2, 0): None}
+    failed = spark.createDataFrame([(1, 9001, False), (1, 2, True)], "conv_id long, turn long, ok boolean")
+    left = {(r["conv_id"], r["turn"]) for r in K.rollback_failed(m, failed).collect()}
+    assert left == {(c, t) for c, t, _ in rows} - {(1, 9001), (1, 5)}
+
+
+def test_required_fields(spark):
+    ok = ("hi", "u1", None, 0, 10, 5)
+    rows = [ok, (None, *ok[1:]), ("hi", None, *ok[2:]), (*ok[:3], None, 10, 5), (*ok[:4], None, 5), (*ok[:5], None), (*ok[:4], 201, 5)]
+    df = spark.createDataFrame(rows, "user_message string, user_id string, conversation_id string, additional_chunks_per_doc int, top_k int, top_n int")
+    out = K.validate_requests(df).collect()
+    assert [r["reason"] for r in out] == [None, "message empty", "user_id missing", "additional_chunks_per_doc range", "top_k range",
+                                          "top_n range", "top_k range"]
+    assert [r["clean_message"] for r in out] == ["hi"] + [None] * 6
+
+
+def test_gaps_across_missing_tokens(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, 0, "start", 0), (1, 0, 1, "token", 1), (1, 0, 4, "token", 201), (1, 0, 5, "complete", 202)]
+    e = spark.createDataFrame(rows, "conv_id long, turn long, seq int, type string, at int").withColumn("ts", F.timestamp_seconds("at"))
+    assert [r["gap_ms"] for r in K.token_gaps(e).orderBy("seq").collect()] == [None, 200_000]
+    assert [r["failure"] for r in K.stream_failures(e).collect()] == ["stall"]
+
+
+def test_one_row_per_key_is_repeatable(spark):
+    df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "c", 0), (2, None, 0)], "k long, v string, at int")
+    last = lambda o: {r["k"]: r["v"] for r in keyed.one_per_key(df, ["k"], o).collect()}
+    assert last(df["at"]) == {1: "a", 2: None} and last(None) == {1: "c", 2: None}
+
+
+def test_batches_keep_their_limits(spark):
+    rows = [(i, 1 + i % 5, 10 * (i % 7)) for i in range(1, 400)] + [(400, 900, 5)]
+    df = spark.createDataFrame(rows, "document_id long, chunk_count long, token_count long")
+    got = curation.pack_batches(df, 50, 500).collect()
+    assert sorted(r["document_id"] for r in got) == list(range(1, 401))
+    for r in curation.batch_totals(curation.pack_batches(df, 50, 500)).collect():
+        assert r["doc_count"] == 1 or (r["chunk_count"] <= 50 and r["token_count"] <= 500)
+    again = curation.pack_batches(df.repartition(5).where("document_id <= 200"), 50, 500).collect()
+    whole = {r["document_id"]: r["batch"] for r in got}
+    cut = max(whole[r["document_id"]] for r in again)
+    assert all(whole[r["document_id"]] == r["batch"] for r in again if r["batch"] < cut)
