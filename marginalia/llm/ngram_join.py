@@ -168,7 +168,9 @@ def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
     first = components(_verified(stars, sets, s))
     named = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = hub.select("token", "node").join(first, "node", "left").select("token", F.coalesce("component", "node").alias("main"))
-    named = settle(named.join(main, "token").withColumn("inside", F.col("component") == F.col("main")))
+    # a list without an entry at level 1 has no hub and no one inside, but its entries count as hits
+    inside = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+    named = settle(named.join(main, "token", "left").withColumn("inside", inside))
     # the larger of two sets asks for its number of matches; lists inside one component are not compared again
     probe = named.where(F.col("level") <= F.col("matches"))
     above = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")

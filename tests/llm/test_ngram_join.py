@@ -55,6 +55,24 @@ def test_against_brute_force(make_docs, shape):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_short_texts_over_one_small_vocabulary(make_docs, percent):
+    """Pairs that need a second or third hit in lists where no text has its level-1 prefix."""
+    rng, rows, want = random.Random(percent), [], []
+    for world in range(400):
+        bases = [rng.sample(range(40), rng.randint(8, 30)) for _ in range(4)]
+        own = []
+        for _ in range(12):
+            kept = list(rng.choice(bases))
+            for _ in range(rng.randint(0, 3)):
+                kept[rng.randrange(len(kept))] = rng.randrange(40)
+            own.append((len(rows) + len(own), " ".join(f"w{world}_{w}" for w in kept)))
+        rows += own
+        want += brute(own, 1, percent)
+    got = ngram_join.classes(make_docs(rows), ngram_join.Settings(1, percent)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(want)
+
+
 def test_edges(edge_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     got = ngram_join.classes(edge_docs).collect()
