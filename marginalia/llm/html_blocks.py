@@ -3,8 +3,8 @@
 Markup is stripped into lines, one per block element. Each line weighs the characters of its text that are neither links
 nor inside an element that never holds an article (scripts, menus, forms, notices and the like). Weights are summed over
 sliding windows of lines; where the sums rise from nothing is a surge point, where they fall back to nothing a dive point.
-The text between is kept. On a page that marks its article, only lines inside it weigh; on another, a region must also
-reach a share of the largest region's weight, so stray captions don't pass for an article.
+The text between is kept, however light it is beside the rest of the page. On a page that marks its article, only lines
+inside it weigh.
 
 Lines are only read, never reordered, capped or cut. The work is inside the row, from the whole html: no shuffle.
 
@@ -38,7 +38,7 @@ CHROME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|n
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 HEAD = frozenset("title meta link style script noscript base template".split())
-WIDTH, SHARE = 3, 0.2
+WIDTH = 3
 _PARAGRAPH, _NOTHING = frozenset("p".split()), frozenset()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -145,7 +145,7 @@ def lines(page: str | None) -> list[Line]:
     return out
 
 
-def kept(found: list[Line], width: int = WIDTH, share: float = SHARE) -> list[str]:
+def kept(found: list[Line], width: int = WIDTH) -> list[str]:
     """The lines between each surge point and its dive point."""
     marked = any(line.article and not line.chrome for line in found)
     # inside a marked article a line of links alone still belongs to it
@@ -160,9 +160,7 @@ def kept(found: list[Line], width: int = WIDTH, share: float = SHARE) -> list[st
             start = None
     if start is not None:
         regions.append((start, len(weight)))
-    mass = [sum(weight[a:b]) for a, b in regions]
-    floor = 0 if marked else share * max(mass, default=0)
-    return [found[i].text for (a, b), m in zip(regions, mass) if m >= floor
+    return [found[i].text for a, b in regions
             for i in range(a, b) if not found[i].chrome and (not marked or found[i].article)]
 
 

@@ -26,6 +26,17 @@ def test_cases(page):
         assert main_text(page) == CASES[page]
 
 
+def test_light_regions_of_a_page_without_article():
+    links = "".join(f"<p><a href=x>share {i}</a></p>" for i in range(4))
+    advert = "<div class=advert>" + "<p>Buy this now</p>" * 4 + "</div>"
+    body = [f"Paragraph {i} of a long article with many words in it." for i in range(40)]
+    told = "".join(f"<p>{p}</p>" for p in body)
+    page = f"<body><div><h1>A headline</h1>{links}{told}{advert}<p>A short last section.</p></div></body>"
+    shown = main_text(page).split("\n")
+    assert shown[0] == "A headline" and shown[-1] == "A short last section." and "Buy this now" not in shown
+    assert [line for line in shown if line in body] == body
+
+
 def test_table(spark):
     long_page = "<article>" + "<p>a b</p>" * 50_000 + "</article>"
     pages = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x</p>", 6), (2, "u", long_page, 7), (2, "u", long_page, 7)],
