@@ -84,15 +84,15 @@ def fit(rows: list[tuple[int, list[float]]], settings: Settings) -> Index:
     return Index(centres, rotation, ids[:few], points[:few])
 
 
-def scan(query: np.ndarray, rotated: np.ndarray, bound: float, turned: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
-         wanted: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+def scan(query: np.ndarray, own: int, rotated: np.ndarray, bound: float, turned: np.ndarray, vectors: np.ndarray,
+         ids: np.ndarray, wanted: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Places and exact distances of a block's nearest vectors to a query; ``bound`` is the distance to beat at first.
 
-    ``rotated`` and ``turned`` are the query and the block after rotation.
+    Rows of the query's ``own`` id take no place. ``rotated`` and ``turned`` are the query and the block after rotation.
     """
     width, best, far = len(query), np.zeros(0, np.int64), np.zeros(0)
     for start in range(0, len(ids), 1024):
-        alive = np.arange(start, min(start + 1024, len(ids)))
+        alive = start + np.flatnonzero(ids[start:start + 1024] != own)
         part = np.zeros(len(alive))
         limit = min(bound, far[wanted - 1] if len(far) >= wanted else np.inf) ** 2
         for at in range(0, width, settings.columns):
@@ -125,7 +125,6 @@ def _search(points: DataFrame, queries: DataFrame, width: int, wanted: int, sett
     blocks = {i: -(-n // settings.block_rows) for i, n in sizes.items()}
     chunks = max(1, -(-queries.count() // settings.chunk_queries))
     held = np.array([sizes.get(i, 0) for i in range(len(index.value.centres))])
-    least = max(settings.share * held.sum(), min(wanted + 1, held.sum()))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
@@ -133,9 +132,11 @@ def _search(points: DataFrame, queries: DataFrame, width: int, wanted: int, sett
             if not batch.num_rows:
                 continue
             v, ids = _matrix(batch.column("v"), width), batch.column("vec_id").to_numpy()
+            # enough rows for the wanted ones even where all rows of the query's id are among them
+            least = np.maximum(settings.share * held.sum(), np.minimum(wanted + batch.column("copies").to_numpy(), held.sum()))
             order = np.argsort(_squares(v, known.centres), 1, kind="stable")
             before = np.cumsum(held[order], 1) - held[order]
-            probed = [o[(b < least) & (held[o] > 0)] for o, b in zip(order, before)]
+            probed = [o[(b < n) & (held[o] > 0)] for o, b, n in zip(order, before, least)]
             bound = np.full(len(v), np.inf)
             for i, (query, own) in enumerate(zip(v, ids)):
                 near = ((known.bound_vectors[known.bound_ids != own] - query) ** 2).sum(1)
@@ -154,14 +155,15 @@ def _search(points: DataFrame, queries: DataFrame, width: int, wanted: int, sett
             asked, rotation = _matrix(right.column("v"), width), index.value.rotation
             turned, turned_asked = vectors @ rotation, asked @ rotation
             for i, (q, query_id, bound) in enumerate(zip(*(right.column(c).to_pylist() for c in ("q", "query_id", "bound")))):
-                best, far = scan(asked[i], turned_asked[i], bound, turned, vectors, ids, wanted + 1, settings)
-                found += [(q, query_id, int(ids[b]), float(f)) for b, f in zip(best, far) if ids[b] != query_id][:wanted]
+                best, far = scan(asked[i], query_id, turned_asked[i], bound, turned, vectors, ids, wanted, settings)
+                found += [(q, query_id, int(ids[b]), float(f)) for b, f in zip(best, far)]
         columns = list(zip(*found)) if found else [()] * 4
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("q", "query_id", "vec_id", "score"), columns,
                                                               (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
 
     blocks_of = F.element_at(F.create_map(*[F.lit(x) for i, n in blocks.items() for x in (i, n)]), F.col("list"))
-    left = listed.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of).cast("int"))
+    # points are checkpointed, so a row keeps its number; rows of one id go to blocks of their own
+    left = listed.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), blocks_of).cast("int"))
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = queries.mapInArrow(probe, "q long, query_id long, v array<double>, bound double, list int")
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
@@ -175,13 +177,14 @@ def nearest(vectors: DataFrame, every: int = 100, wanted: int = 10, settings: Se
     """(query_id, rank, vec_id, score) for each vector whose id is divisible by ``every``, against all rows."""
     points = settle(usable(vectors).withColumn("width", F.size("v")))
     queries = points.where(F.col("vec_id") % every == 0)
-    queries = queries.withColumn("q", F.xxhash64("vec_id", "v")).dropDuplicates(["q"])
+    copies = queries.groupBy("vec_id", "width").agg(F.count(F.lit(1)).alias("copies"))
+    queries = queries.withColumn("q", F.xxhash64("vec_id", "v")).dropDuplicates(["q"]).join(copies, ["vec_id", "width"])
     found = points.sparkSession.range(0).select(F.col("id").alias("q"), F.col("id").alias("query_id"),
                                                 F.col("id").alias("vec_id"), F.col("id").cast("double").alias("score"))
     for row in points.select("width").distinct().orderBy("width").collect():  # vectors of one length meet each other
         width = row["width"]
         found = found.unionByName(_search(points.where(F.col("width") == width).select("vec_id", "v"),
-                                          queries.where(F.col("width") == width).select("q", "vec_id", "v"),
+                                          queries.where(F.col("width") == width).select("q", "vec_id", "v", "copies"),
                                           width, wanted, settings))
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)

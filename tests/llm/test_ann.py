@@ -49,6 +49,17 @@ def test_copies_and_ties(spark):
     assert got[300] == brute(rows)[300] and got[0] == brute(rows)[0]
 
 
+def test_query_id_repeated_many_times(spark):
+    rng = np.random.default_rng(3)
+    same = rng.normal(size=8)
+    rows = [(i, rng.normal(size=8)) for i in range(1, 600)] + [(0, same)] * 15
+    exact = ann.Settings(lists=8, share=1.0, strictness=100.0, block_rows=1000)
+    got, want = answers(ann.nearest(table(spark, rows), settings=exact)), brute(rows)
+    assert [j for _, j in got[0]] == [j for _, j in want[0]] and got[0] == [(pytest.approx(s), j) for s, j in want[0]]
+    few = [(0, same)] * 15 + [(i, -same * i) for i in range(1, 6)]  # the copies alone reach the share of all vectors
+    assert [j for _, j in answers(ann.nearest(table(spark, few)))[0]] == [1, 2, 3, 4, 5]
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1, 0, 0]), (1, [0, 1, 0]), (2, None), (3, [0, 0, 0]), (4, [nan, 1, 1]), (5, [None, 1, 1]), (6, [inf, 0, 0]),
