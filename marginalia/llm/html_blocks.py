@@ -30,10 +30,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
                     "samp small span strike strong sub sup time tt u var wbr input").split())
 #: Words in class, id or role that mark a container as no part of the article.
-CHROME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
+CHROME = re.compile(r"(?<![^\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
                     r"side-bar|footer|masthead|site-header|page-header|cookies?|consent|gdpr|notice|popup|modal|newsletter|"
                     r"subscribe|comments?|commentlist|disqus|respond|reply|replies|related|recommended|share|sharing|social|"
-                    r"toolbar|pagination|pager|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+                    r"toolbar|pagination|pager|widget|complementary|contentinfo|search)(?![^\s_-])", re.I)
+#: Those of them that name a part of a layout, which wrappers of a whole page are named after too, and words before them
+#: that tell of a state.
+LAYOUT = frozenset("nav navbar navigation menu sidebar side-bar footer toolbar widget search".split())
+STATE = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]", re.I)
+REPLIES = re.compile(r"comments?|commentlist|disqus|respond|reply|replies", re.I)
 #: Elements that a start tag of the same group closes when it is still open.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -56,27 +61,85 @@ class Line(NamedTuple):
 
 class _Open(NamedTuple):
     tag: str
-    chrome: bool
+    chrome: bool  # for sure, by tag, role or style
     article: bool
     link: bool
+    mark: int = -1  # the innermost mark by a class or id
+    told: int = -1  # the innermost <article>
+
+
+class _Mark(NamedTuple):
+    above: int
+    layout: bool  # only by words of the layout
+    whole: bool  # by a class or id that is one such word
+    replies: bool
+
+
+def _marked(values: list[str], above: int) -> _Mark | None:
+    """The mark that classes and ids give; those that tell of a state, like has-sidebar, give none."""
+    found = [(m[0].lower(), m[0] == token) for value in values for token in value.split() if not STATE.search(token)
+             for m in CHROME.finditer(token)]
+    if not found:
+        return None
+    return _Mark(above, all(word in LAYOUT for word, _ in found), any(whole for _, whole in found),
+                 any(REPLIES.fullmatch(word) for word, _ in found))
+
+
+def _lifted(marks: list[_Mark], blocks: list, mains: set[int], articles: list[int]) -> list[bool]:
+    """Whether a mark, which only a name gave, is overruled by what its element holds.
+
+    It is where the element holds <main>; the page's longest <article>, of more text than stands clear of all marks, unless the
+    name is one of replies; or, named after a part of the layout, most of the page's text - by a name of one word, where
+    no text stands clear.
+    """
+    held, told, clear, total = [0] * len(marks), [0] * len(articles), 0, 0
+    for parts in blocks:
+        for text, at in parts:
+            if at.chrome or at.link:
+                continue
+            n = len(_SPACE.sub(" ", text).strip())
+            total += n
+            if at.mark < 0:
+                clear += n
+            else:
+                held[at.mark] += n
+            if at.told >= 0:
+                told[at.told] += n
+    main = [i in mains for i in range(len(marks))]
+    longest = max(told, default=0)
+    first = [False] * len(marks)
+    if longest > clear:
+        for i, n in zip(articles, told):
+            if n == longest and i >= 0:
+                first[i] = True
+    for i in range(len(marks) - 1, -1, -1):  # inner marks come after outer ones
+        if (above := marks[i].above) >= 0:
+            held[above] += held[i]
+            main[above] |= main[i]
+            first[above] |= first[i]
+    most = [m.layout and 2 * n > total and (not m.whole or m.above < 0 and not clear) for m, n in zip(marks, held)]
+    return [x or y and not m.replies or z for m, x, y, z in zip(marks, main, first, most)]
 
 
-def _hides(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element holds no part of an article. A header inside an article holds its headline."""
+def _hides(tag: str, attrs: str, inside_article: bool) -> tuple[bool, list[str]]:
+    """Whether an element holds no part of an article, and its names. A header inside an article holds its headline."""
+    names: list[str] = []
     if tag in NEVER or tag == "header" and not inside_article:
-        return True
+        return True, names
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return False, names
     for name, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         name = name.lower()
-        if name in ("class", "id", "role") and CHROME.search(value):
-            return True
+        if name in ("class", "id"):
+            names.append(value)
+        if name == "role" and CHROME.search(value):
+            return True, names
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, names
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, names
+    return False, names
 
 
 def _text(parts: list[tuple[str, _Open]]) -> str:
@@ -85,17 +148,18 @@ def _text(parts: list[tuple[str, _Open]]) -> str:
 
 def lines(page: str | None) -> list[Line]:
     """The lines of a page in order, one per block, with markup stripped and character references decoded."""
-    page, out, spot = page or "", [], 0
+    page, spot = page or "", 0
+    blocks: list[list[tuple[str, _Open]]] = []
+    marks: list[_Mark] = []
+    mains: set[int] = set()  # the innermost marks above <main>
+    articles: list[int] = []  # the innermost mark above each <article>
     stack: list[_Open] = []
     state = _Open("", False, False, False)
     parts: list[tuple[str, _Open]] = []
 
     def flush() -> None:
-        shown = [p for p in parts if not p[1].chrome]
-        text = _text(shown or parts)
-        if text:
-            linked = sum(len(_SPACE.sub(" ", t).strip()) for t, at in shown if at.link)
-            out.append(Line(text, max(0, len(text) - linked) if shown else 0, parts[0][1].article, not shown))
+        if parts:
+            blocks.append(list(parts))
         parts.clear()
 
     while True:
@@ -132,16 +196,37 @@ def lines(page: str | None) -> list[Line]:
                 del stack[top:]
             if token["attrs"].endswith("/") and tag in ("svg", "math"):
                 continue
-            above = stack[-1] if stack else state._replace(tag="", chrome=False, article=False, link=False)
+            above = stack[-1] if stack else _Open("", False, False, False)
             article = above.article or tag in ARTICLE
-            stack.append(_Open(tag, above.chrome or _hides(tag, token["attrs"], above.article), article,
-                               above.link or tag == "a"))
+            hidden, names = _hides(tag, token["attrs"], above.article)
+            mark, told = above.mark, above.told
+            if not (above.chrome or hidden):
+                if (new := _marked(names, mark)) is not None:
+                    mark = len(marks)
+                    marks.append(new)
+                if tag == "main":
+                    mains.add(mark)
+                elif tag == "article":
+                    told = len(articles)
+                    articles.append(mark)
+            stack.append(_Open(tag, above.chrome or hidden, article, above.link or tag == "a", mark, told))
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, spot)
                 spot = end.end() if end else len(page)
                 stack.pop()
         state = stack[-1] if stack else _Open("", False, False, False)
     flush()
+    lifted = _lifted(marks, blocks, mains, articles) if marks else []
+    away: list[bool] = []  # whether each mark, or one above it, stands
+    for mark, free in zip(marks, lifted):
+        away.append(not free or mark.above >= 0 and away[mark.above])
+    out = []
+    for parts in blocks:
+        shown = [p for p in parts if not (p[1].chrome or p[1].mark >= 0 and away[p[1].mark])]
+        text = _text(shown or parts)
+        if text:
+            linked = sum(len(_SPACE.sub(" ", t).strip()) for t, at in shown if at.link)
+            out.append(Line(text, max(0, len(text) - linked) if shown else 0, parts[0][1].article, not shown))
     return out
 
 

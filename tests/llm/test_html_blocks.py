@@ -37,6 +37,24 @@ def test_light_regions_of_a_page_without_article():
     assert [line for line in shown if line in body] == body
 
 
+INNER = "<h1>Head</h1><p>First words of it.</p><div class='share'><p>Share it</p></div><p>Last words of it.</p>"
+AROUND = "<div class='sidebar'><p>Other news</p></div><div id='comments'><article><p>Nice</p></article></div>"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-comments", "layout-sidebar", "page sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_named_after_their_layout(name, tag):
+    page = f"<body><div class='{name}'><{tag}>{INNER}</{tag}>{AROUND}</div></body>"
+    assert main_text(page) == "Head\nFirst words of it.\nLast words of it."
+
+
+def test_parts_named_so_stay_out():
+    around = AROUND + "<div class='left-sidebar'><p>Old news</p></div><div class='related-posts'><article><p>Read on</p></article></div>"
+    for tag in ("article", "main"):
+        assert main_text(f"<body><{tag}>{INNER}</{tag}>{around}</body>") == "Head\nFirst words of it.\nLast words of it."
+    assert main_text(f"<body><div>{INNER}</div>{around}</body>") == "Head\nFirst words of it.\nLast words of it."
+
+
 def test_table(spark):
     long_page = "<article>" + "<p>a b</p>" * 50_000 + "</article>"
     pages = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x</p>", 6), (2, "u", long_page, 7), (2, "u", long_page, 7)],
