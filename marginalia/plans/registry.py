@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.plans.views import with_views
-from marginalia.session import tune
+from marginalia.session import ship_code, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            return fn(tune(spark), sf)
+            return fn(ship_code(tune(spark)), sf)
 
         QUERIES[name] = run
         if sql is not None:

@@ -22,6 +22,8 @@ RECOMMENDED = {
     # merge sessions before the shuffle, so that one busy user does not meet one task
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # whole texts in batches: a worker holds a few MB of them at a time
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
