@@ -16,6 +16,7 @@ documents of their own; an empty table gives no rows; the text of a special toke
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import zlib
 from collections import defaultdict
@@ -41,28 +42,34 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(json_path: str, ranks_path: str | None = None):
-    """A function from a text to its ids as the tokenizer file gives them.
-
-    The ranks file holds the same vocabulary for a faster reader of it, which gives equal ids on texts without special
-    tokens; other texts go through the tokenizer itself, as all do if there is no ranks file.
-    """
+@functools.lru_cache(maxsize=2)  # once per worker, not per task
+def _tokenizer(json_path: str):
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(json_path)
-    if ranks_path is None:
-        return lambda text: full.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(json_path)
+
+
+@functools.lru_cache(maxsize=2)
+def _ranks(ranks_path: str):
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+
+def encoder(json_path: str, ranks_path: str | None = None):
+    """A function from a text to its ids as the tokenizer file gives them.
+
+    The ranks file holds the same vocabulary for a faster reader of it, which gives equal ids on texts without special
+    tokens; other texts go through the tokenizer itself, as all do if there is no ranks file. A worker loads each of the two
+    once, when a text first needs it.
+    """
     def ids(text: str):
-        if SPECIAL in text:
-            return full.encode(text, add_special_tokens=False).ids
-        return fast.encode_to_numpy(text, disallowed_special=())
+        if ranks_path is None or SPECIAL in text:
+            return _tokenizer(json_path).encode(text, add_special_tokens=False).ids
+        return _ranks(ranks_path).encode_to_numpy(text, disallowed_special=())
     return ids
 
 

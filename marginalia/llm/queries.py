@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import ann, html_blocks, language, licenses, mixing, ngram_join, packing, repetition, toxicity, warc
-from marginalia.session import scratch_path
+from marginalia.llm import (alignment, ann, bpe_counts, divergence, html_blocks, language, licenses, mixing, ngram_join, packing,
+                            repetition, toxicity, warc)
+from marginalia.session import scratch_path, ship_code, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +17,11 @@ ORACLES: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(ship_code(tune(spark)), sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -234,6 +240,59 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
+@_query("op11_bpe_merge_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return bpe_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_diagonal_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers."""
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+with docs as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+groups as (select distinct lang, source from docs),
+met as (
+  select lang, source, term, count(*)::bigint as n, sum(n) as found from (
+    select lang, source, spot, term, count(*)::bigint as n from (
+      select lang, source, spot, unnest(ts) as term from (select *, row_number() over () as spot from docs)) group by all)
+  group by all),
+kept as (select lang, term, sum(found) as lang_n from met group by 1, 2 having sum(n) >= 30),
+sizes as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by 1),
+cell as (
+  select g.lang, g.source, k.term, coalesce(m.found, 0) as found, k.lang_n, s.v, s.lang_total,
+    sum(coalesce(m.found, 0)) over (partition by g.lang, g.source) as total
+  from groups g join kept k using (lang) join sizes s using (lang) left join met m using (lang, source, term)),
+rate as (
+  select lang, source, term, found, 1 + (1000000000::hugeint * (found + 5)) // (total + 5 * v) as p,
+    1 + (1000000000::hugeint * (lang_n + 5)) // (lang_total + 5 * v) as q from cell),
+pair as (
+  select a.lang, a.source, b.source as item, coalesce((
+    select sum(abs(x.p - y.p)) from rate x join rate y using (lang, term)
+    where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source),
+listed as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank
+  from pair
+  union all
+  select lang, source, 'term', term, (p - q)::bigint, row_number() over (partition by lang, source order by p - q desc, term)
+  from rate where found > 0 and p > q)
+select lang, source, part, item, value, rank::int as rank from listed where part = 'pair' or rank <= 50
+"""
+
+
+@_query("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each source off."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed sequences of all documents that the stages of the pipeline keep."""

@@ -6,6 +6,8 @@ text, so their memory is bounded by the longest text.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 _SPACE = np.zeros(256, bool)
@@ -16,8 +18,8 @@ _FOLD[ord("A"):ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2 ** 64))
 STEP = np.uint64(0xD1342543DE82EF95)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+#: Bytes whose hashes are summed at a time, and so the length of the tables that a worker keeps.
+BLOCK = 1 << 18
 
 
 def utf8(text: str | None, fold: bool = False) -> np.ndarray:
@@ -41,24 +43,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, _BASE)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps[1:] = _BASE_INVERSE
-        _inverses = np.multiply.accumulate(steps)
-    return _powers, _inverses
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    steps = np.full(n, _BASE)
+    steps[0] = 1
+    powers = np.multiply.accumulate(steps)
+    steps[1:] = _BASE_INVERSE
+    return powers, np.multiply.accumulate(steps)
+
+
+_kept_powers = functools.lru_cache(maxsize=1)(lambda: _powers(BLOCK + 1))
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: differences of one running polynomial hash over all bytes."""
-    powers, inverses = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word: differences of one running polynomial hash over the bytes of a block of words.
+
+    The inverse power takes away where in its block a word stands, so blocks don't show in the hashes.
+    """
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        first = starts[at]
+        until = max(at + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))  # a longer word is a block of its own
+        part = raw[first:ends[until - 1]]
+        powers, inverses = _kept_powers() if len(part) <= BLOCK else _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[:len(part)], out=total[1:])
+        a, b = starts[at:until] - first, ends[at:until] - first
+        out[at:until] = mix((total[b] - total[a]) * inverses[a] + (b - a).astype(np.uint64))
+        at = until
+    return out
 
 
 def longer(grams: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
