@@ -256,9 +256,13 @@ def split_system(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
+    def grams(own: Column) -> Column:
+        starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, F.lit(n)), " "))
+
+    # bound to a variable, or every n-gram would make the tokens again
+    return F.transform(F.array(tokens), grams)[0]
 
 
 def overlap(candidate: Column, reference: Column, n: int = 1) -> Column:

@@ -77,11 +77,12 @@ def _(spark, sf):
                                               "precision", "recall")}})
 
 
-@query("c16_answers_with_questions", """select question_id, e.question, md5(d.text) as rag_answer from evaluations e
-join documents d on d.doc_id = e.item_id""")
+@query("c16_answers_with_questions", """select a.doc_id, question_id, e.question, md5(answer) as rag_answer from answers a
+join evaluations e using (item_id)""")
 def _(spark, sf):
-    answers = V.table(spark, sf, "documents").select(
-        F.concat(F.lit("q_"), "doc_id").alias("question_id"), F.md5("text").alias("rag_answer"))
+    """Every document as an answer, joined to its question by question id."""
+    answers = V.answers(spark, sf).select(
+        "doc_id", F.concat(F.lit("q_"), "item_id").alias("question_id"), F.md5("answer").alias("rag_answer"))
     return V.evaluations(spark, sf).select("question_id", "question").join(answers, "question_id")
 
 

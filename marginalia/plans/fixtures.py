@@ -151,6 +151,14 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
         "query_id")
 
 
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as an answer to one of the questions, which follow one another by document id."""
+    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
+    number = asked.count()
+    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"), (F.col("doc_id") % number).alias("item_id")) \
+        .join(asked, "item_id")
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     a = (conv * 7 + turn * 3) % 100

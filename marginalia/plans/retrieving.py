@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import graph, retrieval as R, vectors as E
+from marginalia.operators import graph, lexical as L, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
 from marginalia.session import scratch_path, settle
@@ -52,6 +52,47 @@ def _(spark, sf):
     return _long(_score(out, "rerank_score"), "rank").select("query_id", "rank", "document_chunk_id", "rerank_score")
 
 
+_BM25 = """words as (select regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as ws from documents),
+  totals as (select count(*)::double as n, sum(len(ws))::double / count(*) as mean from words),
+  counts as (select term, count(*) as df from (select unnest(list_distinct(ws)) as term from words) group by 1),
+  asked as (select query_id, document_chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') as ws,
+    unnest(list_distinct(regexp_extract_all(lower(qtext), '[\\p{L}\\p{N}]+'))) as term from top10),
+  found as (select query_id, document_chunk_id, term, len(ws) as length, len(list_filter(ws, lambda x: x = term)) as tf from asked),
+  rated as (select t.query_id, t.document_chunk_id, round(coalesce(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double))
+      * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / mean))), 0), 9) as score
+    from top10 t left join (select * from found join counts using (term), totals where tf > 0) f
+      on f.query_id = t.query_id and f.document_chunk_id = t.document_chunk_id group by 1, 2)"""
+
+
+def _statistics(spark, sf):
+    """Counts over all documents, stored and read back."""
+    path = scratch_path(spark, "statistics")
+    L.write_statistics(V.table(spark, sf, "documents"), path, "text")
+    return L.read_statistics(spark, path)
+
+
+@query("j5_bm25", f"""with {_BM25}
+select query_id, row_number() over (partition by query_id order by score desc, document_chunk_id) as rank, document_chunk_id,
+  round(score, 6) as bm25_score from rated
+qualify row_number() over (partition by query_id order by score desc, document_chunk_id) <= 5""")
+def _(spark, sf):
+    """The ten nearest passages of every question, ranked by BM25 with the counts of the whole corpus."""
+    hits = R.with_chunks(_near(spark, sf).select("query_id", "document_chunk_id"), V.vec_chunks(spark, sf))
+    asked = hits.join(V.questions(spark, sf).select("query_id", "qtext"), "query_id")
+    out = L.rerank_bm25(asked, _statistics(spark, sf))
+    return _long(_score(out, "bm25_score"), "rank").select("query_id", "rank", "document_chunk_id", "bm25_score")
+
+
+@query("j5_term_statistics", """with words as (select regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as ws from documents)
+select term, count(*) as df, null::bigint as length from (select unnest(list_distinct(ws)) as term from words) group by 1
+union all select null, count(*), sum(len(ws))::bigint from words""")
+def _(spark, sf):
+    """The stored statistics themselves: document frequencies, and the row of totals."""
+    path = scratch_path(spark, "statistics")
+    L.write_statistics(V.table(spark, sf, "documents"), path, "text")
+    return spark.read.parquet(path).select("term", "df", "length")
+
+
 _EXPAND = """expanded as (select * from (
   select *, row_number() over (partition by query_id, document_id order by section_rank, section_priority,
     section nulls last) as overall_rank
@@ -333,3 +374,35 @@ def _(spark, sf):
         "document_chunk_id", "document_id", embed(F.col("content")).alias("embedding"))
     return E.vector_topk(q, c, 5).groupBy("query_id").agg(
         F.round(F.max("similarity_score"), 4).alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+_BUCKETS = """('0x' || substr(md5(regexp_replace(w, '\\s+$', '')), 1, 8))::bigint % 256"""
+_WEIGHTED = f"""passages as (select min(document_chunk_id) as id, any_value(content) as content from chunks join docs using (document_id)
+    where priority > 0 group by md5(content)),
+  bins as (select kind, id, {_BUCKETS} as b, count(*) as n from (
+    select 'q' as kind, item_id as id, unnest(regexp_extract_all(lower('search_query: ' || text), '\\S+\\s*')) as w from benchmark
+    union all select 'c', id, unnest(regexp_extract_all(lower(content), '\\S+\\s*')) from passages) group by all),
+  weights as (select b, ln((1 + (select count(*) from passages))::double / (1 + count(*))) + 1 as weight from bins where kind = 'c' group by 1),
+  unseen as (select ln((1 + (select count(*) from passages))::double) + 1 as weight),
+  weighed as (select kind, id, b, n * coalesce(weight, (select weight from unseen)) as v from bins left join weights using (b)),
+  norms as (select kind, id, sqrt(sum(v * v)) as norm from weighed group by all)"""
+
+
+@query("i11_weighted_search", f"""with {_WEIGHTED},
+  sims as (select q.id as query_id, c.id as document_chunk_id, round(sum(q.v * c.v) / any_value(nq.norm) / any_value(nc.norm), 9) as sim
+    from weighed q join weighed c on q.b = c.b and q.kind = 'q' and c.kind = 'c' join norms nq on nq.kind = 'q' and nq.id = q.id
+    join norms nc on nc.kind = 'c' and nc.id = c.id group by all)
+select query_id, rank, document_chunk_id, round(sim, 6) as similarity_score from (
+  select *, row_number() over (partition by query_id order by sim desc, document_chunk_id) as rank from sims) where rank <= 5""")
+def _(spark, sf):
+    """Text to text over the different passages, hashed buckets weighed by how few passages hold them."""
+    live = R.live_chunks(V.chunks(spark, sf), V.slim_docs(spark, sf))
+    passages = settle(live.groupBy(F.md5("content")).agg(
+        F.min(F.struct("document_chunk_id", "document_id", "content")).alias("c")).select("c.*"))
+    path = scratch_path(spark, "weights")
+    L.write_weights(spark, L.fit_weights(passages, dims=256), path)
+    weights = L.read_weights(spark, path)
+    q = L.embed_weighted(V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"),
+                         X.query_text(F.col("text")), weights, "qvec")
+    hits = L.text_topk(q, L.embed_weighted(passages, F.col("content"), weights), 5)
+    return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.operators import articles as A, chunking as K, evaluation as E
+from marginalia.operators.sequences import rouge_l
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
 from marginalia.session import spread
@@ -253,26 +254,49 @@ def _(spark, sf):
 _NGRAM = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
 
 
-@query("n6_overlap", f"""select item_id, round(common / nullif(na, 0), 6) as p1, round(common / nullif(nb, 0), 6) as r1,
-  round(2 * common / (na + nb), 6) as f1 from (select item_id, len(a)::double as na, len(b)::double as nb,
+@query("n6_overlap", f"""select doc_id, item_id, round(common / nullif(na, 0), 6) as p1, round(common / nullif(nb, 0), 6) as r1,
+  round(2 * common / (na + nb), 6) as f1 from (select doc_id, item_id, len(a)::double as na, len(b)::double as nb,
     len(list_intersect(a, b))::double as common from (
-  select item_id, {_NGRAM.format('d.text')} as a, {_NGRAM.format('b.text')} as b from benchmark b join documents d on d.doc_id = b.item_id))""")
+  select doc_id, item_id, {_NGRAM.format('answer')} as a, {_NGRAM.format('reference')} as b from answers))""")
 def _(spark, sf):
-    b = V.table(spark, sf, "benchmark")
-    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer"))
-    o = b.join(d, "item_id").select("item_id", E.overlap(F.col("answer"), F.col("text")).alias("o"))
-    return o.select("item_id", F.round("o.precision", 6).alias("p1"), F.round("o.recall", 6).alias("r1"),
+    """Every document as an answer, against the text of its question."""
+    o = V.answers(spark, sf).select("doc_id", "item_id", E.overlap(F.col("answer"), F.col("reference")).alias("o"))
+    return o.select("doc_id", "item_id", F.round("o.precision", 6).alias("p1"), F.round("o.recall", 6).alias("r1"),
                     F.round("o.f1", 6).alias("f1"))
 
 
 _BIGRAM = ("list_distinct(list_transform(range(1, len(t{0})), lambda i: t{0}[i] || ' ' || t{0}[i + 1]))")
 
 
-@query("n6_bigram_overlap", f"""select item_id, coalesce(round(2 * len(list_intersect(a, b))::double / nullif(len(a) + len(b), 0), 6), 0) as f2
-from (select item_id, {_BIGRAM.format('a')} as a, {_BIGRAM.format('b')} as b from (select item_id,
-  regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+') as ta, regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+') as tb
-  from benchmark b join documents d on d.doc_id = b.item_id))""")
+@query("n6_bigram_overlap", f"""select doc_id, item_id, coalesce(round(2 * len(list_intersect(a, b))::double / nullif(len(a) + len(b), 0), 6), 0)
+  as f2 from (select doc_id, item_id, {_BIGRAM.format('a')} as a, {_BIGRAM.format('b')} as b from (select doc_id, item_id,
+  regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}]+') as ta, regexp_extract_all(lower(reference), '[\\p{{L}}\\p{{N}}]+') as tb
+  from answers))""")
 def _(spark, sf):
-    b = V.table(spark, sf, "benchmark")
-    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("answer"))
-    return b.join(d, "item_id").select("item_id", F.round(E.overlap(F.col("answer"), F.col("text"), 2)["f1"], 6).alias("f2"))
+    return V.answers(spark, sf).select(
+        "doc_id", "item_id", F.round(E.overlap(F.col("answer"), F.col("reference"), 2)["f1"], 6).alias("f2"))
+
+
+# Row by row over the terms of the reference; the table's next row is a running maximum over the places of the answer.
+_LCS = """with recursive told as (select doc_id, item_id, regexp_extract_all(lower(answer), '[\\p{L}\\p{N}]+') as a,
+    regexp_extract_all(lower(reference), '[\\p{L}\\p{N}]+') as b from answers),
+  place as (select doc_id, unnest(a) as w, unnest(generate_series(1, len(a))) as j from told),
+  cell(i, doc_id, j, w, length) as (
+    select 0, doc_id, j, w, 0 from place
+    union all
+    select i + 1, doc_id, j, w, max(greatest(length, up + (w = t)::int)) over (partition by doc_id order by j) from (
+      select c.*, coalesce(lag(length) over (partition by c.doc_id order by j), 0) as up, b[i + 1] as t
+      from cell c join told using (doc_id) where i < len(b))),
+  met as (select doc_id, max(length) as lcs from cell group by 1),
+  sized as (select doc_id, item_id, coalesce(lcs, 0)::bigint as lcs, len(a)::double as n, len(b)::double as m
+    from told left join met using (doc_id))
+select doc_id, item_id, lcs, round(coalesce(lcs / nullif(n, 0), 0), 6) as p, round(coalesce(lcs / nullif(m, 0), 0), 6) as r,
+  round(coalesce(2 * lcs / nullif(n + m, 0), 0), 6) as f from sized"""
+
+
+@query("n6_lcs", _LCS)
+def _(spark, sf):
+    """Overlap by order: the longest common subsequence of every document and the text of its question."""
+    o = spread(V.answers(spark, sf)).select("doc_id", "item_id", rouge_l(F.col("answer"), F.col("reference")).alias("o"))
+    return o.select("doc_id", "item_id", "o.lcs", F.round("o.precision", 6).alias("p"), F.round("o.recall", 6).alias("r"),
+                    F.round("o.f", 6).alias("f"))

@@ -89,6 +89,10 @@ VIEWS["top10"] = """
 select *, row_number() over (partition by query_id order by sim desc, document_chunk_id) as rank
 from scored qualify row_number() over (partition by query_id order by sim desc, document_chunk_id) <= 10"""
 
+VIEWS["answers"] = """
+select d.doc_id, d.text as answer, b.item_id, b.text as reference
+from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)"""
+
 VIEWS["messages"] = """
 select conv_id, 'anon_' || (conv_id % 7) as user_id, turn, role,
   case when role = 'assistant' then '## Answer: ' || text || ' [PMC' || a || ', PMC' || ((a + turn % 3) % 100)
