@@ -6,15 +6,25 @@ as Parquet and read again. All but the last return the columns they were given.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import language, mixing, ngram_join, packing, toxicity
-from marginalia.session import scratch_path
+from marginalia.session import scratch_path, ship_code, tune
 
 #: Near duplicates take five words and a similarity of 0.8.
 NEAR = ngram_join.Settings(shingle=5, percent=80)
 
 
+def _ready(stage):
+    """Stages run in sessions that somebody else created: the workers get the package, and texts come in small batches."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship_code(tune(spark)), docs, sf_dir)
+    return run
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that prevails, go."""
     return language.keep_reliable(docs)
@@ -41,11 +51,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language", known_language),
-    ("toxicity", not_toxic),
-    ("near duplicates", one_per_class),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("language", _ready(known_language)),
+    ("toxicity", _ready(not_toxic)),
+    ("near duplicates", _ready(one_per_class)),
+    ("mixing", _ready(mixed)),
+    ("packing", _ready(packed)),
 ]
 
 #: SQL cannot express models and tokenizers; the stages are tested against brute force.

@@ -8,13 +8,16 @@ Steps, each exact:
 
 1. A share of all shingles, cut by hash, is counted over the whole corpus. A text with as many unique shingles in this share
    as its prefix is long has no partner, as some global order puts unique shingles first. Nearly all texts end here.
-2. The sets of the others are counted in full; shingles of two or more of them make the prefix lists.
-3. Every list first links its members to one hub, where they are alike. Members of one component need no further
-   comparison, so a group of thousands of near copies doesn't expand into pairs.
-4. Pairs of different components that share at least l prefix shingles, have lengths and bitmaps (parities of hashed
-   shingles, a bound on the difference) that allow enough overlap, are verified on their sets.
+2. The sets of the others are counted in full; shingles of two or more of them make the prefix lists. A set with too few of
+   them to reach any partner goes.
+3. Every list links its members to one hub, where they are alike. Members of one component need no further comparison, and
+   lists within one component go. Lists that are still open get new hubs, from among the members outside their main
+   component, round after round, until few pairs are left in them or a round joins little. So a group of thousands of near copies doesn't expand into pairs.
+4. Pairs of different components that share at least l prefix shingles, have lengths, shared shingles and bitmaps (parities
+   of hashed shingles, a bound on the difference) that allow enough overlap, are verified on their sets.
 
-Lists and components only ever meet joins that adaptive execution can split, and aggregates that combine first.
+Lists and components only ever meet joins that adaptive execution can split, and aggregates that combine first. Lists carry
+no sets and no bitmaps; these are joined to the open lists, and to pairs, by node.
 
 Shingles are compared by 64-bit hashes. Defined results: texts that are null or have no words have no shingles and are
 linked with nothing, so their component is their own id; texts of fewer words than a shingle are one shingle; rows that
@@ -24,6 +27,7 @@ repeat an id are documents of their own; a null id takes part and names no compo
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import words as W
 from marginalia.llm.batches import over_rows
 from marginalia.llm.components import components
-from marginalia.session import settle
+from marginalia.session import settle, stored
 
 
 class Settings(NamedTuple):
@@ -41,10 +45,13 @@ class Settings(NamedTuple):
     percent: int = 90  # least intersection of a link, in percent of the union
     most_matches: int = 3  # largest l
     verify_cost: float = 8.0  # of one candidate, in list entries
+    hubs: int = 4  # new hubs of an open list in each round after the first
+    patience: float = 8.0  # pairs inside open lists, for each of their entries, up to which no new hubs are tried
+    worth: float = 0.02  # share of the open nodes that a round must join to be followed by another
     broadcast_texts: int = 500_000  # ids of texts that may have partners are broadcast up to this count
 
 
-BITMAP_WORDS = 8  # 64-bit words of a bitmap
+NARROW, WIDE = 8, 32  # 64-bit words of the two bitmaps; the first is quick to compare, the second hardly errs
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -60,9 +67,9 @@ def node_of(found: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.md5(found.tobytes()).digest()[:8], "little", signed=True) if len(found) else None
 
 
-def bitmap(found: np.ndarray) -> list[int]:
+def bitmap(found: np.ndarray, words: int) -> list[int]:
     """Parity of the shingles in each of the bits; bits that differ are at most the shingles that do."""
-    counts = np.bincount((found >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    counts = np.bincount((found >> np.uint64(64 - 6 - (words - 1).bit_length())).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
@@ -76,14 +83,20 @@ def _alike(overlap: Column, n: Column, m: Column, s: Settings) -> Column:
 
 
 def _may_link(x: str, y: str, s: Settings) -> Column:
-    """Length and bitmap filters on two entries."""
+    """Filters on two sets by length, by shingles that others have too, and by bitmap."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
-    # overlap = (n + m - difference) / 2, and at least percent of (n + m) / (100 + percent)
-    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & ((100 + s.percent) * (n + m - differ) >= 2 * s.percent * (n + m))
 
+    def overlap(bits: str, words: int) -> Column:
+        differ = sum((F.bit_count(F.col(f"{x}.{bits}")[i].bitwiseXOR(F.col(f"{y}.{bits}")[i])) for i in range(words)), F.lit(0))
+        return (100 + s.percent) * (n + m - differ) >= 2 * s.percent * (n + m)
 
-def summaries(docs: DataFrame, s: Settings) -> DataFrame:
+    # the overlap is at least percent of (n + m) / (100 + percent), and at most what both share with any set at all;
+    # it is (n + m - difference) / 2
+    shared = (100 + s.percent) * F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared")) >= s.percent * (n + m)
+    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & shared & overlap("narrow", NARROW) & overlap("wide", WIDE)
+
+
+def summaries(docs: DataFrame, s: Settings, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, n_shingles, node, sampled): sampled holds the shingles in the counted share of the hash range."""
     share = min(1.0, 1 - s.percent / 100 + 0.1)
     cut = np.uint64(int(share * 2 ** 64) - 1 if share < 1 else 2 ** 64 - 1)
@@ -94,7 +107,7 @@ def summaries(docs: DataFrame, s: Settings) -> DataFrame:
             return len(found), node_of(found), found[:np.searchsorted(found, cut)].view(np.int64)
         return told
 
-    return over_rows(docs, ["doc_id"], ["text"], "n_shingles long, node long, sampled array<bigint>", work)
+    return over_rows(docs, keep, ["text"], "n_shingles long, node long, sampled array<bigint>", work)
 
 
 def with_partners(told: DataFrame, s: Settings) -> DataFrame:
@@ -108,7 +121,7 @@ def with_partners(told: DataFrame, s: Settings) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, bits, found) of chosen nodes, read again from their texts."""
+    """(node, n, narrow, wide, found) of chosen nodes, read again from their texts."""
     ids = chosen.select("doc_id").distinct()
     if ids.count() <= s.broadcast_texts:
         ids = F.broadcast(ids)
@@ -117,36 +130,38 @@ def sets_of(docs: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame:
     def work():
         def told(text: str | None) -> tuple:
             found = shingles(text, s.shingle)
-            return node_of(found), len(found), bitmap(found), found.view(np.int64)
+            return node_of(found), len(found), bitmap(found, NARROW), bitmap(found, WIDE), found.view(np.int64)
         return told
 
-    read = over_rows(texts, ["doc_id"], ["text"], "node long, n long, bits array<bigint>, found array<bigint>", work)
+    read = over_rows(texts, ["doc_id"], ["text"], "node long, n long, narrow array<bigint>, wide array<bigint>, found array<bigint>",
+                     work)
     read = read.join(chosen.select("node").distinct(), "node", "left_semi")
-    return read.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("found").alias("found"))
+    return read.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "narrow", "wide", "found")])
 
 
 def entries(sets: DataFrame, s: Settings) -> DataFrame:
-    """(token, node, n, bits, level, matches): prefix lists, without shingles that one set alone holds.
+    """(token, node, shared, level, matches): prefix lists, without shingles that one set alone holds.
 
-    ``level`` is the smallest l whose prefix holds the shingle, ``matches`` the l that the document asks of its partners.
+    ``shared`` counts the set's shingles that others hold too, ``level`` is the smallest l whose prefix holds the shingle,
+    ``matches`` the l that the document asks of its partners.
     """
     token = sets.select("node", "n", F.explode("found").alias("token"))
-    shared = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = token.join(shared, "token")
+    several = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    told = token.join(several, "token")
     by_rarity = Window.partitionBy("node").orderBy("df", "token")
     whole = Window.partitionBy("node")
-    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(by_rarity)  # from 1; unique ones come first
+    told = told.withColumn("shared", F.count(F.lit(1)).over(whole)).withColumn("rank", F.row_number().over(by_rarity))
+    told = told.where(F.col("shared") >= _need(F.col("n"), s))
+    place = F.col("n") - F.col("shared") + F.col("rank")  # from 1; unique ones come first
     prefix = F.col("n") - _need(F.col("n"), s) + 1
-    told = shared.withColumn("level", F.greatest(F.lit(1), place - prefix + 1).cast("int"))
+    told = told.withColumn("level", F.greatest(F.lit(1), place - prefix + 1).cast("int"))
     told = told.where(F.col("level") <= s.most_matches)
     # lists met by the prefix for each l, and the candidates that can have l entries in them
     costs = []
     for k in range(1, s.most_matches + 1):
         met = F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).over(whole)
         costs.append(F.when(F.lit(k) <= _need(F.col("n"), s), F.struct((met + s.verify_cost * met / k).alias("cost"), F.lit(k).alias("k"))))
-    told = told.withColumn("matches", F.least(*costs)["k"])
-    return told.select("token", "node", "level", "matches") \
-        .join(sets.select("node", "n", "bits"), "node").select("token", "node", "n", "bits", "level", "matches")
+    return told.withColumn("matches", F.least(*costs)["k"]).select("token", "node", "shared", "level", "matches")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -157,20 +172,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_alike(overlap, F.col("n"), F.col("m"), s)).select(*pairs.columns)
 
 
-def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
-    """(node, component) of the nodes that are linked with others."""
-    lists = settle(entries(sets, s))
-    hub = lists.where("level = 1").groupBy("token").agg(F.min(F.struct("node", "n", "bits")).alias("hub"))
-    hub = hub.select("token", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"), F.col("hub.bits").alias("bits"))
-    stars = lists.where("level = 1").alias("x").join(hub.alias("y"), "token") \
-        .where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", s)) \
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    first = components(_verified(stars, sets, s))
-    named = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = hub.select("token", "node").join(first, "node", "left").select("token", F.coalesce("component", "node").alias("main"))
-    # a list without an entry at level 1 has no hub and no one inside, but its entries count as hits
-    inside = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
-    named = settle(named.join(main, "token", "left").withColumn("inside", inside))
+def _plausible(pairs: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
+    """The rows of pairs (a, b, ...) that the filters on two sets let through."""
+    return pairs.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node")) \
+        .where(_may_link("x", "y", s)).select(*pairs.columns)
+
+
+def stars(lists: DataFrame, turn: int, s: Settings) -> DataFrame:
+    """Pairs (a, b, c, d) of nodes and their components, one side a hub of a list in which both stand at level 1.
+
+    In the first turn a list has one hub; later it has several, from outside of the component that most members are in.
+    """
+    first = lists.where("level = 1").select("token", "node", "component")
+    if turn == 0:
+        hubs = first.groupBy("token").agg(F.min(F.struct("node", "component")).alias("hub"))
+    else:
+        most = first.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members")) \
+            .groupBy("token").agg(F.max(F.struct("members", "component")).alias("most"))
+        outside = first.join(most, "token").where("component <> most.component")
+        mixed = F.xxhash64("node", F.lit(turn))
+        hubs = outside.groupBy("token", F.pmod(mixed, F.lit(s.hubs)).alias("seat")) \
+            .agg(F.min(F.struct(mixed, "node", "component")).alias("hub"))
+    met = first.join(hubs.select("token", "hub"), "token").where("component <> hub.component")
+    # one order of the two, so that a pair comes once
+    swap = F.col("node") > F.col("hub.node")
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"),
+                      F.when(swap, F.col("hub.component")).otherwise(F.col("component")).alias("c"),
+                      F.when(swap, F.col("component")).otherwise(F.col("hub.component")).alias("d")).distinct()
+
+
+def _renamed(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``df`` with its ``component`` replaced where ``found`` (node, component) names it."""
+    names = found.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return df.join(names, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+
+
+def _still_open(lists: DataFrame) -> DataFrame:
+    """The lists that hold members of several components."""
+    extent = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return lists.join(extent.select("token"), "token", "left_semi")
+
+
+def _size(lists: DataFrame) -> tuple[int, float]:
+    """Entries of open lists, and pairs of members of different components in them."""
+    own = F.col("members").cast("double")
+    each = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members")) \
+        .groupBy("token").agg(F.sum("members").alias("members"), F.sum(own * own).alias("within"))
+    row = each.agg(F.sum("members").alias("entries"), F.sum(own * own - F.col("within")).alias("pairs")).first()
+    return row["entries"] or 0, (row["pairs"] or 0.0) / 2
+
+
+def candidates(lists: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b, c, d) of nodes of different components that may be alike, by hits in the open lists."""
+    main = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members")) \
+        .groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("main"))
+    named = stored(lists.join(main, "token").withColumn("inside", F.col("component") == F.col("main")).drop("main")
+                   .join(marks, "node"), "open-lists")
     # the larger of two sets asks for its number of matches; lists inside one component are not compared again
     probe = named.where(F.col("level") <= F.col("matches"))
     above = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")
@@ -181,23 +238,48 @@ def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
             .select(*[F.col(f"{side}.{c}").alias(name) for side, c, name in (
                 ("x", "node", "a"), ("y", "node", "b"), ("x", "component", "c"), ("y", "component", "d"), ("x", "matches", "matches"))])
         met = part if met is None else met.unionByName(part)
-    pairs = met.groupBy("a", "b", "c", "d", "matches").agg(F.count(F.lit(1)).alias("hits")).where("hits >= matches")
-    # the components found first are the nodes of the second search
-    second = components(_verified(pairs, sets, s).select(F.col("c").alias("a"), F.col("d").alias("b")))
-    renamed = second.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    moved = first.join(renamed, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = second.join(first.select("component").distinct(), F.col("node") == first["component"], "left_anti")
-    return moved.unionByName(alone.select("node", "component"))
+    return met.groupBy("a", "b", "c", "d", "matches").agg(F.count(F.lit(1)).alias("hits")).where("hits >= matches") \
+        .select("a", "b", "c", "d")
+
+
+def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) of the nodes that stand in lists."""
+    found = stored(entries(sets, s), "prefix-lists")
+    facts = found.groupBy("node").agg(F.first("shared").alias("shared"), F.first("matches").alias("matches"))
+    marks = stored(facts.join(sets.select("node", "n", "narrow", "wide"), "node"), "marks")
+    lists = found.select("token", "node", "level", F.col("node").alias("component"))
+    named = marks.select("node", F.col("node").alias("component"))
+    turn = gone = 0
+    while True:
+        pairs = _plausible(stars(lists, turn, s), marks, s)
+        linked = settle(_verified(pairs, sets, s).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+        changed = settle(components(linked))  # the components found so far are its nodes
+        gone = changed.where("node <> component").count()
+        if gone:
+            named = settle(_renamed(named, changed))
+        if gone or turn == 0:
+            lists = stored(_still_open(_renamed(lists, changed)), "open-lists")
+        entries_left, pairs_left = _size(lists)
+        if pairs_left <= s.patience * entries_left or gone <= s.worth * lists.select("component").distinct().count():
+            break
+        turn += 1
+    last = settle(components(_verified(candidates(lists, marks, s), sets, s).select(F.col("c").alias("a"), F.col("d").alias("b"))))
+    return _renamed(named, last)
+
+
+def _classed(docs: DataFrame, s: Settings, keep: Sequence[str]) -> DataFrame:
+    """Columns ``keep`` of every row, n_shingles and component (null without shingles)."""
+    told = settle(summaries(docs, s, keep))
+    chosen = settle(with_partners(told, s))
+    sets = settle(sets_of(docs, chosen, s))
+    joined = settle(joined_nodes(sets, s))
+    told = told.select(*keep, "n_shingles", "node").join(joined, "node", "left")
+    return told.select(*keep, "n_shingles", F.coalesce("component", "node").alias("component"))
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
-    told = settle(summaries(docs, settings))
-    chosen = settle(with_partners(told, settings))
-    sets = settle(sets_of(docs, chosen, settings))
-    joined = settle(joined_nodes(sets, settings))
-    told = told.select("doc_id", "n_shingles", "node").join(joined, "node", "left")
-    told = told.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
+    told = _classed(docs, settings, ["doc_id"])
     smallest = told.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return told.join(smallest, "component", "left") \
         .select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
@@ -205,7 +287,18 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest id of their class; equal rows of one id and text count once."""
-    first = classes(docs, settings).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs``, all columns, that head their class: the smallest id, and of its texts the one with the smallest digest.
+
+    Rows without shingles stay. Equal rows of one id and text count once.
+    """
+    told = _classed(docs.select("doc_id", "text", F.md5("text").alias("digest")), settings, ["doc_id", "digest"])
+    head = told.where("component is not null").groupBy("component") \
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head"))
+    alone = told.where("component is null").select("doc_id", "digest").distinct()
+    heads = head.select("head.doc_id", "head.digest").unionByName(alone).select(F.col("doc_id").alias("id"), "digest")
+    mark = "digest"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.md5("text"))
+    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["id"]) & rows[mark].eqNullSafe(heads["digest"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).drop(mark)

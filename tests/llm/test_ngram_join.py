@@ -83,6 +83,51 @@ def test_edges(edge_docs, no_docs):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 10]
 
 
+def test_one_of_each_where_an_id_has_several_texts(make_docs):
+    base = [f"w{i}" for i in range(40)]
+    near, other, short = " ".join(base[:-1] + ["x"]), " ".join(f"v{i}" for i in range(40)), "one"
+    rows = [(1, other), (1, " ".join(base)), (0, near), (1, near), (None, near), (2, short), (2, ""), (2, ""), (None, None), (3, other.upper())]
+    kept = ngram_join.one_of_each(make_docs(rows), ngram_join.Settings(3, 80)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "")) for r in kept) == [
+        (False, 0, near), (False, 1, other), (False, 2, ""), (False, 2, short), (True, 0, "")]
+
+
+def family(rng, members, length=200):
+    """Near copies of one text, two words of each changed; half of the pairs about are links."""
+    base = [f"w{i}" for i in range(length)]
+    rows = []
+    for i in range(members):
+        own = list(base)
+        for at in rng.sample(range(length), 2):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_candidates_of_a_family_grow_with_it(make_docs, monkeypatch):
+    found, whole = [], ngram_join.candidates
+
+    def counted(lists, marks, s):
+        out = ngram_join.settle(whole(lists, marks, s))
+        found.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    for members in (100, 400):
+        rows = family(random.Random(members), members)
+        got = ngram_join.classes(make_docs(rows), ngram_join.Settings(3, 90)).collect()
+        assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, 3, 90)
+    assert found[1] <= 6 * max(found[0], 10)
+
+
+def test_rounds_of_hubs_are_exact(make_docs):
+    """New hubs in every round, as long as a round joins anything at all."""
+    rng = random.Random(8)
+    rows = near_copies(rng, 2, 60, 100, 7)
+    for patience in (0.0, 1e9):
+        got = ngram_join.classes(make_docs(rows), ngram_join.Settings(3, 90, patience=patience, worth=0.0)).collect()
+        assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, 3, 90)
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(100, 140)]
