@@ -2,7 +2,7 @@
 
 Both tokenizers' tokens become arrays of end offsets. Diagonal run skipping: with the current shift between the two
 indexes, runs of doubled length are compared as slices of the end arrays; as long as they are equal, tokens meet one to one
-and are jumped. The run that differs is halved down to its first difference. There the irregular group is resolved token by
+and are jumped. The slice that differs is walked to its first difference. There the irregular group is resolved token by
 token, and the shift becomes that of its end.
 
 Documents are read once, in blocks of bounded size. A block names its different id pairs once, and a document holds
@@ -26,6 +26,7 @@ from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,47 +38,52 @@ FIRST, SECOND = "byte_bpe_50k", "piece_bpe_32k.model"
 #: Documents and links of a block; the last document may exceed the links.
 BLOCK_DOCS, BLOCK_LINKS = 4_096, 1_000_000
 SLICE = 64
+#: Digits of the longest id, and groups that are written at a time.
+WIDTH, CHUNK = 6, 1 << 18
 
 
 class Tokens(NamedTuple):
-    """A tokenizer: ids of a text, and the bytes of each id; both are read for a space and the text."""
-    ids: Callable[[str], list[int]]
+    """A tokenizer: ids of a text, read for a space and the text, and of each id its bytes, their number, and its decimal.
+
+    Decimals stand at the right of ``digits``; the column after them is free for a mark. ``parts``: tokens always are parts
+    of the text, so their lengths tell whether all of it is there.
+    """
+    ids: Callable[[str], np.ndarray]
     raw: list[bytes]
+    sizes: np.ndarray
+    digits: np.ndarray
+    lengths: np.ndarray
+    parts: bool
+
+    def spell(self, ids: np.ndarray, text: bytes) -> bool:
+        """Whether the tokens' bytes are those of the text."""
+        if self.parts:
+            return int(self.sizes[ids].sum()) == len(text)
+        return b"".join(map(self.raw.__getitem__, ids.tolist())) == text
 
 
-class Aligned(NamedTuple):
-    groups: list[tuple[int, int]]  # end of each group, as numbers of tokens of the first and of the second
-    jumped: int  # groups found by jumps
-
-
-def _equal_run(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from a[i] and b[j] on are equal, by probes of doubled length, halved at the first difference."""
-    done, step, most = 0, 1, min(len(a) - i, len(b) - j)
-    while done < most:
-        step = min(step, most - done)
-        if a[i + done:i + done + step] == b[j + done:j + done + step]:
-            done += step
-            step *= 2
-        elif step == 1:
-            break
-        else:
-            most, step = done + step - 1, max(1, step // 2)
-    return done
-
-
-def align(a: list[int], b: list[int]) -> Aligned:
-    """Groups of two arrays of strictly rising ends with the same last one."""
-    groups: list[tuple[int, int]] = []
-    i, shift, jumped = 0, 0, 0
-    while i < len(a):
-        run = _equal_run(a, b, i, i + shift)
-        groups.extend(zip(range(i + 1, i + run + 1), range(i + shift + 1, i + shift + run + 1)))
-        jumped += run
-        i += run
-        if i == len(a):
-            break
-        j = i + shift
-        left, right = a[i], b[j]
+def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, bool]]:
+    """Steps over two arrays of strictly rising ends with the same last one.
+
+    A step (i, k, j, m, single) has tokens i to k of the first and j to m of the second, which meet one to one or are one group.
+    """
+    steps: list[tuple[int, int, int, int, bool]] = []
+    i, shift, n, all_b = 0, 0, len(a), len(b)
+    while i < n:
+        if a[i] == b[i + shift]:
+            start, step = i, 2
+            i += 1
+            while i + step <= n and a[i:i + step] == b[i + shift:i + shift + step]:
+                i += step
+                step *= 2
+            most = min(n, all_b - shift)
+            while i < most and a[i] == b[i + shift]:
+                i += 1
+            steps.append((start, i, start + shift, i + shift, True))
+            if i == n:
+                break
+        first, j = i, i + shift
+        second, left, right = j, a[i], b[j]
         while left != right:  # the side that lags takes its next token
             if left < right:
                 i += 1
@@ -86,9 +92,15 @@ def align(a: list[int], b: list[int]) -> Aligned:
                 j += 1
                 right = b[j]
         i, j = i + 1, j + 1
-        groups.append((i, j))
+        steps.append((first, i, second, j, False))
         shift = j - i
-    return Aligned(groups, jumped)
+    return steps
+
+
+def _tokens(ids: Callable[[str], np.ndarray], raw: list[bytes], parts: bool = False) -> Tokens:
+    names = [str(i).encode() for i in range(len(raw))]
+    digits = np.frombuffer(b"".join(n.rjust(WIDTH) + b"," for n in names), np.uint8).reshape(-1, WIDTH + 1)
+    return Tokens(ids, raw, np.array(list(map(len, raw)), np.int64), digits, np.array(list(map(len, names)), np.int8), parts)
 
 
 @functools.lru_cache(maxsize=2)  # once per worker, not per task
@@ -101,8 +113,8 @@ def byte_tokens(ranks_path: str, pattern: str) -> Tokens:
     raw = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         raw[rank] = word
-    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return Tokens(lambda text: encode(" " + text), raw)
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    return _tokens(lambda text: encode(" " + text, disallowed_special=()).astype(np.int64), raw, parts=True)
 
 
 @functools.lru_cache(maxsize=2)
@@ -115,7 +127,36 @@ def piece_tokens(model_path: str) -> Tokens:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         raw.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Tokens(model.encode_as_ids, raw)
+    return _tokens(lambda text: np.array(model.encode_as_ids(text), np.int64), raw)
+
+
+def _group_ends(steps: list[tuple[int, int, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of each side stand before the end of each group."""
+    i, k, j, m, single = np.array(steps, np.int64).T
+    found = np.where(single, k - i, 1)
+    inside = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + 1
+    return np.repeat(np.where(single, i, k - 1), found) + inside, np.repeat(np.where(single, j, m - 1), found) + inside
+
+
+def _digest(x: np.ndarray, y: np.ndarray, ends: tuple[np.ndarray, np.ndarray], first: Tokens, second: Tokens) -> str:
+    """SHA-256 of the groups, written as a1,a2|b1;a3|b2,b3 in decimals."""
+    told = hashlib.sha256()
+    for at in range(0, len(ends[0]), CHUNK):
+        a, b = (e[at:at + CHUNK] for e in ends)
+        low = (ends[0][at - 1], ends[1][at - 1]) if at else (0, 0)
+        sides = ((x[low[0]:a[-1]], a - low[0], first, ord("|")), (y[low[1]:b[-1]], b - low[1], second, ord(";")))
+        rows = np.empty((len(sides[0][0]) + len(sides[1][0]), WIDTH + 1), np.uint8)
+        lengths = np.empty(len(rows), np.int8)
+        # a token stands behind those of its side and those of the other side in the groups before, its own for the second
+        before = (np.concatenate(([0], sides[1][1][:-1])), sides[0][1])
+        for (ids, group, tokens, mark), other in zip(sides, before):
+            place = np.arange(len(ids)) + np.repeat(other, np.diff(group, prepend=0))
+            marked = tokens.digits[ids]
+            marked[group - 1, WIDTH] = mark
+            rows[place], lengths[place] = marked, tokens.lengths[ids]
+        shown = rows[np.arange(WIDTH + 1) >= (WIDTH - lengths)[:, None]]
+        told.update(shown if at + CHUNK < len(ends[0]) else shown[:-1])
+    return told.hexdigest()
 
 
 def aligned(text: str | None, first: Tokens, second: Tokens) -> tuple[int, int, int, str, np.ndarray]:
@@ -125,18 +166,14 @@ def aligned(text: str | None, first: Tokens, second: Tokens) -> tuple[int, int,
         return nothing
     whole = b" " + text.encode("utf-8", "surrogatepass")
     x, y = first.ids(text), second.ids(text)
-    left, right = [first.raw[i] for i in x], [second.raw[i] for i in y]
-    if b"".join(left) != whole or b"".join(right) != whole or not (all(left) and all(right)):
+    if not (first.spell(x, whole) and second.spell(y, whole)):
+        return nothing
+    left, right = first.sizes[x], second.sizes[y]
+    if not (left.all() and right.all()):
         return nothing
-    groups = align(list(accumulate(map(len, left))), list(accumulate(map(len, right)))).groups
-    ends = np.array(groups, np.int64)
-    links = np.array(x, np.int64)[ends[:, 0] - 1] << 32 | np.array(y, np.int64)[ends[:, 1] - 1]
-    s, t = list(map(str, x)), list(map(str, y))
-    told, i, j = [], 0, 0
-    for k, m in groups:
-        told.append(f"{s[i]}|{t[j]}" if k - i == 1 == m - j else f"{','.join(s[i:k])}|{','.join(t[j:m])}")
-        i, j = k, m
-    return len(x), len(y), len(groups), hashlib.sha256(";".join(told).encode()).hexdigest(), links
+    ends = _group_ends(align(np.cumsum(left).tolist(), np.cumsum(right).tolist()))
+    links = x[ends[0] - 1] << 32 | y[ends[1] - 1]
+    return len(x), len(y), len(links), _digest(x, y, ends, first, second), links
 
 
 _TOLD = "block string, n_a long, n_b long, n_groups long, groups_sha256 string, links binary, pairs array<bigint>, found array<bigint>"
@@ -158,7 +195,8 @@ def blocks(docs: DataFrame, tokenizers: Callable[[], tuple[Tokens, Tokens]], mos
 
         def told() -> pa.RecordBatch:
             name = uuid.uuid4().hex
-            pairs, places, found = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True, return_counts=True)
+            places, pairs = pd.factorize(np.concatenate([r[4] for r in rows]))
+            found = np.bincount(places, minlength=len(pairs))
             places = places.astype("<u2" if len(pairs) <= 1 << 16 else "<u4")
             cuts = [0, *accumulate(len(r[4]) for r in rows)]
             columns = [[name] * len(rows), *map(list, zip(*[r[:4] for r in rows])),
