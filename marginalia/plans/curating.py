@@ -8,6 +8,7 @@ from marginalia.functions import text as X
 from marginalia.operators import curation as C, graph, keyed, quality as Q
 from marginalia.operators.ordinals import fixed_batches, number_ids
 from marginalia.operators.retrieval import document_fields, live_chunks
+from marginalia.operators.packing import greedy_batches
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
 
@@ -250,6 +251,23 @@ def _(spark, sf):
     return C.batch_totals(C.pack_batches(sizes, 400, 20000))
 
 
+@query("e9_greedy_batches", """with recursive sizes as (select document_id, count(*)::bigint as c, sum(token_count)::bigint as t,
+    row_number() over (order by document_id) as i from chunks group by 1),
+  walk(i, document_id, batch, c, t, used_c, used_t) as (
+    select i, document_id, document_id, c, t, c, t from sizes where i = 1
+    union all
+    select s.i, s.document_id, case when used_c + s.c > 400 or used_t + s.t > 20000 then s.document_id else batch end, s.c, s.t,
+      case when used_c + s.c > 400 or used_t + s.t > 20000 then s.c else used_c + s.c end,
+      case when used_c + s.c > 400 or used_t + s.t > 20000 then s.t else used_t + s.t end
+    from walk w join sizes s on s.i = w.i + 1)
+select document_id, batch, c as chunk_count, t as token_count from walk""")
+def _(spark, sf):
+    """Each batch as full as both limits allow, exactly as one pass by id would fill it."""
+    sizes = V.chunks(spark, sf).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunk_count"), F.sum("token_count").alias("token_count"))
+    return greedy_batches(sizes, 400, 20000)
+
+
 _NEW_IDS = """(select distinct cast(l_partkey + 500 as varchar) as pmc_id from lineitem)"""
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -200,51 +201,110 @@ def filter_answer_stream(events: DataFrame, delay: str = "10 minutes") -> DataFr
 _MONITORED_COLUMNS = [f.split()[0] for f in MONITORED.split(", ")]
 
 
+class _Times(NamedTuple):
+    """What is known of a stream: start, first and last token, tokens, last event in order, next number, whether it ended,
+    and its latest event."""
+    t0: int | None = None
+    t1: int | None = None
+    t2: int | None = None
+    n: int = 0
+    last: int | None = None
+    next: int = 0
+    closed: bool = False
+    latest: int = 0
+
+    def deadline(self) -> int:
+        """When the stream has failed, if nothing more comes."""
+        return self.latest + STALL_MS if self.t0 is None else min(self.last + STALL_MS, self.t0 + TIMEOUT_MS)
+
+
 class _MonitorProcessor(StatefulProcessor):
-    """Metrics on completion; failure on an error event, a stalled stream or one above the time limit."""
+    """Metrics on completion; failure on an error event, a stalled stream or one above the time limit.
+
+    Events count in order of their sequence numbers, which start at 0: an event waits until all before it are there, or until
+    the watermark passes the stream's deadline. A closed stream is remembered until the watermark has passed its latest event
+    by the time limit, so late events don't open it again.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("times", "t0 long, t1 long, t2 long, n long, last long")
+        self.state = handle.getValueState(
+            "times", "t0 long, t1 long, t2 long, n long, last long, next long, closed boolean, latest long")
+        self.waiting = handle.getMapState("waiting", "seq long", "type string, ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t0, t1, t2, n, last = self.state.get() if self.state.exists() else (None, None, None, 0, None)
-        events = pd.concat(list(rows)).sort_values("seq")
-        outcome = None
-        for kind, at in zip(events["type"], events["ms"]):
-            at = int(at)
-            t0 = at if t0 is None else t0
+        times = _Times(*self.state.get()) if self.state.exists() else _Times()
+        events = pd.concat(list(rows))
+        times = times._replace(latest=max(times.latest, int(events["ms"].max())))
+        out: list[tuple] = []
+        if not times.closed:
+            ready = {int(seq): (kind, int(at)) for seq, kind, at in events[["seq", "type", "ms"]].itertuples(index=False) if seq >= times.next}
+            lined = []
+            while True:
+                if times.next in ready:
+                    event = ready.pop(times.next)
+                elif self.waiting.containsKey((times.next,)):
+                    event = self.waiting.getValue((times.next,))
+                    self.waiting.removeKey((times.next,))
+                else:
+                    break
+                lined.append(event)
+                times = times._replace(next=times.next + 1)
+            times, out = self._run(key, times, lined)
+            if not times.closed:
+                for seq, event in ready.items():
+                    self.waiting.updateValue((seq,), event)
+        self._keep(times)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        times = _Times(*self.state.get()) if self.state.exists() else _Times(closed=True)
+        if times.closed:
+            self.state.clear()
+            self.waiting.clear()
+            yield self._rows([])
+            return
+        # what is missing can't come any more
+        lined = sorted((seq[0], *event) for seq, event in self.waiting.iterator())
+        self.waiting.clear()
+        if lined:
+            times = times._replace(next=lined[-1][0] + 1)
+        times, out = self._run(key, times, [event[1:] for event in lined])
+        if not times.closed and times.deadline() <= timerValues.getCurrentWatermarkInMs():
+            kind = "stall" if times.last + STALL_MS <= times.t0 + TIMEOUT_MS else "timeout"
+            times, out = times._replace(closed=True), self._result(key, kind, None, times)
+        self._keep(times)
+        yield self._rows(out)
+
+    def _run(self, key, times: _Times, lined: list[tuple]) -> tuple[_Times, list[tuple]]:
+        """Takes events in order; returns what is known then, and the row of a stream that ended."""
+        for kind, at in lined:
+            t0 = at if times.t0 is None else times.t0
             # the limit that ran out first decides
-            stalled = at if last is None or at - last <= STALL_MS else last + STALL_MS
+            stalled = at if times.last is None or at - times.last <= STALL_MS else times.last + STALL_MS
             late = at if at - t0 <= TIMEOUT_MS else t0 + TIMEOUT_MS
+            outcome = None
             if min(stalled, late) < at:
                 outcome = "stall" if stalled <= late else "timeout"
             elif kind in ("error", "complete"):
                 outcome = kind
             if outcome:
-                break
-            last = at
+                self.waiting.clear()
+                return times._replace(t0=t0, closed=True), self._result(key, outcome, at, times)
+            times = times._replace(t0=t0, last=at)
             if kind == "token":
-                t1, t2, n = (at if t1 is None else t1), at, n + 1
+                times = times._replace(t1=at if times.t1 is None else times.t1, t2=at, n=times.n + 1)
+        return times, []
+
+    def _keep(self, times: _Times) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if outcome is None:
-            self.state.update((t0, t1, t2, n, last))
-            self.handle.registerTimer(min(last + STALL_MS, t0 + TIMEOUT_MS))
-            yield self._rows([])
-        else:
-            self.state.clear()
-            yield self._rows(self._result(key, outcome, at, t0, t1, t2, n))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            t0, _, _, _, last = self.state.get()
-            kind = "stall" if last + STALL_MS <= t0 + TIMEOUT_MS else "timeout"
-            self.state.clear()
-            yield self._rows([(int(key[0]), int(key[1]), kind, None, None, None, None, None)])
+        self.state.update(tuple(times))
+        self.handle.registerTimer(times.latest + TIMEOUT_MS if times.closed else times.deadline())
 
     @staticmethod
-    def _result(key, outcome, at, t0, t1, t2, n) -> list[tuple]:
+    def _result(key, outcome, at, times: _Times) -> list[tuple]:
+        t0, t1, t2, n, *_ = times
         if outcome != "complete":
             return [(int(key[0]), int(key[1]), outcome, None, None, None, None, None)]
         if n < 2:

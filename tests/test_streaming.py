@@ -96,6 +96,35 @@ def test_silent_stream_is_reported_by_the_timer(spark):
     assert (got[2]["outcome"], got[2]["total_tokens"], got[2]["avg_time_per_token"], got[2]["tokens_per_second"]) == ("complete", 1, 2000.0, 0.5)
 
 
+def _timed(spark, rows):
+    df = spark.createDataFrame([(c, 1, seq, kind, "x", ms) for c, seq, kind, ms in rows],
+                               "conv_id long, turn long, seq int, type string, content string, ms long")
+    return df.withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+
+
+def test_monitor_gives_one_row_whatever_the_order(spark):
+    """The end in the first micro-batch, a token before it in the second, and both once more in the third."""
+    day = 86_400_000
+    first = [(1, 0, "start", day), (1, 1, "token", day + 100), (1, 3, "token", day + 300), (1, 4, "complete", day + 400),
+             (2, 1, "token", day + 50), (2, 0, "start", day)]
+    second = [(1, 2, "token", day + 200), (2, 3, "error", day + 90)]
+    third = [(1, 2, "token", day + 200), (1, 4, "complete", day + 400), (2, 2, "token", day + 70)]
+    later = [(9, 0, "start", 3 * day)]
+    stream = land(spark, [_timed(spark, rows) for rows in (first, second, third, later)], S.TOKEN_EVENT)
+    got = [r for r in drain(spark, T.monitor_streams(stream, "10 minutes")).collect() if r["conv_id"] != 9]
+    assert sorted((r["conv_id"], r["outcome"], r["time_to_first_token"], r["total_tokens"], r["total_stream_time"]) for r in got) == \
+        [(1, "complete", 100, 2, 300), (2, "error", None, None, None)]
+
+
+def test_monitor_passes_over_what_never_comes(spark):
+    day = 86_400_000
+    lost = [(1, 0, "start", day), (1, 1, "token", day + 100), (1, 3, "token", day + 300), (1, 4, "complete", day + 400),
+            (2, 1, "token", day), (2, 2, "token", day + 10)]
+    stream = land(spark, [_timed(spark, rows) for rows in (lost, [(9, 0, "start", 2 * day)], [(9, 1, "token", 2 * day + 1)])], S.TOKEN_EVENT)
+    got = [r for r in drain(spark, T.monitor_streams(stream)).collect() if r["conv_id"] != 9]
+    assert sorted((r["conv_id"], r["outcome"], r["total_tokens"]) for r in got) == [(1, "complete", 1), (2, "stall", None)]
+
+
 def test_idle_conversations_expire(spark):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:30:00"), (2, "2024-01-01 03:00:00"), (3, "2024-01-01 06:00:00")]
     df = spark.createDataFrame(rows, "conv_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
