@@ -8,6 +8,7 @@ level width. The result is the same as that of the plain window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -89,23 +90,91 @@ def fixed_batches(df: DataFrame, id_col: str, size: int, name: str = "batch_id")
     return numbered.withColumn(name, F.expr(f"__n div {int(size)}")).drop("__n")
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """Interpolated percentiles (one column p0, p1, ... per share) from a distributed histogram.
+# Rows that come back to the driver as (value, count) once a range of values holds no more.
+FEW = 20_000
 
-    Equal values are counted before the shuffle; ranks come from running totals by whole and thousandth, so no
-    task holds all distinct values.
+
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], few: int = FEW) -> dict[int, tuple]:
+    """rank (from 0, NULLs left out) -> (value, rows below it), exactly; ranks must be below the number of rows.
+
+    A sketch gives splitters around the wanted rank; one aggregate counts the rows below and up to each. The rank is one of
+    them, or lies in the range between two, which holds about a thousandth of the rows before. Only rows of that range are
+    looked at further, and its values are counted one by one when it holds few rows. No task sees all distinct values.
+    """
+    rows = df.select(F.col(value).alias("v")).where("v is not null")
+    found: dict[int, tuple] = {}
+    for rank in sorted(set(ranks)):
+        inside, before, size = rows, 0, None
+        while rank not in found:
+            size = inside.count() if size is None else size
+            if size <= few:
+                at = before
+                for r in sorted(inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()):
+                    if at <= rank < at + r["n"]:
+                        found[rank] = (r["v"], at)
+                    at += r["n"]
+                break
+            share = (rank - before + 0.5) / size
+            near = [min(1.0, max(0.0, share + d)) for d in (-5e-4, 0.0, 5e-4)]
+            marks = sorted(set(inside.agg(F.percentile_approx("v", near, 10_000)).first()[0]))
+            told = inside.agg(*[c for m in marks for c in (F.count_if(F.col("v") < F.lit(m)), F.count_if(F.col("v") <= F.lit(m)))]).first()
+            low, high = None, None
+            for m, under, upto in zip(marks, told[::2], told[1::2]):
+                if before + under <= rank < before + upto:
+                    found[rank] = (m, before + under)
+                elif before + upto <= rank:
+                    low = (m, before + upto)
+                elif high is None:
+                    high = (m, before + under)
+            end = high[1] if high else before + size
+            if low:
+                inside, before = inside.where(F.col("v") > F.lit(low[0])), low[1]
+            if high:
+                inside = inside.where(F.col("v") < F.lit(high[0]))
+            size = end - before
+    return found
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], few: int = FEW) -> DataFrame:
+    """Interpolated percentiles (one column p0, p1, ... per share); NULL without values."""
+    spark = df.sparkSession
+    total = df.where(F.col(value).isNotNull()).count()
+    names = [f"p{i}" for i in range(len(shares))]
+    if not total:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    targets = [share * (total - 1) for share in shares]
+    at = order_statistics(df, value, [int(f(t)) for t in targets for f in (math.floor, math.ceil)], few)
+    low, high = [float(at[math.floor(t)][0]) for t in targets], [float(at[math.ceil(t)][0]) for t in targets]
+    return spark.range(1).select(*[F.lit(a + (t - math.floor(t)) * (b - a)).alias(n) for a, b, t, n in zip(low, high, targets, names)])
+
+
+def tile_by_cuts(df: DataFrame, tiles: int, value: str, key: str, name: str = "tile", few: int = FEW) -> DataFrame:
+    """``ntile`` over the whole table by (value, md5 of the key, key), from the exact rows where tiles end.
+
+    The cut's value is an order statistic; among rows of that value, so is its md5, taken as a number. Rows without a value
+    come first; ``key`` must not be NULL.
     """
-    v = F.col(value)
-    histogram = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = running_total(histogram, [], [F.floor(v), F.floor(v * 1000)], [v], F.col("__c"), "__before")
-    total = df.where(v.isNotNull()).agg(F.count(F.lit(1)).alias("n")).scalar()
-    at = lambda rank: F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c")), v))
-    columns = []
-    for i, share in enumerate(shares):
-        target = F.lit(float(share)) * (total - 1)
-        low = at(F.floor(target))
-        columns.append((low + (target - F.floor(target)) * (at(F.ceil(target)) - low)).alias(f"p{i}"))
-    return ranked.agg(*columns)
+    rows = df.withColumns({"__h": F.md5(F.col(key).cast("string")),
+                           "__v": F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))})
+    total = rows.count()
+    small, extra = divmod(total, tiles)
+    ends = [k * small + min(k, extra) - 1 for k in range(1, tiles)]
+    cuts = []
+    for end in ends:
+        if end < 0:
+            cuts.append(None)
+            continue
+        (at, below), = order_statistics(rows, "__v", [end], few).values()
+        same = rows.where(F.col("__v") == F.lit(at)).withColumn("__head", F.conv(F.substring("__h", 1, 15), 16, 10).cast("long"))
+        (head, under), = order_statistics(same, "__head", [end - below], few).values()
+        last = same.where(F.col("__head") == F.lit(head)).select("__h", key).orderBy("__h", key).limit(end - below - under + 1).collect()[-1]
+        cuts.append((at, last["__h"], last[key]))
+    order = F.struct(F.col("__v"), F.col("__h"), F.col(key))
+    tile = F.lit(1)
+    for cut in cuts:
+        passed = F.lit(True) if cut is None else order > F.struct(*[F.lit(c) for c in cut])
+        tile = tile + passed.cast("int")
+    return rows.withColumn(name, tile.cast("long")).drop("__h", "__v")
 
 
 def even_tiles(df: DataFrame, tiles: int, levels: Sequence[Column], order: Sequence[Column],

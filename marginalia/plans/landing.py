@@ -10,7 +10,7 @@ from marginalia.operators.chunking import chunk_documents
 from marginalia.plans import fixtures as V
 from marginalia.plans.evaluating import _cited, _merged, _scored
 from marginalia.plans.registry import query
-from marginalia.session import scratch_path
+from marginalia.session import scratch_path, stored
 from marginalia.sources import readers as R, writers as W
 from marginalia.streaming import ingest
 
@@ -152,16 +152,24 @@ def _(spark, sf):
   count(c.document_id) as chunks from docs d left join (select * from chunks where document_id in
   (select document_id from docs where ingestion_status = 'fetched')) c using (document_id) group by all""")
 def _(spark, sf):
-    """Chunks of the fetched documents are stored first; documents that gave some then change status."""
+    """Chunks of the fetched documents and the status of those that gave some, in one commit; a writer that began earlier loses."""
     from marginalia.operators.keyed import set_where_listed
+    from marginalia.sources import catalog
 
-    path = scratch_path(spark, "chunks")
+    path = scratch_path(spark, "catalog")
     docs = V.docs(spark, sf)
-    W.replace_table(chunk_documents(docs.where("ingestion_status = 'fetched'"), V.SIZE, V.OVERLAP), path)
-    stored = W.read_table(spark, path)
-    flipped = set_where_listed(docs.select("document_id", "ingestion_status"), stored, "document_id", {"ingestion_status": "chunked"})
-    n = stored.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
-    return flipped.join(n, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    status = docs.select("document_id", "ingestion_status")
+    begun = catalog.commit(spark, catalog.snapshot(spark, path), {"documents": status})
+    made = stored(chunk_documents(docs.where("ingestion_status = 'fetched'"), V.SIZE, V.OVERLAP), "chunks")
+    flipped = set_where_listed(begun.read(spark, "documents"), made, "document_id", {"ingestion_status": "chunked"})
+    catalog.commit(spark, begun, {"chunks": made, "documents": flipped})
+    try:
+        catalog.commit(spark, begun, {"documents": status.withColumn("ingestion_status", F.lit("failed"))})
+    except catalog.Conflict:
+        pass
+    now = catalog.snapshot(spark, path)
+    n = now.read(spark, "chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return now.read(spark, "documents").join(n, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
 
 
 @query("a12_id_map_json", "select pmid, pmc_id from papers where pmid > 0")

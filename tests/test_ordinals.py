@@ -51,3 +51,36 @@ def test_exact_percentiles(spark, n):
     df = spark.range(n).select(((F.col("id") * 37 % 11) * 0.25).alias("v"))
     want = df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95)))).collect()[0][0]
     assert list(O.exact_percentiles(df, "v", (0.5, 0.95)).collect()[0]) == pytest.approx(want)
+
+
+def test_order_statistics(spark):
+    import random
+
+    rng = random.Random(3)
+    for values, few in (([rng.random() * 1e6 for _ in range(4_000)], 400), ([float(rng.randrange(7)) for _ in range(3_000)], 50),
+                        ([5.0] * 2_000 + [rng.random() * 10 for _ in range(1_500)], 400), ([2.5], 20_000)):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").coalesce(1).cache()
+        ranks, ordered = sorted({0, len(values) // 2, len(values) - 1}), sorted(values)
+        assert O.order_statistics(df, "v", ranks, few) == {r: (ordered[r], sum(v < ordered[r] for v in values)) for r in ranks}
+
+
+def test_percentiles_from_ranges(spark):
+    import numpy as np
+
+    values = [float(i * i % 1_009) for i in range(2_000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").coalesce(1)
+    got = O.exact_percentiles(df, "v", (0.0, 0.25, 0.5, 0.95, 1.0), 100).first()
+    assert list(got) == pytest.approx(list(np.percentile(values, [0, 25, 50, 95, 100])))
+    assert list(O.exact_percentiles(df.limit(0), "v", (0.5,)).first()) == [None]
+
+
+@pytest.mark.parametrize("n, few", [(0, 10), (3, 20_000), (401, 100)])
+def test_tiles_by_cuts(spark, n, few):
+    import hashlib
+
+    rows = [(f"q{i}", None if i % 17 == 5 else float(i * 7 % 13)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, hashlib.md5(r[0].encode()).hexdigest(), r[0]))
+    small, extra = divmod(n, 4)
+    want = {r[0]: (i // (small + 1) if i < extra * (small + 1) else extra + (i - extra * (small + 1)) // small) + 1 for i, r in enumerate(order)}
+    assert {r.k: r.tile for r in O.tile_by_cuts(df, 4, "v", "k", few=few).collect()} == want
