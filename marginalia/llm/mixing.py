@@ -111,7 +111,7 @@ def truncate(queue: DataFrame, total: Column) -> DataFrame:
 
 
 def mix(docs: DataFrame, budget: tuple[int, int] = (3, 2), repeats: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of a table (doc_id, source, size)."""
+    """(doc_id, size, source_size, target, taken, source) for each row of a table (doc_id, source, size)."""
     docs = settle(docs.select("doc_id", "source", "size"))
     targets = settle(source_targets(docs, budget, repeats, weights))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * F.lit(budget[0]) / F.lit(budget[1])).first()[0]
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, budget: tuple[int, int] = (3, 2), repeats: int = 2, wei
     told = told.select("r.*", F.coalesce("times", F.lit(0)).alias("times"))
     told = told.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     times = F.floor((F.col("times") + F.col("copies") - 1 - F.col("k")) / F.col("copies"))
-    return told.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+    return told.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), "source")
 
 
 def mixed_rows(docs: DataFrame, budget: tuple[int, int] = (3, 2), repeats: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:

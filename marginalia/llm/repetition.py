@@ -100,4 +100,6 @@ _TO_SPACE = str.maketrans({c: " " for c in _BLANK})
 
 def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the measures of its whole text and the verdict."""
-    return over_rows(docs, [id_col], [text_col], MEASURES, lambda: measure)
+    told = over_rows(docs, [id_col], [text_col], MEASURES, lambda: measure)
+    shares = [c for c in told.columns if c.endswith("_share")]
+    return told.select(*[c for c in told.columns if c not in shares], *shares)
