@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import graph, lexical as L, retrieval as R, vectors as E
+from marginalia.operators import graph, lexical as L, quantisation as C, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
 from marginalia.session import scratch_path, settle
@@ -231,6 +231,55 @@ def _(spark, sf):
     return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")
 
 
+# Words around the vectors of given ids too: 16 of them, in 8 parts of the 64 dimensions.
+_PARTS, _WORDS, _APART, _REACH = 8, 16, 5, 4
+
+_QUANTISED = _LISTED.format(probes=2) + f""",
+  units as (select vec_id, list_transform(v, lambda x: x / norm) as u from (
+    select vec_id, embedding::double[] as v, sqrt(list_inner_product(embedding::double[], embedding::double[])) as norm from embeddings)),
+  cut as (select vec_id, s, u[s * 8 + 1 : s * 8 + 8] as part from units, (select unnest(range({_PARTS})) as s) p),
+  coded as (select c.vec_id, c.s, arg_min(w.part, list_distance(c.part, w.part)) as word from cut c join cut w on w.s = c.s
+    and w.vec_id % {_APART} = 0 and w.vec_id < {_WORDS * _APART} group by 1, 2),
+  pool as (select s.query_id, s.document_chunk_id, s.document_id, s.sim from scored s join listed using (document_chunk_id)
+    join aimed a using (query_id, list_id) where a.near <= 2),
+  guessed as (select query_id, document_chunk_id, any_value(sim) as sim, sum(list_inner_product(q.part, c.word)) as guess
+    from pool p join cut q on q.vec_id = p.query_id join coded c on c.vec_id = p.document_chunk_id and c.s = q.s group by 1, 2),
+  chosen as (select * from guessed
+    qualify row_number() over (partition by query_id order by guess desc, document_chunk_id) <= {_REACH * 10})"""
+
+
+def _compressed(spark, sf):
+    """Codes of the searchable chunks, written once in one folder per list, with their sections."""
+    heads = V.table(spark, sf, "embeddings")
+    centroids = E.given_centroids(heads.where(f"vec_id % {_STEP} = 0 and vec_id < {_LISTS * _STEP}")
+                                  .select(F.expr(f"vec_id div {_STEP}").alias("list_id"), "embedding"))
+    books = C.given_codebooks(heads.where(f"vec_id % {_APART} = 0 and vec_id < {_WORDS * _APART}")
+                              .select(F.col("vec_id").alias("word_id"), "embedding"), _PARTS)
+    live = R.live_chunks(V.bare_vec_chunks(spark, sf).where("embedding is not null"), V.slim_docs(spark, sf))
+    path = scratch_path(spark, "codes")
+    C.encode(live, centroids, books).write.partitionBy("list_id").parquet(path)
+    return spark.read.parquet(path), centroids, books
+
+
+@query("j2_compressed_search", f"""with {_QUANTISED}
+select query_id, row_number() over (partition by query_id order by sim desc, document_chunk_id) as rank, document_chunk_id,
+  round(sim, 6) as similarity_score from chosen
+qualify row_number() over (partition by query_id order by sim desc, document_chunk_id) <= 10""")
+def _(spark, sf):
+    """Two lists of codes are read per question; forty of their chunks are scored on their vectors."""
+    index, centroids, books = _compressed(spark, sf)
+    hits = C.compressed_topk(V.questions(spark, sf), index, V.bare_vec_chunks(spark, sf), centroids, books, 10, 2, _REACH)
+    return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")
+
+
+@query("j2_compressed_filter", """select query_id, least(10, count(*)) as found from scored where section = 'methods' group by 1""")
+def _(spark, sf):
+    """A filter leaves every question its ten, or all that fit, though the nearest list holds fewer."""
+    index, centroids, books = _compressed(spark, sf)
+    hits = C.compressed_topk(V.questions(spark, sf), index.where("section = 'methods'"), V.bare_vec_chunks(spark, sf), centroids, books, 10, 1)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+
+
 @query("j2_recall", f"""with {_LISTED.format(probes=4)}
 select t.query_id, count(p.document_chunk_id) / count(*)::double as recall from top10 t
 left join probed p on p.query_id = t.query_id and p.document_chunk_id = t.document_chunk_id group by 1""")
