@@ -126,7 +126,9 @@ select *, not base_failed and dup_line_share <= 0.20 and dup_5gram_share <= 0.15
 @_query("op6_repetition_coverage", REPETITION_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
-    return repetition.repetition_rules(_table(spark, sf_dir, "documents"))
+    told = repetition.repetition_rules(_table(spark, sf_dir, "documents"))
+    shares = [c for c in told.columns if c.endswith("_share")]  # the method's own follow the agreed ones
+    return told.select(*[c for c in told.columns if c not in shares], *shares)
 
 
 WARC_SQL = """
