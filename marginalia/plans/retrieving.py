@@ -162,14 +162,24 @@ def _(spark, sf):
     return _long(R.historical_chunks(fresh, _history(spark, sf), 4), "position")
 
 
-@query("j6_c13_hybrid_retrieval", f"""with {_HISTORY} select query_id, rank, document_chunk_id, document_id, 'fresh' as origin
-from top10 where rank <= 5
-union all select query_id, 5 + position, cid, document_id, 'history' from hist join vec_chunks on cid = document_chunk_id
-where query_id in (select query_id from questions)""")
+_ASKED = """asked as (select distinct conv_id as query_id, conv_id % (select count(*) from questions) as item from conversations),
+  fresh as (select a.query_id, t.rank, t.document_chunk_id, t.document_id from asked a join top10 t on t.query_id = a.item
+    where t.rank <= 5)"""
+
+
+def _asked(spark, sf):
+    """A question of every conversation; the questions follow one another by conversation id."""
+    q = V.questions(spark, sf).withColumnRenamed("query_id", "item")
+    conversations = V.table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    return conversations.withColumn("item", F.col("query_id") % q.count()).join(q, "item").select("query_id", "qtext", "qvec")
+
+
+@query("j6_c13_hybrid_retrieval", f"""with {_ASKED}, {_HISTORY.replace("top10 t where t.rank <= 5 and", "fresh t where")}
+select query_id, rank, document_chunk_id, document_id, 'fresh' as origin from fresh
+union all select query_id, 5 + position, cid, document_id, 'history' from hist join vec_chunks on cid = document_chunk_id""")
 def _(spark, sf):
-    q = V.questions(spark, sf)
-    history = _history(spark, sf).join(q.select("query_id"), "query_id", "left_semi")
-    out = R.hybrid_retrieval(q, history, V.vec_chunks(spark, sf), V.slim_docs(spark, sf), 20, 5, 4)
+    """Every conversation asks once more, with what its earlier turns have cited."""
+    out = R.hybrid_retrieval(_asked(spark, sf), _history(spark, sf), V.vec_chunks(spark, sf), V.slim_docs(spark, sf), 20, 5, 4)
     return _long(out, "rank").select("query_id", "rank", "document_chunk_id", "document_id", "origin")
 
 
