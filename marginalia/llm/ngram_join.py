@@ -46,12 +46,12 @@ class Settings(NamedTuple):
     most_matches: int = 3  # largest l
     verify_cost: float = 8.0  # of one candidate, in list entries
     hubs: int = 4  # new hubs of an open list in each round after the first
-    patience: float = 8.0  # pairs inside open lists, for each of their entries, up to which no new hubs are tried
-    worth: float = 0.02  # share of the open nodes that a round must join to be followed by another
+    patience: float = 32.0  # pairs inside open lists, for each of their entries, up to which no new hubs are tried
+    worth: float = 0.05  # share of the open nodes that a round must join to be followed by another
     broadcast_texts: int = 500_000  # ids of texts that may have partners are broadcast up to this count
 
 
-NARROW, WIDE = 8, 32  # 64-bit words of the two bitmaps; the first is quick to compare, the second hardly errs
+BITMAP_WORDS = 16  # 64-bit words of a bitmap
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -67,9 +67,10 @@ def node_of(found: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.md5(found.tobytes()).digest()[:8], "little", signed=True) if len(found) else None
 
 
-def bitmap(found: np.ndarray, words: int) -> list[int]:
+def bitmap(found: np.ndarray) -> list[int]:
     """Parity of the shingles in each of the bits; bits that differ are at most the shingles that do."""
-    counts = np.bincount((found >> np.uint64(64 - 6 - (words - 1).bit_length())).astype(np.int64), minlength=64 * words) & 1
+    shift = np.uint64(64 - 6 - (BITMAP_WORDS - 1).bit_length())
+    counts = np.bincount((found >> shift).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
@@ -85,15 +86,12 @@ def _alike(overlap: Column, n: Column, m: Column, s: Settings) -> Column:
 def _may_link(x: str, y: str, s: Settings) -> Column:
     """Filters on two sets by length, by shingles that others have too, and by bitmap."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-
-    def overlap(bits: str, words: int) -> Column:
-        differ = sum((F.bit_count(F.col(f"{x}.{bits}")[i].bitwiseXOR(F.col(f"{y}.{bits}")[i])) for i in range(words)), F.lit(0))
-        return (100 + s.percent) * (n + m - differ) >= 2 * s.percent * (n + m)
-
+    differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
     # the overlap is at least percent of (n + m) / (100 + percent), and at most what both share with any set at all;
     # it is (n + m - difference) / 2
     shared = (100 + s.percent) * F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared")) >= s.percent * (n + m)
-    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & shared & overlap("narrow", NARROW) & overlap("wide", WIDE)
+    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & shared \
+        & ((100 + s.percent) * (n + m - differ) >= 2 * s.percent * (n + m))
 
 
 def summaries(docs: DataFrame, s: Settings, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -121,7 +119,7 @@ def with_partners(told: DataFrame, s: Settings) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, narrow, wide, found) of chosen nodes, read again from their texts."""
+    """(node, n, bits, found) of chosen nodes, read again from their texts."""
     ids = chosen.select("doc_id").distinct()
     if ids.count() <= s.broadcast_texts:
         ids = F.broadcast(ids)
@@ -130,13 +128,12 @@ def sets_of(docs: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame:
     def work():
         def told(text: str | None) -> tuple:
             found = shingles(text, s.shingle)
-            return node_of(found), len(found), bitmap(found, NARROW), bitmap(found, WIDE), found.view(np.int64)
+            return node_of(found), len(found), bitmap(found), found.view(np.int64)
         return told
 
-    read = over_rows(texts, ["doc_id"], ["text"], "node long, n long, narrow array<bigint>, wide array<bigint>, found array<bigint>",
-                     work)
+    read = over_rows(texts, ["doc_id"], ["text"], "node long, n long, bits array<bigint>, found array<bigint>", work)
     read = read.join(chosen.select("node").distinct(), "node", "left_semi")
-    return read.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "narrow", "wide", "found")])
+    return read.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "found")])
 
 
 def entries(sets: DataFrame, s: Settings) -> DataFrame:
@@ -246,7 +243,7 @@ def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
     """(node, component) of the nodes that stand in lists."""
     found = stored(entries(sets, s), "prefix-lists")
     facts = found.groupBy("node").agg(F.first("shared").alias("shared"), F.first("matches").alias("matches"))
-    marks = stored(facts.join(sets.select("node", "n", "narrow", "wide"), "node"), "marks")
+    marks = stored(facts.join(sets.select("node", "n", "bits"), "node"), "marks")
     lists = found.select("token", "node", "level", F.col("node").alias("component"))
     named = marks.select("node", F.col("node").alias("component"))
     turn = gone = 0
