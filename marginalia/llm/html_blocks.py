@@ -3,8 +3,13 @@
 Markup is stripped into lines, one per block element. Each line weighs the characters of its text that are neither links
 nor inside an element that never holds an article (scripts, menus, forms, notices and the like). Weights are summed over
 sliding windows of lines; where the sums rise from nothing is a surge point, where they fall back to nothing a dive point.
-The text between is kept, however light it is beside the rest of the page. On a page that marks its article, only lines
-inside it weigh.
+On a page that marks its article, only lines inside it weigh, and the text between the points is kept.
+
+On any other page a change of container is a gap of empty lines, as the tags between leave it, and a stretch between surge
+and dive is kept where a window in it reaches half of the sum that the window of the page's middle character has.
+A stretch inside the core, the container that holds more than half of the page's text with its first headline, needs no such
+sum, so a short last section stays, and lines outside weigh a quarter. A container that is the whole page is no core, unless
+its text stands directly in it.
 
 Lines are only read, never reordered, capped or cut. The work is inside the row, from the whole html: no shuffle.
 
@@ -43,7 +48,11 @@ REPLIES = re.compile(r"comments?|commentlist|disqus|respond|reply|replies", re.I
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 HEAD = frozenset("title meta link style script noscript base template".split())
-WIDTH = 3
+HEADLINE = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Lines in a window, and the part of the middle character's sum that a stretch outside the core must reach.
+WIDTH, SHARE = 3, 0.5
+#: Lines outside the core weigh this much less.
+OUTSIDE = 4
 _PARAGRAPH, _NOTHING = frozenset("p".split()), frozenset()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -57,6 +66,8 @@ class Line(NamedTuple):
     weight: int
     article: bool
     chrome: bool
+    gap: bool = False  # another container begins here
+    core: bool = False  # inside the container of most text
 
 
 class _Open(NamedTuple):
@@ -66,6 +77,7 @@ class _Open(NamedTuple):
     link: bool
     mark: int = -1  # the innermost mark by a class or id
     told: int = -1  # the innermost <article>
+    box: int = 0  # the innermost element that is not inline
 
 
 class _Mark(NamedTuple):
@@ -142,6 +154,42 @@ def _hides(tag: str, attrs: str, inside_article: bool) -> tuple[bool, list[str]]
     return False, names
 
 
+def _core(boxes: list[tuple[int, str]], own: list[int], first: int) -> list[bool]:
+    """Which elements lie inside the container of most text; none where it is the whole page and not flat."""
+    held = list(own)
+    for i in range(len(boxes) - 1, 0, -1):  # inner elements come after outer ones
+        held[boxes[i][0]] += held[i]
+    above = set()
+    while first > 0:
+        above.add(first)
+        first = boxes[first][0]
+    core = 0
+    for i in range(1, len(boxes)):
+        if boxes[i][0] == core and 2 * held[i] > held[0] and held[i] > own[i] and (not above or i in above):
+            core = i
+    flat = own[core] + sum(held[i] for i in range(1, len(boxes)) if boxes[i][0] == core and held[i] == own[i])
+    inside = [False] * len(boxes)
+    if held[core] < held[0] or 2 * flat >= held[core]:
+        inside[core] = True
+        for i in range(core + 1, len(boxes)):
+            inside[i] = inside[boxes[i][0]]
+    return inside
+
+
+def _apart(boxes: list[tuple[int, str]], depth: list[int], a: int, b: int) -> bool:
+    """Whether two lines that follow each other stand in different containers; a headline belongs to what follows."""
+    if boxes[a][1] in HEADLINE:
+        return False
+    steps = 0
+    while a != b:
+        if depth[a] >= depth[b]:
+            a = boxes[a][0]
+        else:
+            b = boxes[b][0]
+        steps += 1
+    return steps > 2
+
+
 def _text(parts: list[tuple[str, _Open]]) -> str:
     return _SPACE.sub(" ", entities.unescape("".join(t for t, _ in parts))).strip()
 
@@ -153,6 +201,8 @@ def lines(page: str | None) -> list[Line]:
     marks: list[_Mark] = []
     mains: set[int] = set()  # the innermost marks above <main>
     articles: list[int] = []  # the innermost mark above each <article>
+    boxes: list[tuple[int, str]] = [(0, "")]  # the element above and the tag of each element that is not inline
+    deep = [0]
     stack: list[_Open] = []
     state = _Open("", False, False, False)
     parts: list[tuple[str, _Open]] = []
@@ -209,7 +259,12 @@ def lines(page: str | None) -> list[Line]:
                 elif tag == "article":
                     told = len(articles)
                     articles.append(mark)
-            stack.append(_Open(tag, above.chrome or hidden, article, above.link or tag == "a", mark, told))
+            box = above.box
+            if tag not in INLINE and tag not in RAW:
+                box = len(boxes)
+                boxes.append((above.box, tag))
+                deep.append(deep[above.box] + 1)
+            stack.append(_Open(tag, above.chrome or hidden, article, above.link or tag == "a", mark, told, box))
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, spot)
                 spot = end.end() if end else len(page)
@@ -220,33 +275,66 @@ def lines(page: str | None) -> list[Line]:
     away: list[bool] = []  # whether each mark, or one above it, stands
     for mark, free in zip(marks, lifted):
         away.append(not free or mark.above >= 0 and away[mark.above])
-    out = []
+    out, at, own, first = [], [], [0] * len(boxes), 0
     for parts in blocks:
         shown = [p for p in parts if not (p[1].chrome or p[1].mark >= 0 and away[p[1].mark])]
         text = _text(shown or parts)
         if text:
-            linked = sum(len(_SPACE.sub(" ", t).strip()) for t, at in shown if at.link)
+            linked = sum(len(_SPACE.sub(" ", t).strip()) for t, o in shown if o.link)
             out.append(Line(text, max(0, len(text) - linked) if shown else 0, parts[0][1].article, not shown))
-    return out
-
-
-def kept(found: list[Line], width: int = WIDTH) -> list[str]:
-    """The lines between each surge point and its dive point."""
-    marked = any(line.article and not line.chrome for line in found)
-    # inside a marked article a line of links alone still belongs to it
-    weight = [(0 if line.chrome or not line.article else len(line.text)) if marked else line.weight for line in found]
+            box = (shown or parts)[0][1].box
+            at.append(box)
+            own[box] += out[-1].weight
+            if shown and not first and boxes[box][1] == "h1":
+                first = box
+    inside = _core(boxes, own, first)
+    return [line._replace(core=inside[box], gap=i > 0 and _apart(boxes, deep, at[i - 1], box))
+            for i, (line, box) in enumerate(zip(out, at))]
+
+
+def _stretches(weight: list[float], width: int) -> tuple[list[tuple[int, int]], list[float]]:
+    """The sums of all windows, and the places between each surge point and its dive point."""
     sums = [sum(weight[i:i + width]) for i in range(len(weight))]
-    regions, start = [], None
-    for i, (block, own) in enumerate(zip(sums, weight)):
-        if start is None and own > 0:
+    found, start = [], None
+    for i, (block, line) in enumerate(zip(sums, weight)):
+        if start is None and line > 0:
             start = i  # surge: the window's own line has text again
         if start is not None and block == 0:
-            regions.append((start, i))  # dive: nothing in the whole window
+            found.append((start, i))  # dive: nothing in the whole window
             start = None
     if start is not None:
-        regions.append((start, len(weight)))
-    return [found[i].text for a, b in regions
-            for i in range(a, b) if not found[i].chrome and (not marked or found[i].article)]
+        found.append((start, len(weight)))
+    return found, sums
+
+
+def _threshold(weight: list[float], sums: list[float], share: float) -> float:
+    """A share of the sum that the window of the page's middle character has, windows in order of their sums."""
+    order = sorted((block, line) for block, line in zip(sums, weight) if line > 0)
+    half, seen = sum(line for _, line in order) / 2, 0
+    for block, line in order:
+        seen += line
+        if seen >= half:
+            return share * block
+    return 0.0
+
+
+def kept(found: list[Line], width: int = WIDTH, share: float = SHARE) -> list[str]:
+    """The lines between each surge point and its dive point whose windows reach the page's threshold."""
+    if any(line.article and not line.chrome for line in found):
+        # inside a marked article a line of links alone still belongs to it
+        weight = [0 if line.chrome or not line.article else len(line.text) for line in found]
+        return [found[i].text for a, b in _stretches(weight, width)[0] for i in range(a, b)
+                if not found[i].chrome and found[i].article]
+    spread: list[Line | None] = []  # with the empty lines of gaps
+    for line in found:
+        spread += [None] * (width if line.gap else 0) + [line]
+    known = any(line.core for line in found)
+    weight = [0 if not line else line.weight / OUTSIDE if known and not line.core else line.weight for line in spread]
+    stretches, sums = _stretches(weight, width)
+    least = _threshold(weight, sums, share)
+    return [line.text for a, b in stretches
+            if max(sums[a:b]) >= least or any(line.core for line in spread[a:b] if line)
+            for line in spread[a:b] if line and not line.chrome]
 
 
 def main_text(page: str | None) -> str:

@@ -1,6 +1,6 @@
 import pytest
 
-from marginalia.llm.html_blocks import extract, main_text
+from marginalia.llm.html_blocks import extract, kept, lines, main_text
 
 CASES = {
     "<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n  two<p><b>three</b> four</article><footer>f</footer>":
@@ -62,3 +62,38 @@ def test_table(spark):
     rows = extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 1), (1, 0), (2, 50_000 * 4 - 1), (2, 50_000 * 4 - 1)]
     assert extract(pages.limit(0)).collect() == []
+
+
+TOLD = [f"Paragraph {i} of a page that never marks its article, long enough to weigh." for i in range(12)]
+MENU = ["Home", "News", "Contact", "All our shops"]
+FOOT = ["Privacy terms and legal imprint of the site", "All rights reserved 2024"]
+
+
+def plain(frame, inner):
+    """A page without <article> whose menu, notice and footer no class or id names."""
+    menu = "".join(f"<div>{m}</div>" for m in MENU)
+    foot = "".join(f"<p>{f}</p>" for f in FOOT)
+    return frame.format(menu=f"<div>{menu}</div>", note="<div><p>This site keeps small files.</p></div>", foot=f"<div>{foot}</div>", inner=inner)
+
+
+@pytest.mark.parametrize("frame", ["<body>{menu}{note}<div>{inner}</div>{foot}</body>",
+                                   "<body><div>{menu}<div><div>{inner}</div></div>{foot}</div>{note}</body>",
+                                   "<table><tr><td>{menu}</td><td>{inner}</td></tr><tr><td>{note}{foot}</td></tr></table>"])
+@pytest.mark.parametrize("n", [3, 12])
+def test_unnamed_menus_notices_and_footers(frame, n):
+    told = TOLD[:n]
+    flat = "<h1>Head of it</h1>" + "".join(f"<p>{t}</p>" for t in told)
+    assert main_text(plain(frame, flat)).split("\n") == ["Head of it", *told]
+    parts = "<h1>Head of it</h1>" + "".join(f"<section><h2>Part</h2><p>{t}</p></section>" for t in told) + "<section><p>End.</p></section>"
+    assert main_text(plain(frame, parts)).split("\n") == ["Head of it", *[x for t in told for x in ("Part", t)], "End."]
+
+
+def test_window_and_threshold_decide():
+    """Two halves in containers of their own and a footer of one line: no container holds most of the text."""
+    half = ["<div>" + "".join(f"<p>{t}</p>" for t in TOLD[a:a + 3]) + "</div>" for a in (0, 3)]
+    last = "All rights reserved 2024 by the owners of it all."
+    found = lines(f"<body>{half[0]}{half[1]}<div><p>{last}</p></div></body>")
+    assert not any(line.core for line in found)
+    assert kept(found) == kept(found, share=0.9) == TOLD[:6]
+    assert kept(found, share=0.2) == kept(found, share=0.0) == [*TOLD[:6], last]
+    assert kept(found, width=1) == [*TOLD[:6], last]  # the line alone reaches half of one paragraph
