@@ -49,6 +49,30 @@ def document_fields(metadata: str = "metadata") -> dict[str, Column]:
     }
 
 
+def variant_fields(metadata: str = "metadata") -> dict[str, Column]:
+    """The fields and defaults of ``document_fields`` out of a VARIANT column, whose keys differ from source to source.
+
+    A key that is absent, null or of a type that has no such value gives the default; a number or boolean where text is
+    wanted gives its text.
+    """
+    def text(path: str) -> Column:
+        value = F.try_variant_get(F.col(metadata), path, "variant")
+        nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")  # their text would be JSON
+        return F.coalesce(F.when(~nested, F.try_variant_get(F.col(metadata), path, "string")), F.lit(""))
+
+    return {
+        "authors": F.coalesce(F.try_variant_get(F.col(metadata), "$.authors", "array<string>"), F.array().cast("array<string>")),
+        "publication_date": text("$.pub_date"),
+        "journal": text("$.journal"),
+        "doi": text("$.doi"),
+    }
+
+
+def parse_metadata(metadata: Column) -> Column:
+    """JSON text as VARIANT; null where it is null, empty or no JSON."""
+    return F.try_parse_json(metadata)
+
+
 def with_documents(hits: DataFrame, docs: DataFrame, bound: int | None = None) -> DataFrame:
     slim = docs.select("document_id", "source_id", "title", "metadata")
     return slim.join(small(hits, bound), "document_id").withColumns(document_fields()).drop("metadata")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as X
 from marginalia.operators import curation as C, graph, keyed, quality as Q
 from marginalia.operators.ordinals import fixed_batches, number_ids
-from marginalia.operators.retrieval import document_fields, live_chunks
+from marginalia.operators.retrieval import document_fields, live_chunks, parse_metadata, variant_fields
 from marginalia.operators.packing import greedy_batches
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
@@ -71,6 +71,21 @@ def _(spark, sf):
     return d.select("document_id", F.array_join("authors", ",").alias("authors"), "publication_date", "journal", "doi")
 
 
+@query("b7_variant_metadata", """select document_id, case when has_meta then author else '' end as authors,
+  case when has_meta then pub_date else '' end as publication_date,
+  case when has_meta then journal else '' end as journal, case when has_meta and document_id % 2 = 0 then '7' else '' end as doi from docs""")
+def _(spark, sf):
+    """Metadata as JSON of mixed schemas: keys absent, wrongly typed, of other sources; no JSON at all where there is none."""
+    d, key = V.slim_docs(spark, sf), F.col("document_id") % 4
+    other = F.array(F.lit('{"authors": {"first": 1}, "journal": ["a"], "pub_date": {}, "doi": null}'), F.lit("no { json"),
+                    F.lit('["a list"]'), F.lit(None).cast("string"))
+    full = F.to_json(F.struct("metadata.authors", "metadata.pub_date", "metadata.journal",
+                              F.when(key % 2 == 0, F.lit(7)).alias("doi"), F.struct(F.lit("x").alias("y")).alias("extra")))
+    text = F.when(F.col("metadata").isNotNull(), full).otherwise(F.get(other, key.cast("int")))
+    d = d.select("document_id", parse_metadata(text).alias("metadata")).withColumns(variant_fields())
+    return d.select("document_id", F.array_join("authors", ",").alias("authors"), "publication_date", "journal", "doi")
+
+
 @query("b8_section_priority", """select section, case when lower(section) like '%abstract%' or lower(section) like '%conclusion%'
   or lower(section) like '%discussion%' or lower(section) like '%result%' or lower(section) like '%introduction%'
   or lower(section) like '%background%' or lower(section) like '%limitation%' then 1 else 2 end::bigint as section_priority,

@@ -216,3 +216,30 @@ def _(spark, sf):
     ingest.compact(spark, out, small)
     return ingest.current_chunks(spark, small).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
+@query("l6_landed_once_stream", """select document_id, case when document_id % 2 = 0 then 264 else 1 end as hour, count(*) as chunks,
+  sum(token_count)::bigint as tokens from chunks group by all""")
+def _(spark, sf):
+    """Repeats within a day of the first arrival are left out of the ingest, and so are rows later than the watermark.
+
+    All documents land, land again an hour later, and odd ones after ten days, which ends the first day's memory. Even ones
+    that land after that count as new; a last delivery carries the times of the first day and is too late.
+    """
+    landing, out, state = scratch_path(spark, "landed-once"), scratch_path(spark, "ingested-once"), scratch_path(spark, "once-state")
+    docs = V.docs(spark, sf).select("document_id", F.col("document_id").cast("string").alias("source_id"), "title", "abstract",
+                                    "full_text", "section_offsets")
+    even = F.col("document_id") % 2 == 0
+    odd = docs.where(~even)
+    # all, repeats, a reminder that moves the watermark, newer copies, late rows
+    for rows, at in ((docs, 1), (docs, 2), (odd, 240), (docs.where(even), 264), (docs, 3)):
+        rows.drop("document_id").withColumn("landed_at", F.timestamp_seconds(F.lit(at * 3600))) \
+            .write.mode("append").parquet(landing)
+        arrivals = ingest.first_arrivals(spark.readStream.schema(ingest.LANDED).parquet(landing))
+        ingest.start_ingest(arrivals, out, state, V.SIZE, V.OVERLAP).awaitTermination()
+    small = scratch_path(spark, "compacted-once")
+    ingest.compact(spark, out, small)
+    chunks = ingest.current_chunks(spark, small).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
+    hour = (F.unix_timestamp("landed_at") / 3600).cast("long").alias("hour")
+    return ingest.current_documents(spark, small).select("document_id", hour).join(chunks, "document_id")

@@ -133,3 +133,16 @@ def test_diversify_prefers_unlike_chunks(spark):
                                  "query_id long, document_chunk_id long, similarity_score double, embedding array<float>")
     got = R.diversify(hits, 2, 0.5).orderBy("mmr_rank").collect()
     assert [r["document_chunk_id"] for r in got] == [1, 3]
+
+
+def test_variant_metadata_of_mixed_sources(spark):
+    from marginalia.operators.retrieval import parse_metadata, variant_fields
+
+    rows = [(1, '{"authors": ["a", "b"], "pub_date": "2020", "journal": "j", "doi": "d", "more": {"x": 1}}'),
+            (2, '{"authors": "a", "pub_date": 2021, "journal": {"name": "j"}}'), (3, '{"authors": null, "doi": true, "journal": ["j"]}'),
+            (4, "{}"), (5, ""), (6, None), (7, "{ no json"), (8, "[1]"), (9, '"text"')]
+    found = spark.createDataFrame(rows, "id int, metadata string").withColumn("metadata", parse_metadata(F.col("metadata"))) \
+        .select("id", *[c.alias(n) for n, c in variant_fields().items()]).collect()
+    got = {r.id: tuple(r)[1:] for r in found}
+    assert got[1] == (["a", "b"], "2020", "j", "d") and got[2] == ([], "2021", "", "") and got[3] == ([], "", "", "true")
+    assert all(got[i] == ([], "", "", "") for i in range(4, 10))
