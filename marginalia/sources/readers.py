@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marginalia import schemas as S
@@ -76,6 +78,34 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"(?:PMC)?(\d+)\.xml$", 1).alias("pmc_id"), F.col("content").alias("xml"))
 
 
+ARTICLE_SUMMARY = ("Id string, Title string, AuthorList array<string>, FullJournalName string, PubDate string, DOI string, "
+                   "PmId string")
+
+
+def read_landed_articles(spark: SparkSession, path: str, after: datetime | None = None) -> DataFrame:
+    """Files below ``article=<id>`` folders: (pmc_id, xml, landed_at), the newest of each id (of equals, the last by path).
+
+    ``after`` takes only files that landed later; the scan leaves the others unread. Which file is the newest is decided on
+    names and times alone, contents are read once.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!._]*").load(path)
+    if after is not None:
+        files = files.where(F.col("modificationTime") > F.lit(after))
+    pmc_id = F.regexp_extract("path", r"/article=(?:PMC)?(\d+)/[^/]*$", 1)
+    newest = files.select(pmc_id.alias("pmc_id"), "modificationTime", "path").where("pmc_id <> ''").groupBy("pmc_id").agg(
+        F.max(F.struct("modificationTime", "path")).alias("at")).select("pmc_id", F.col("at.path").alias("path"))
+    return files.select("path", F.col("content").alias("xml"), F.col("modificationTime").alias("landed_at")) \
+        .join(newest, "path").select("pmc_id", "xml", "landed_at")
+
+
+def read_article_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Landed summary records, one JSON object per line; lines without an id are left out."""
+    return spark.read.schema(ARTICLE_SUMMARY).json(path).where("Id is not null").select(
+        strip_source_prefix(F.col("Id")).alias("pmc_id"), F.col("Title").alias("title"), F.col("AuthorList").alias("authors"),
+        F.col("FullJournalName").alias("journal"), F.col("PubDate").alias("pub_date"), F.col("DOI").alias("doi"),
+        F.col("PmId").alias("pmid"))
+
+
 def read_stream_log(spark: SparkSession, path: str) -> DataFrame:
     """Stream metrics out of ``key=value`` log lines; units are cut off."""
     pairs = F.str_to_map(F.col("value"), F.lit(" "), F.lit("="))

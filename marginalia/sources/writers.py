@@ -26,6 +26,12 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).write.text(path)
 
 
+def write_articles(df: DataFrame, path: str) -> None:
+    """Each row's xml as a file of its own below ``article=PMC<pmc_id>``, beside those that landed before."""
+    df.select(F.concat(F.lit("PMC"), "pmc_id").alias("article"), F.col("xml").alias("value")) \
+        .write.mode("append").option("maxRecordsPerFile", 1).partitionBy("article").text(path)
+
+
 def append_log(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").text(path)
 

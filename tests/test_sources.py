@@ -77,3 +77,28 @@ def test_create_tables(spark, tmp_path):
     S.create_tables(spark, str(tmp_path))
     assert spark.read.schema(S.PAPERS).parquet(str(tmp_path / "papers")).count() == 1
     assert spark.read.parquet(str(tmp_path / "chunks")).schema["embedding"].dataType.elementType.typeName() == "float"
+
+
+def test_landed_articles_newest_file_and_increment(spark, tmp_path):
+    import os
+
+    from marginalia.sources import readers as R, writers as W
+
+    path, rows = str(tmp_path / "files"), "pmc_id string, xml string"
+    W.write_articles(spark.createDataFrame([("1", "<a>\n</a>"), ("2", "<b>")], rows), path)
+    for root, _, names in os.walk(path):
+        for name in names:
+            os.utime(os.path.join(root, name), (1000, 1000))
+    seen = R.read_landed_articles(spark, path).agg({"landed_at": "max"}).first()[0]
+    assert R.read_landed_articles(spark, path, after=seen).count() == 0
+    W.write_articles(spark.createDataFrame([("2", "<b/>"), ("3", "")], rows), path)
+    read = lambda after: {r.pmc_id: bytes(r.xml).strip() for r in R.read_landed_articles(spark, path, after).collect()}
+    assert read(None) == {"1": b"<a>\n</a>", "2": b"<b/>", "3": b""} and read(seen) == {"2": b"<b/>", "3": b""}
+
+
+def test_article_summaries(spark, tmp_path):
+    from marginalia.sources import readers as R
+
+    (tmp_path / "s.json").write_text('{"Id": "PMC7", "Title": "t", "AuthorList": ["a"], "Other": 1}\n{"Title": "no id"}\n')
+    rows = R.read_article_summaries(spark, str(tmp_path)).collect()
+    assert [(r.pmc_id, r.title, r.authors, r.journal) for r in rows] == [("7", "t", ["a"], None)]
