@@ -126,7 +126,7 @@ def audit(docs: DataFrame, chunks: DataFrame, dimensions: int = DIMENSIONS) -> D
 
 
 def ingestion_report(docs_before: DataFrame, chunks_made: DataFrame) -> DataFrame:
-    """Outcome of a chunking run: documents that gave chunks, those that gave none, totals and what remains."""
+    """Outcome of a chunking run: documents that gave chunks, those that gave none, and totals (``sources.runs`` counts while it writes)."""
     work = docs_before.where("ingestion_status = 'fetched'").select("document_id")
     made = chunks_made.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     return work.join(made, "document_id", "left").agg(

@@ -290,3 +290,29 @@ def _(spark, sf):
     rest = failed.join(retried, "pmc_id", "left_anti").unionByName(again).select(
         "pmc_id", F.lit(0).alias("run"), (F.col("error") != "no summary").alias("malformed"))
     return first.unionByName(second).unionByName(rest, allowMissingColumns=True)
+
+
+@query("d15_run_report", """select count(n) as success, count(*) - count(n) as failed, coalesce(sum(n), 0)::bigint as total_chunks,
+  round(coalesce(avg(n), 0), 4) as avg_chunks_per_doc, count(*) - count(n) as remaining, coalesce(sum(n), 0) > 0 as timed, true as stored
+from (select document_id from docs where ingestion_status = 'fetched') left join
+  (select document_id, count(*) as n from chunks group by all) using (document_id)""")
+def _(spark, sf):
+    """All documents that wait are chunked in one run; its counters must agree with the table it wrote."""
+    from marginalia.sources.runs import chunk_run
+
+    path = scratch_path(spark, "chunk-run")
+    report = chunk_run(V.docs(spark, sf), path, size=V.SIZE, overlap=V.OVERLAP)
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    return report.withColumn("rows", rows.scalar()).select(
+        "success", "failed", "total_chunks", "avg_chunks_per_doc", "remaining", F.coalesce(F.col("ms_per_chunk") > 0, F.lit(False)).alias("timed"),
+        (F.col("rows") == F.col("total_chunks")).alias("stored"))
+
+
+@query("a9_first_golden", """select 'pubmedqa_' || pmid as question_id, pmc_id from benchmark b join papers on pmid = 1000000 + item_id
+order by question_id limit 25""")
+def _(spark, sf):
+    """The first questions of the golden file, in order of their ids."""
+    path = scratch_path(spark, "golden-first")
+    mapping = V.papers(spark, sf).where("pmid > 0").select(F.col("pmid").cast("string").alias("pmid"), "pmc_id")
+    W.write_csv(E.golden_dataset(R.read_qa_dataset(spark, _qa_file(spark, sf), whole_file=False), mapping), path)
+    return R.read_golden(spark, path, limit=25).select("question_id", "pmc_id")

@@ -82,8 +82,6 @@ def test_create_tables(spark, tmp_path):
 def test_landed_articles_newest_file_and_increment(spark, tmp_path):
     import os
 
-    from marginalia.sources import readers as R, writers as W
-
     path, rows = str(tmp_path / "files"), "pmc_id string, xml string"
     W.write_articles(spark.createDataFrame([("1", "<a>\n</a>"), ("2", "<b>")], rows), path)
     for root, _, names in os.walk(path):
@@ -97,8 +95,21 @@ def test_landed_articles_newest_file_and_increment(spark, tmp_path):
 
 
 def test_article_summaries(spark, tmp_path):
-    from marginalia.sources import readers as R
-
     (tmp_path / "s.json").write_text('{"Id": "PMC7", "Title": "t", "AuthorList": ["a"], "Other": 1}\n{"Title": "no id"}\n')
     rows = R.read_article_summaries(spark, str(tmp_path)).collect()
     assert [(r.pmc_id, r.title, r.authors, r.journal) for r in rows] == [("7", "t", ["a"], None)]
+
+
+def test_chunk_run_reports_from_its_own_write(spark, tmp_path):
+    from marginalia.sources.runs import chunk_run
+
+    rows = [(i, "t", None, " ".join(["word"] * 30) if i % 3 else "", "fetched" if i < 9 else "chunked") for i in range(12)]
+    docs = spark.createDataFrame(rows, "document_id long, title string, abstract string, full_text string, ingestion_status string") \
+        .withColumn("section_offsets", F.expr("array(named_struct('section', 'body', 'char_start', 0, 'char_end', length(full_text)))"))
+    for batch, name in ((None, "all"), (F.col("document_id") < 4, "some"), (F.col("document_id") < 0, "none")):
+        r = chunk_run(docs, str(tmp_path / name), batch, 20, 5).first()
+        stored = spark.read.parquet(str(tmp_path / name))
+        success = stored.select("document_id").distinct().count()
+        taken = docs.where("ingestion_status = 'fetched'").where(batch if batch is not None else F.lit(True)).count()
+        assert (r.success, r.failed, r.total_chunks, r.remaining) == (success, taken - success, stored.count(), 9 - success)
+        assert (r.ms_per_chunk is None) == (success == 0) and r.avg_chunks_per_doc == (round(r.total_chunks / success, 4) if success else 0)
