@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.operators.chunking import compose_article
+from marginalia.session import stored
 
 PARSED = ("pmc_id string, title string, abstract string, sections array<struct<section:string,text:string>>, "
           "error string")
@@ -104,9 +105,9 @@ def fetch_details(articles: DataFrame, summaries: DataFrame, nested_mode: str =
     """Document records of landed articles and their summaries, and the ids that failed.
 
     ``summaries``: pmc_id, title, authors, journal, pub_date, doi, pmid. The summary's title stands in for a
-    missing one. An article that does not parse or has no summary is a failure.
+    missing one. An article that does not parse or has no summary is a failure. Articles are parsed once, for both results.
     """
-    parsed = parse_articles(articles, nested_mode)
+    parsed = stored(parse_articles(articles, nested_mode), "parsed")
     meta = summaries.select("pmc_id", F.struct(*[c for c in summaries.columns if c != "pmc_id"]).alias("m"))
     joined = parsed.join(meta, "pmc_id", "left")
     ok = F.col("error").isNull() & F.col("m").isNotNull()

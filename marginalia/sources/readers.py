@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marginalia import schemas as S
@@ -83,19 +84,29 @@ ARTICLE_SUMMARY = ("Id string, Title string, AuthorList array<string>, FullJourn
 
 
 def read_landed_articles(spark: SparkSession, path: str, after: datetime | None = None) -> DataFrame:
-    """Files below ``article=<id>`` folders: (pmc_id, xml, landed_at), the newest of each id (of equals, the last by path).
+    """Landed articles: (pmc_id, xml, landed_at), the copy of each id in the newest file (of equals, the last by path and row).
 
-    ``after`` takes only files that landed later; the scan leaves the others unread. Which file is the newest is decided on
-    names and times alone, contents are read once.
+    They come in package files (``writers.write_articles``) and as files of their own below ``article=<id>`` folders. ``after``
+    takes only files that landed later; the scan leaves the others unread. Which copy is the newest is decided on ids, names
+    and times alone, contents are read once.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!._]*").load(path)
+    packages = spark.read.schema("pmc_id string, xml binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    landed = packages.parquet(path).select(
+        F.regexp_extract("pmc_id", r"^(?:PMC)?(\d+)$", 1).alias("pmc_id"), "xml", F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    try:
+        loose = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!._]*").load(f"{path}/article=*")
+        landed = landed.unionByName(loose.select(
+            F.regexp_extract("path", r"/article=(?:PMC)?(\d+)/[^/]*$", 1).alias("pmc_id"), F.col("content").alias("xml"),
+            F.col("modificationTime").alias("landed_at"), "path", F.lit(0).cast("long").alias("row")))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    landed = landed.where("pmc_id <> ''")
     if after is not None:
-        files = files.where(F.col("modificationTime") > F.lit(after))
-    pmc_id = F.regexp_extract("path", r"/article=(?:PMC)?(\d+)/[^/]*$", 1)
-    newest = files.select(pmc_id.alias("pmc_id"), "modificationTime", "path").where("pmc_id <> ''").groupBy("pmc_id").agg(
-        F.max(F.struct("modificationTime", "path")).alias("at")).select("pmc_id", F.col("at.path").alias("path"))
-    return files.select("path", F.col("content").alias("xml"), F.col("modificationTime").alias("landed_at")) \
-        .join(newest, "path").select("pmc_id", "xml", "landed_at")
+        landed = landed.where(F.col("landed_at") > F.lit(after))
+    newest = landed.groupBy("pmc_id").agg(F.max(F.struct("landed_at", "path", "row")).alias("at")).select("pmc_id", "at.path", "at.row")
+    return landed.join(newest, ["pmc_id", "path", "row"]).select("pmc_id", "xml", "landed_at")
 
 
 def read_article_summaries(spark: SparkSession, path: str) -> DataFrame:
