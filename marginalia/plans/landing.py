@@ -201,7 +201,7 @@ def _(spark, sf):
     docs = V.docs(spark, sf).select(F.col("document_id").cast("string").alias("source_id"), "title", "abstract", "full_text",
                                     "section_offsets")
     draft = docs.withColumn("full_text", F.upper("full_text")).withColumn("landed_at", F.timestamp_seconds(F.lit(1)))
-    draft.write.parquet(landing)
+    draft.write.option("compression", "zstd").parquet(landing)
     first, second = scratch_path(spark, "ingest-state"), scratch_path(spark, "ingest-state")
 
     def run(folder, checkpoint):
@@ -209,10 +209,10 @@ def _(spark, sf):
         ingest.start_ingest(stream, out, checkpoint, V.SIZE, V.OVERLAP).awaitTermination()
 
     run(landing, first)
-    docs.withColumn("landed_at", F.timestamp_seconds(F.lit(2))).write.mode("append").parquet(landing)
+    docs.withColumn("landed_at", F.timestamp_seconds(F.lit(2))).write.mode("append").option("compression", "zstd").parquet(landing)
     run(landing, first)
     late = scratch_path(spark, "landed-late")
-    draft.withColumn("landed_at", F.timestamp_seconds(F.lit(0))).write.parquet(late)
+    draft.withColumn("landed_at", F.timestamp_seconds(F.lit(0))).write.option("compression", "zstd").parquet(late)
     run(late, second)
     small = scratch_path(spark, "compacted")
     ingest.compact(spark, out, small)
@@ -236,8 +236,8 @@ def _(spark, sf):
     # all, repeats, a reminder that moves the watermark, newer copies, late rows
     for rows, at in ((docs, 1), (docs, 2), (odd, 240), (docs.where(even), 264), (docs, 3)):
         rows.drop("document_id").withColumn("landed_at", F.timestamp_seconds(F.lit(at * 3600))) \
-            .write.mode("append").parquet(landing)
-        arrivals = ingest.first_arrivals(spark.readStream.schema(ingest.LANDED).parquet(landing))
+            .write.mode("append").option("compression", "zstd").parquet(landing)
+        arrivals = ingest.first_arrivals(ingest.places(spark.readStream.schema(ingest.LANDED).parquet(landing)))
         ingest.start_ingest(arrivals, out, state, V.SIZE, V.OVERLAP).awaitTermination()
     small = scratch_path(spark, "compacted-once")
     ingest.compact(spark, out, small)
