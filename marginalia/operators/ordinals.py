@@ -9,7 +9,7 @@ level width. The result is the same as that of the plain window.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -36,34 +36,43 @@ def running_total(
 
     ``order`` must be total within a group and agree with ``levels`` (coarse to fine).
     """
+    return running_totals(df, by, levels, order, {name: value})
+
+
+def running_totals(df: DataFrame, by: Sequence[str], levels: Sequence[Column], order: Sequence[Column],
+                   values: Mapping[str, Column]) -> DataFrame:
+    """``running_total`` of several values (name -> value) in one go: ``df`` is read twice, however many they are."""
     by = list(by)
     marks = [f"__lvl{i}" for i in range(len(levels))]
-    base = df.withColumns({m: c for m, c in zip(marks, levels)}).withColumn("__value", value.cast("long"))
+    cells = {name: f"__value{i}" for i, name in enumerate(values)}
+    base = df.withColumns({m: c for m, c in zip(marks, levels)}).withColumns({cells[n]: v.cast("long") for n, v in values.items()})
 
     # sums per level, from the finest to the coarsest
-    sums = [base.groupBy(*by, *marks).agg(F.sum("__value").alias("__sum"))]
+    total = [F.sum(c).alias(c) for c in cells.values()]
+    sums = [base.groupBy(*by, *marks).agg(*total)]
     for depth in range(len(marks) - 1, 0, -1):
-        sums.append(sums[-1].groupBy(*by, *marks[:depth]).agg(F.sum("__sum").alias("__sum")))
+        sums.append(sums[-1].groupBy(*by, *marks[:depth]).agg(*total))
     sums.reverse()
 
     # offset of each group of a level = offset of its parent + earlier siblings
+    offset = {c: f"__offset{c}" for c in cells.values()}
     offsets = None
     for depth, level in enumerate(sums, start=1):
         parent, own = marks[:depth - 1], marks[depth - 1]
         keys = by + parent
         window = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(own) \
             .rowsBetween(W.unboundedPreceding, -1)
-        level = level.withColumn("__sum", F.coalesce(F.sum("__sum").over(window), F.lit(0)))
+        level = level.withColumns({c: F.coalesce(F.sum(c).over(window), F.lit(0)) for c in offset})
         if offsets is None:
-            offsets = level.withColumnRenamed("__sum", "__offset")
+            offsets = level.withColumnsRenamed(offset)
         else:
             joined = level.join(offsets, keys) if keys else level
-            offsets = joined.select(*by, *marks[:depth], (F.col("__offset") + F.col("__sum")).alias("__offset"))
+            offsets = joined.select(*by, *marks[:depth], *[(F.col(o) + F.col(c)).alias(o) for c, o in offset.items()])
 
     leaf = W.partitionBy(*by, *marks).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = base.withColumn("__local", F.coalesce(F.sum("__value").over(leaf), F.lit(0)))
+    local = base.withColumns({c: F.coalesce(F.sum(c).over(leaf), F.lit(0)) for c in offset})
     out = local.join(offsets, by + marks)
-    return out.select(*df.columns, (F.col("__local") + F.col("__offset")).alias(name))
+    return out.select(*df.columns, *[(F.col(c) + F.col(offset[c])).alias(n) for n, c in cells.items()])
 
 
 def ordinal(

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marginalia.operators.ordinals import ordinal, radix_levels, running_total
+from marginalia.operators.ordinals import radix_levels, running_totals
 from marginalia.session import settle, stored
 
 # Chunks of a block, in multiples of a batch's limit: a block looks one limit ahead into the next.
@@ -44,10 +44,10 @@ def greedy_batches(sizes: DataFrame, max_chunks: int = 50_000, max_tokens: int =
     hold one block, which is bounded by the limit on chunks, and no document is compared with another.
     """
     key, levels = F.col("document_id"), radix_levels(F.col("document_id"))
-    out = sizes.where("chunk_count > 0").select("document_id", "chunk_count", "token_count")
-    out = running_total(out, [], levels, [key], F.col("chunk_count"), "chunks_before")
-    out = running_total(out, [], levels, [key], F.col("token_count"), "tokens_before")
-    out = ordinal(out, [], levels, [key], "place", 0)
+    # the totals read the sizes several times, which may be counted from whole texts
+    out = stored(sizes.where("chunk_count > 0").select("document_id", "chunk_count", "token_count"), "batch-sizes")
+    out = running_totals(out, [], levels, [key], {
+        "chunks_before": F.col("chunk_count"), "tokens_before": F.col("token_count"), "place": F.lit(1)})
     width = block_limits * max_chunks
     out = stored(out.withColumn("block", F.expr(f"chunks_before div {width}")), "batch-places")
 
