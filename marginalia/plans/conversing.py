@@ -205,12 +205,13 @@ _FILTERED_SQL = """select conv_id, turn, content, kind from (
 
 
 def _shown(parts):
-    """The shown text of each answer, and the response kept for the completed ones."""
-    tokens = parts.where("type = 'token'").groupBy("conv_id", "turn").agg(
+    """The shown text of each answer, and the response kept for the completed ones; the parts are made once for both."""
+    shown = F.col("type") == "token"
+    rows = parts.where(F.col("type").isin("token", "end_of_response")).withColumns({
+        "kind": F.when(shown, "shown").otherwise("complete"), "end": F.when(~shown, F.col("part"))})
+    return rows.groupBy("conv_id", "turn", "kind", "end").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"]), "")
-        .alias("content")).withColumn("kind", F.lit("shown"))
-    ends = parts.where("type = 'end_of_response'").select("conv_id", "turn", "content", F.lit("complete").alias("kind"))
-    return tokens.unionByName(ends)
+        .alias("content")).select("conv_id", "turn", "content", "kind")
 
 
 @query("l1_answer_filter", _FILTERED_SQL)

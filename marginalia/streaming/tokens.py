@@ -12,7 +12,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from marginalia.functions.text import ANSWER_HEADING, REFERENCES_HEADING
@@ -79,41 +80,67 @@ class AnswerFilter:
         return rest, self.full.strip()
 
 
-def _run(answer: AnswerFilter, conv_id: int, turn: int, events: pd.DataFrame) -> tuple[list[tuple], bool]:
-    """Feeds events in sequence order; returns output rows and whether the stream ended."""
-    rows: list[tuple] = []
+class _Feed:
+    """Feeds the events of one answer in order; ``ended`` once the stream has."""
 
-    def emit(kind: str, text: str | None) -> None:
-        rows.append((conv_id, turn, answer.parts, kind, text))
-        answer.parts += 1
+    def __init__(self, conv_id: int, turn: int, answer: AnswerFilter | None = None):
+        self.key, self.answer, self.ended = (conv_id, turn), answer or AnswerFilter(), False
 
-    for kind, content in events.sort_values("seq")[["type", "content"]].itertuples(index=False):
+    def take(self, kind: str, content: str | None, rows: list[tuple]) -> None:
+        """Appends the output rows of one event."""
+        if self.ended:
+            return
         if kind == "token":
-            for text in answer.feed(content):
-                emit("token", text)
+            for text in self.answer.feed(content):
+                self._emit(rows, "token", text)
         elif kind == "complete":
-            rest, full = answer.finish()
+            rest, full = self.answer.finish()
             for text in rest:
-                emit("token", text)
-            emit("end_of_response", full)
-            return rows, True
+                self._emit(rows, "token", text)
+            self._emit(rows, "end_of_response", full)
+            self.ended = True
         elif kind == "error":
-            emit("error", content)
-            return rows, True
-    return rows, False
+            self._emit(rows, "error", content)
+            self.ended = True
+
+    def _emit(self, rows: list[tuple], kind: str, text: str | None) -> None:
+        rows.append((*self.key, self.answer.parts, kind, text))
+        self.answer.parts += 1
+
+
+def _run(answer: AnswerFilter, conv_id: int, turn: int, events: pd.DataFrame) -> tuple[list[tuple], bool]:
+    """Feeds events in sequence order; returns output rows and whether the stream ended."""
+    rows: list[tuple] = []
+    feed = _Feed(conv_id, turn, answer)
+    for kind, content in events.sort_values("seq")[["type", "content"]].itertuples(index=False):
+        feed.take(kind, content, rows)
+    return rows, feed.ended
 
 
 _FILTERED_COLUMNS = [f.split()[0] for f in FILTERED.split(", ")]
+_FILTERED_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
 
 
 def filter_answers(events: DataFrame) -> DataFrame:
-    """Batch form: all tokens of an answer at once."""
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = _run(AnswerFilter(), int(key[0]), int(key[1]), pdf)
-        return pd.DataFrame(rows, columns=_FILTERED_COLUMNS)
+    """Batch form: all tokens of an answer at once.
 
-    return events.select("conv_id", "turn", "seq", "type", "content").groupBy("conv_id", "turn") \
-        .applyInPandas(one, FILTERED)
+    Answers lie one after the other in sorted partitions and are fed as the rows come by, so that a task holds a batch of
+    rows and one answer, and no frame is made for each answer.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, feed = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for *at, kind, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != key:
+                    key, feed = at, _Feed(*at)
+                feed.take(kind, content, rows)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FILTERED_TYPES)], _FILTERED_COLUMNS)
+
+    rows = events.select("conv_id", "turn", "seq", "type", "content").repartition("conv_id", "turn") \
+        .sortWithinPartitions("conv_id", "turn", F.asc_nulls_last("seq"), F.desc("type"), "content")
+    return rows.select("conv_id", "turn", "type", "content").mapInArrow(run, FILTERED)
 
 
 class _FilterProcessor(StatefulProcessor):
