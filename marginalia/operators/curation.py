@@ -223,11 +223,13 @@ def pack_batches(sizes: DataFrame, max_chunks: int = 50_000, max_tokens: int = 3
     lies across one is a batch of its own. So no batch exceeds a limit but by a document that alone does, none is
     left out, and the result does not depend on how the table is stored or how large it is.
     """
-    from marginalia.operators.ordinals import radix_levels, running_total
+    from marginalia.operators.ordinals import radix_levels, running_totals
+    from marginalia.session import stored
 
     key, levels = F.col("document_id"), radix_levels(F.col("document_id"))
-    out = running_total(sizes.where("chunk_count > 0"), [], levels, [key], F.col("chunk_count"), "__c")
-    out = running_total(out, [], levels, [key], F.col("token_count"), "__t")
+    # the totals read the sizes several times, which may be counted from whole texts
+    out = stored(sizes.where("chunk_count > 0"), "batch-sizes")
+    out = running_totals(out, [], levels, [key], {"__c": F.col("chunk_count"), "__t": F.col("token_count")})
     marks = []
     for before, size, limit in (("__c", "chunk_count", max_chunks), ("__t", "token_count", max_tokens)):
         marks += [F.expr(f"{before} div {int(limit)}"), F.expr(f"greatest({before} + {size} - 1, {before}) div {int(limit)}")]
