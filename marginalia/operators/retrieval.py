@@ -86,10 +86,11 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, bound: int | None = None) ->
 
 def nearest_chunks(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int = 10) -> DataFrame:
     """Ids, scores and ranks of the top_k searchable chunks per query."""
-    return _nearest(queries, chunks, docs, top_k)[0]
+    return counted_nearest(queries, chunks, docs, top_k)[0]
 
 
-def _nearest(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int) -> tuple[DataFrame, int | None]:
+def counted_nearest(queries: DataFrame, chunks: DataFrame, docs: DataFrame, top_k: int) -> tuple[DataFrame, int | None]:
+    """``nearest_chunks``, and the number of queries where it is small enough for the hits to be broadcast, else None."""
     vectors = live_chunks(chunks.select("document_chunk_id", "document_id", "embedding"), docs)
     return counted_topk(queries, vectors, top_k)
 
@@ -170,7 +171,7 @@ def semantic_search(
 
     Hit lists are broadcast to the chunk and document tables where the counted queries bound them.
     """
-    hits, n = _nearest(queries, chunks, docs, top_k)
+    hits, n = counted_nearest(queries, chunks, docs, top_k)
     if use_reranker and additional_chunks_per_doc > 0:
         # used four times below: keep the ids, so that the vectors are scanned once
         hits = settle(hits)

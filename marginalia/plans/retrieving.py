@@ -77,7 +77,9 @@ select query_id, row_number() over (partition by query_id order by score desc, d
 qualify row_number() over (partition by query_id order by score desc, document_chunk_id) <= 5""")
 def _(spark, sf):
     """The ten nearest passages of every question, ranked by BM25 with the counts of the whole corpus."""
-    hits = R.with_chunks(_near(spark, sf).select("query_id", "document_chunk_id"), V.vec_chunks(spark, sf))
+    near, bound = R.counted_nearest(V.questions(spark, sf), V.bare_vec_chunks(spark, sf), V.slim_docs(spark, sf), 10)
+    hits = R.with_chunks(near.select("query_id", "document_chunk_id"), V.vec_chunks(spark, sf),
+                         None if bound is None else bound * 10)
     asked = hits.join(V.questions(spark, sf).select("query_id", "qtext"), "query_id")
     out = L.rerank_bm25(asked, _statistics(spark, sf))
     return _long(_score(out, "bm25_score"), "rank").select("query_id", "rank", "document_chunk_id", "bm25_score")
