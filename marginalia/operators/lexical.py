@@ -89,9 +89,13 @@ class BucketWeights(NamedTuple):
     version: str
 
 
-def fit_weights(texts: DataFrame, text: str = "content", dims: int = 256) -> BucketWeights:
-    """Weights from one aggregate over all texts; ``dims`` + 1 rows come back to the driver."""
-    own = F.array_distinct(hashed_buckets(F.coalesce(F.col(text), F.lit("")), dims))
+def fit_weights(texts: DataFrame, text: str = "content", dims: int = 256, buckets: str | None = None) -> BucketWeights:
+    """Weights from one aggregate over all texts; ``dims`` + 1 rows come back to the driver.
+
+    ``buckets`` names a column that holds the texts' ``hashed_buckets`` already, of the same ``dims``.
+    """
+    made = F.coalesce(F.col(buckets), F.array().cast("array<int>")) if buckets else hashed_buckets(F.coalesce(F.col(text), F.lit("")), dims)
+    own = F.array_distinct(made)
     rows = texts.select(F.explode(F.concat(own, F.array(F.lit(-1)))).alias("bucket"))
     counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
     total = counts.pop(-1, 0)
@@ -113,8 +117,11 @@ def read_weights(spark: SparkSession, path: str) -> BucketWeights:
     return BucketWeights(np.array([r["weight"] for r in rows]), versions.pop())
 
 
-def weighted_embedder(fitted: BucketWeights) -> Callable[[Column], Column]:
-    """Unit-length hashed term counts, each bucket weighed by its rarity; NULL for a blank or NULL text."""
+def weighted_embedder(fitted: BucketWeights, hashed: bool = False) -> Callable[[Column], Column]:
+    """Unit-length hashed term counts, each bucket weighed by its rarity; NULL for a blank or NULL text.
+
+    Takes texts, or with ``hashed`` their buckets.
+    """
     dims, weights = len(fitted.weights), fitted.weights
 
     @F.arrow_udf(T.ArrayType(T.DoubleType(), False))
@@ -127,12 +134,17 @@ def weighted_embedder(fitted: BucketWeights) -> Callable[[Column], Column]:
         offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dims, mask=np.append(sizes == 0, False))
         return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
 
-    return lambda text: vectors(hashed_buckets(text, dims))
+    return vectors if hashed else lambda text: vectors(hashed_buckets(text, dims))
+
 
+def embed_weighted(df: DataFrame, text: Column | None, fitted: BucketWeights, name: str = "embedding",
+                   buckets: str | None = None) -> DataFrame:
+    """Adds the vectors of a text and, as ``<name>_version``, the version of the weights they were made with.
 
-def embed_weighted(df: DataFrame, text: Column, fitted: BucketWeights, name: str = "embedding") -> DataFrame:
-    """Adds the vectors of a text and, as ``<name>_version``, the version of the weights they were made with."""
-    return df.withColumns({name: weighted_embedder(fitted)(text), f"{name}_version": F.lit(fitted.version)})
+    ``buckets`` names a column that holds the texts' ``hashed_buckets`` already.
+    """
+    vectors = weighted_embedder(fitted, True)(F.col(buckets)) if buckets else weighted_embedder(fitted)(text)
+    return df.withColumns({name: vectors, f"{name}_version": F.lit(fitted.version)})
 
 
 def text_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from marginalia.functions import text as X
 from marginalia.operators import graph, lexical as L, quantisation as C, retrieval as R, vectors as E
 from marginalia.plans import fixtures as V
 from marginalia.plans.registry import query
-from marginalia.session import scratch_path, settle
+from marginalia.session import scratch_path, settle, stored
 
 
 def _long(df, *columns):
@@ -458,12 +458,14 @@ select query_id, rank, document_chunk_id, round(sim, 6) as similarity_score from
 def _(spark, sf):
     """Text to text over the different passages, hashed buckets weighed by how few passages hold them."""
     live = R.live_chunks(V.chunks(spark, sf), V.slim_docs(spark, sf))
-    passages = settle(live.groupBy(F.md5("content")).agg(
-        F.min(F.struct("document_chunk_id", "document_id", "content")).alias("c")).select("c.*"))
+    passages = live.groupBy(F.md5("content")).agg(
+        F.min(F.struct("document_chunk_id", "document_id", "content")).alias("c")).select("c.*")
+    # words are hashed once, for the weights and for the vectors
+    passages = stored(passages.select("document_chunk_id", "document_id", E.hashed_buckets(F.col("content"), 256).alias("buckets")), "passages")
     path = scratch_path(spark, "weights")
-    L.write_weights(spark, L.fit_weights(passages, dims=256), path)
+    L.write_weights(spark, L.fit_weights(passages, dims=256, buckets="buckets"), path)
     weights = L.read_weights(spark, path)
     q = L.embed_weighted(V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"),
                          X.query_text(F.col("text")), weights, "qvec")
-    hits = L.text_topk(q, L.embed_weighted(passages, F.col("content"), weights), 5)
+    hits = L.text_topk(q, L.embed_weighted(passages, None, weights, buckets="buckets"), 5)
     return _long(_score(hits, "similarity_score"), "rank").select("query_id", "rank", "document_chunk_id", "similarity_score")
