@@ -48,6 +48,7 @@ class Settings(NamedTuple):
     hubs: int = 4  # new hubs of an open list in each round after the first
     patience: float = 32.0  # pairs inside open lists, for each of their entries, up to which no new hubs are tried
     worth: float = 0.05  # share of the open nodes that a round must join to be followed by another
+    lookback: int = 16  # earlier shingles of its own that an entry of an open list knows, to tell pairs that met before
     broadcast_texts: int = 500_000  # ids of texts that may have partners are broadcast up to this count
 
 
@@ -137,10 +138,11 @@ def sets_of(docs: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame:
 
 
 def entries(sets: DataFrame, s: Settings) -> DataFrame:
-    """(token, node, shared, level, matches): prefix lists, without shingles that one set alone holds.
+    """(token, node, shared, own, rank, level, matches): prefix lists, without shingles that one set alone holds.
 
-    ``shared`` counts the set's shingles that others hold too, ``level`` is the smallest l whose prefix holds the shingle,
-    ``matches`` the l that the document asks of its partners.
+    ``shared`` counts the set's shingles that others hold too, ``own`` those that none holds, ``rank`` is the shingle's place
+    among the shared ones, ``level`` the smallest l whose prefix holds it, ``matches`` the l that the document asks of its
+    partners.
     """
     token = sets.select("node", "n", F.explode("found").alias("token"))
     several = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -149,7 +151,8 @@ def entries(sets: DataFrame, s: Settings) -> DataFrame:
     whole = Window.partitionBy("node")
     told = told.withColumn("shared", F.count(F.lit(1)).over(whole)).withColumn("rank", F.row_number().over(by_rarity))
     told = told.where(F.col("shared") >= _need(F.col("n"), s))
-    place = F.col("n") - F.col("shared") + F.col("rank")  # from 1; unique ones come first
+    told = told.withColumn("own", (F.col("n") - F.col("shared")).cast("int"))
+    place = F.col("own") + F.col("rank")  # from 1; unique ones come first
     prefix = F.col("n") - _need(F.col("n"), s) + 1
     told = told.withColumn("level", F.greatest(F.lit(1), place - prefix + 1).cast("int"))
     told = told.where(F.col("level") <= s.most_matches)
@@ -158,7 +161,7 @@ def entries(sets: DataFrame, s: Settings) -> DataFrame:
     for k in range(1, s.most_matches + 1):
         met = F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).over(whole)
         costs.append(F.when(F.lit(k) <= _need(F.col("n"), s), F.struct((met + s.verify_cost * met / k).alias("cost"), F.lit(k).alias("k"))))
-    return told.withColumn("matches", F.least(*costs)["k"]).select("token", "node", "shared", "level", "matches")
+    return told.withColumn("matches", F.least(*costs)["k"]).select("token", "node", "shared", "own", "rank", "level", "matches")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -179,17 +182,19 @@ def stars(lists: DataFrame, turn: int, s: Settings) -> DataFrame:
     """Pairs (a, b, c, d) of nodes and their components, one side a hub of a list in which both stand at level 1.
 
     In the first turn a list has one hub; later it has several, from outside of the component that most members are in.
+    Hubs of the first two turns are the members with fewest shingles of their own, as these lie nearest to what a family of
+    copies has in common; later ones come by hash.
     """
-    first = lists.where("level = 1").select("token", "node", "component")
+    first = lists.where("level = 1").select("token", "node", "component", "own")
     if turn == 0:
-        hubs = first.groupBy("token").agg(F.min(F.struct("node", "component")).alias("hub"))
+        hubs = first.groupBy("token").agg(F.min(F.struct("own", "node", "component")).alias("hub"))
     else:
         most = first.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members")) \
             .groupBy("token").agg(F.max(F.struct("members", "component")).alias("most"))
         outside = first.join(most, "token").where("component <> most.component")
         mixed = F.xxhash64("node", F.lit(turn))
         hubs = outside.groupBy("token", F.pmod(mixed, F.lit(s.hubs)).alias("seat")) \
-            .agg(F.min(F.struct(mixed, "node", "component")).alias("hub"))
+            .agg(F.min(F.struct(*(["own"] if turn == 1 else []), mixed, "node", "component")).alias("hub"))
     met = first.join(hubs.select("token", "hub"), "token").where("component <> hub.component")
     # one order of the two, so that a pair comes once
     swap = F.col("node") > F.col("hub.node")
@@ -219,23 +224,36 @@ def _size(lists: DataFrame) -> tuple[int, float]:
     return row["entries"] or 0, (row["pairs"] or 0.0) / 2
 
 
-def candidates(lists: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b, c, d) of nodes of different components that may be alike, by hits in the open lists."""
+def hits(lists: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, c, d, matches) for shingles that two nodes of different components share in the open lists, if they may be alike.
+
+    A pair comes as often as it shares shingles, but no more often than it has to where it meets in list after list.
+    """
     main = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("members")) \
         .groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("main"))
+    before = Window.partitionBy("node").orderBy("rank").rowsBetween(-s.lookback, -1)
     named = stored(lists.join(main, "token").withColumn("inside", F.col("component") == F.col("main")).drop("main")
-                   .join(marks, "node"), "open-lists")
+                   .withColumn("earlier", F.collect_list("token").over(before)).join(marks, "node"), "open-lists")
     # the larger of two sets asks for its number of matches; lists inside one component are not compared again
     probe = named.where(F.col("level") <= F.col("matches"))
     above = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")
-    fits = above & (F.col("x.component") != F.col("y.component")) & (F.col("y.level") <= F.col("x.matches")) & _may_link("x", "y", s)
+    # all lists hold one order, by rank, in which levels only rise: shingles in what both know as earlier are hits of this
+    # pair, in other lists; with enough of them, one more says nothing new
+    met_before = F.size(F.array_intersect("x.earlier", "y.earlier")) >= F.col("x.matches")
+    fits = above & (F.col("x.component") != F.col("y.component")) & (F.col("y.level") <= F.col("x.matches")) \
+        & _may_link("x", "y", s) & ~met_before
     met = None
     for x, y in ((probe.where("not inside"), named), (probe.where("inside"), named.where("not inside"))):
         part = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & fits) \
             .select(*[F.col(f"{side}.{c}").alias(name) for side, c, name in (
                 ("x", "node", "a"), ("y", "node", "b"), ("x", "component", "c"), ("y", "component", "d"), ("x", "matches", "matches"))])
         met = part if met is None else met.unionByName(part)
-    return met.groupBy("a", "b", "c", "d", "matches").agg(F.count(F.lit(1)).alias("hits")).where("hits >= matches") \
+    return met
+
+
+def candidates(lists: DataFrame, marks: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b, c, d) of nodes of different components that may be alike, by hits in the open lists."""
+    return hits(lists, marks, s).groupBy("a", "b", "c", "d", "matches").agg(F.count(F.lit(1)).alias("hits")).where("hits >= matches") \
         .select("a", "b", "c", "d")
 
 
@@ -244,7 +262,7 @@ def joined_nodes(sets: DataFrame, s: Settings) -> DataFrame:
     found = stored(entries(sets, s), "prefix-lists")
     facts = found.groupBy("node").agg(F.first("shared").alias("shared"), F.first("matches").alias("matches"))
     marks = stored(facts.join(sets.select("node", "n", "bits"), "node"), "marks")
-    lists = found.select("token", "node", "level", F.col("node").alias("component"))
+    lists = found.select("token", "node", "own", "rank", "level", F.col("node").alias("component"))
     named = marks.select("node", F.col("node").alias("component"))
     turn = gone = 0
     while True:

@@ -121,6 +121,57 @@ def test_candidates_of_a_family_grow_with_it(make_docs, monkeypatch):
     assert found[1] < 8 * found[0]  # four times the members: 16 times would be all pairs
 
 
+def wide_family(rng, members, length=150):
+    """A text and near copies of it, many of them too far from it and from each other to be links."""
+    base = [f"w{i}" for i in range(length)]
+    rows = [(members, " ".join(base))]
+    for i in range(members):
+        own = list(base)
+        for at in rng.sample(range(length), rng.randint(1, 9)):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_pairs_of_a_wide_family_are_few(make_docs, monkeypatch):
+    """Central hubs join all that can be joined; pairs that are left meet at most as often as they ask for."""
+    found, pairs, whole, all_hits = [], [], ngram_join.candidates, ngram_join.hits
+
+    def counted(lists, marks, s):
+        out = ngram_join.settle(whole(lists, marks, s))
+        pairs.append(out.count())
+        return out
+
+    def counted_hits(lists, marks, s):
+        out = ngram_join.settle(all_hits(lists, marks, s))
+        found.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    monkeypatch.setattr(ngram_join, "hits", counted_hits)
+    rows = wide_family(random.Random(3), 400)
+    got = ngram_join.classes(make_docs(rows), ngram_join.Settings(5, 80)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, 5, 80)
+    assert len({r.component_id for r in got}) > 40
+    assert pairs[0] < len(rows) and found[0] < 2 * len(rows)
+
+
+@pytest.mark.parametrize("lookback, percent", [(1, 70), (16, 90)])
+def test_pairs_that_met_before_are_not_lost(make_docs, lookback, percent):
+    rng, rows, want = random.Random(lookback), [], []
+    for world in range(40):
+        base = [rng.randrange(60) for _ in range(30)]
+        own = []
+        for _ in range(12):
+            kept = list(base)
+            for _ in range(rng.randint(0, 4)):
+                kept[rng.randrange(30)] = rng.randrange(60)
+            own.append((len(rows) + len(own), " ".join(f"w{world}_{w}" for w in kept)))
+        rows += own
+        want += brute(own, 2, percent)
+    got = ngram_join.classes(make_docs(rows), ngram_join.Settings(2, percent, patience=1e9, lookback=lookback)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(want)
+
+
 def test_rounds_of_hubs_are_exact(make_docs):
     """New hubs in every round, as long as a round joins anything at all."""
     rng = random.Random(8)
