@@ -41,15 +41,10 @@ INDEX = ("archive string, offset long, length long, page_id long, record_type st
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a string's bytes: 20 bits of the hexadecimal form give four characters."""
+    """Bare upper-case base32 of the SHA-1 of a string's bytes: 40 bits of the hexadecimal form give eight digits to base 32."""
     digest = F.sha1(payload.cast("binary"))
-
-    def letter(i: Column) -> Column:
-        bits = F.conv(F.substr(digest, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        place = F.floor(bits / F.pow(F.lit(2), 15 - 5 * (i % 4))) % 32
-        return F.substr(F.lit(BASE32), place.cast("int") + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    digits = [F.lpad(F.conv(F.substr(digest, F.lit(at), F.lit(10)), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

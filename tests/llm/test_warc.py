@@ -55,3 +55,13 @@ def test_least_bytes(spark):
     pages = spark.createDataFrame([(1, "u", "ab", ""), (2, "u", "ab", ""), (3, "u", "abc", ""), (4, "u", "abc", "")], PAGES)
     got = {r.page_id: r.record_type for r in warc.decide(pages, least_bytes=3).collect()}
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_digests_are_made_without_a_step_for_each_letter(spark):
+    """Inside a lambda, the SHA-1 of a whole page is taken anew for every letter."""
+    texts = [f"page {i}" for i in range(3000)] + ["", "é" * 100]  # some digests have zeros at the start of a part
+    rows = spark.createDataFrame([(i, "u", t, "") for i, t in enumerate(texts)], PAGES)
+    told = warc.decide(rows)
+    assert {r.payload: r.payload_digest for r in told.collect()} == {
+        t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts}
+    assert "lambda" not in told._jdf.queryExecution().optimizedPlan().toString()
