@@ -9,6 +9,9 @@ Rates come from the sparse counts: a term that a group lacks has the group's bas
 of absolute differences over blocks of terms and blocks of sources, each of bounded size, plus the terms that neither
 source has, in closed form. Whole numbers throughout, so results are exact and don't depend on the order of rows.
 
+Stored counts are sorted and compress well: a file of a few MB holds millions of rows, and Spark takes the file's size for
+the table's. So only the groups are broadcast, up to a counted size; every other join is told to merge.
+
 Defined results: null text, lang and source are read as ''; a group without terms takes part with base rates; languages
 without kept terms have distances of 0; repeated rows and ids count as often as they stand; other columns are not read, so
 their names can't clash; an empty table gives no rows.
@@ -25,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.session import scratch_path
+from marginalia.session import scratch_path, stored
 
 LEAST_DOCS, SCALE, PRIOR, LISTED = 30, 1_000_000_000, 5, 50
 #: Terms that a task holds before it passes their counts on; rows that are Python objects at a time.
 HELD, SLICE = 200_000, 256
 #: Terms and sources of a block of rates, on average.
 BLOCK_TERMS, BLOCK_SOURCES = 2_048, 256
+#: Bytes of groups that are broadcast, as counted; more are shuffled.
+BROADCAST_GROUPS = 8 << 20
 
 _LETTERS = frozenset(range(0x41, 0x5B)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 TABLE = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if b in _LETTERS else 0x20 for b in range(256))
@@ -83,6 +88,28 @@ def _rate(n: str, total: str, kept: str) -> F.Column:
     return F.expr(f"1 + cast({SCALE} as decimal(20,0)) * ({n} + {PRIOR}) div ({total} + {PRIOR} * {kept})").cast("long")
 
 
+def _kept(named: DataFrame, common: DataFrame) -> DataFrame:
+    """(lang, term, source, n, lang_n) of the terms that a language keeps."""
+    return named.select("lang", "source", "term", "n").join(common.drop("docs").hint("merge"), ["lang", "term"])
+
+
+def _groups(told: DataFrame, common: DataFrame, sparse: DataFrame) -> DataFrame:
+    """(lang, source, total, sources, kept, lang_total, base) of every group."""
+    own = told.where("term = ''")
+    kept = common.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
+    langs = own.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(kept.hint("merge"), "lang", "left")
+    totals = sparse.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    groups = own.select("lang", "source").join(totals.hint("merge"), ["lang", "source"], "left") \
+        .join(langs.hint("merge"), "lang").withColumns({"kept": F.coalesce("kept", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    return groups.withColumn("base", F.when(F.col("kept") > 0, _rate("0", "total", "kept")))
+
+
+def _with_groups(sparse: DataFrame, groups: DataFrame) -> DataFrame:
+    """Joins each row to its group's; groups are broadcast up to a counted size, shuffled beyond it."""
+    size = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0
+    return sparse.join(F.broadcast(groups) if size <= BROADCAST_GROUPS else groups.hint("merge"), ["lang", "source"])
+
+
 def _distances(key: tuple, table: pa.Table) -> pa.Table:
     """Sums over the terms of one block for each pair of its sources, with the number of terms that either side's block has."""
     lang, _, low, high = (k.as_py() for k in key)
@@ -121,9 +148,9 @@ def _pairs(groups: DataFrame, rated: DataFrame) -> DataFrame:
         .applyInArrow(_distances, "lang string, source string, item string, value long, met long") \
         .groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("met").alias("met"))
     left, right = groups.alias("g"), groups.select("lang", F.col("source").alias("item"), F.col("base").alias("other")).alias("o")
-    pairs = left.join(right, "lang").where(F.col("source") < F.col("item")).select("lang", "source", "item", "kept", "base", "other")
+    pairs = left.join(right.hint("merge"), "lang").where(F.col("source") < F.col("item")).select("lang", "source", "item", "kept", "base", "other")
     absent = F.coalesce((F.col("kept") - F.coalesce("met", F.lit(0))) * F.abs(F.col("base") - F.col("other")), F.lit(0))
-    once = pairs.join(sums, ["lang", "source", "item"], "left") \
+    once = pairs.join(sums.hint("merge"), ["lang", "source", "item"], "left") \
         .select("lang", "source", "item", (F.coalesce("value", F.lit(0)) + absent).alias("value"))
     return once.unionByName(once.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
 
@@ -136,17 +163,11 @@ def audit(docs: DataFrame) -> DataFrame:
     told = spark.read.schema(SUMS).parquet(path)
     named = told.where("term <> ''")
     common = named.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
-    sparse = named.select("lang", "source", "term", "n").join(common.drop("docs"), ["lang", "term"])
     kept_path = scratch_path(spark, "kept-terms")
-    sparse.write.parquet(kept_path)
+    _kept(named, common).write.parquet(kept_path)
     sparse = spark.read.schema("lang string, term string, source string, n long, lang_n long").parquet(kept_path)
-    langs = told.where("term = ''").groupBy("lang").agg(F.count(F.lit(1)).alias("sources")) \
-        .join(common.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total")), "lang", "left")
-    groups = told.where("term = ''").select("lang", "source") \
-        .join(sparse.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left") \
-        .join(langs, "lang").withColumns({"kept": F.coalesce("kept", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
-    groups = groups.withColumn("base", F.when(F.col("kept") > 0, _rate("0", "total", "kept")))
-    rated = sparse.join(groups, ["lang", "source"]).withColumn("rate", _rate("n", "total", "kept"))
+    groups = stored(_groups(told, common, sparse), "term-groups")
+    rated = _with_groups(sparse, groups).withColumn("rate", _rate("n", "total", "kept"))
     above = rated.withColumn("lang_rate", _rate("lang_n", "lang_total", "kept")).where("rate > lang_rate") \
         .select("lang", "source", F.col("term").alias("item"), (F.col("rate") - F.col("lang_rate")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import divergence
 
@@ -59,6 +60,48 @@ def test_against_brute_force(make_docs, monkeypatch, blocks):
     assert as_rows(divergence.audit(docs)) == brute(rows, 5)
 
 
+def broadcast_rows(plan):
+    """Rows of each table that an ended plan has broadcast."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return broadcast_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return broadcast_rows(plan.plan())
+    below = [plan.child()] if name == "ReusedExchange" else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    return own + [n for p in below for n in broadcast_rows(p)]
+
+
+def many_terms(make_docs, monkeypatch):
+    """A few groups of many terms, which Spark would broadcast by the size of their file."""
+    monkeypatch.setattr(divergence, "LEAST_DOCS", 2)
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    rows = [(" ".join(words[i:]), lang, source) for i in range(3) for lang in ("en", "de") for source in ("a", "b", None)]
+    return rows, make_docs([(i, *r) for i, r in enumerate(rows)])
+
+
+@pytest.mark.parametrize("held, most", [(divergence.BROADCAST_GROUPS, 6), (0, 0)])
+def test_only_groups_are_broadcast(make_docs, monkeypatch, held, most):
+    rows, docs = many_terms(make_docs, monkeypatch)
+    monkeypatch.setattr(divergence, "BROADCAST_GROUPS", held)
+    out = divergence.audit(docs)
+    assert as_rows(out) == brute(rows, 2)
+    assert max(broadcast_rows(out._jdf.queryExecution().executedPlan()), default=0) == most
+
+
+def test_kept_terms_are_not_broadcast(spark, make_docs, monkeypatch, tmp_path):
+    rows, docs = many_terms(make_docs, monkeypatch)
+    divergence.counts(docs).write.parquet(str(tmp_path / "told"))
+    told = spark.read.parquet(str(tmp_path / "told"))
+    named, seen = told.where("term <> ''"), []
+    common = named.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
+    sparse = divergence._kept(named, common)
+    for df in (sparse, divergence._groups(told, common, sparse)):
+        seen.append(len(df.collect()))
+        assert broadcast_rows(df._jdf.queryExecution().executedPlan()) == []
+    assert seen == [6 * 600, 6]
+
+
 def test_tasks_pass_sums_on(monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 100)
     rng = random.Random(9)
